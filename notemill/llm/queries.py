@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import distinctive, frequency, splits
+from notemill.llm import distinctive, frequency, leakage, sentences, splits
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
@@ -49,5 +49,29 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return scores.where("n_here >= 4 and n_records between 2 and 5").select("notebook_id", "field_name", "term")
 
 
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    found = leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark_items"))
+    return found.withColumns({c: F.round(c, 6) for c in ("score", "item_share", "question_share")})
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark_items"))
+    return found.select("doc_id", "item_id").distinct()
+
+
+def p9_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentences with their texts."""
+    docs = table(spark, folder, "documents")
+    spans = sentences.split_sentences(docs)
+    texts = docs.select("doc_id", "text")
+    return spans.join(texts, "doc_id").select(
+        "doc_id", "start_pos", "end_pos", "lang_used", F.expr("substring(text, cast(start_pos + 1 as int), cast(end_pos - start_pos as int))").alias("sentence")
+    )
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, folder, "documents")).select("doc_id", "start_pos", "end_pos").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
