@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import distinctive, frequency, leakage, sentences, splits
+from notemill.llm import distinctive, frequency, leakage, markup, sentences, splits
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
@@ -25,6 +25,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_term_frequency(spark, folder).where("mark is not null").select("field_name", "term", "mark")
 
 
+def p2_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.strip_markup(table(spark, folder, "nb_contents"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.structures(p2_clean(spark, folder)).select("notebook_id", "family", "structure")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     groups = splits.kernel_groups(table(spark, folder, "kernels"))
     return splits.group_of_notebooks(table(spark, folder, "domain_classification_results"), groups)
