@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import distinctive, frequency, leakage, markup, sentences, splits
+from notemill.llm import codetext, distinctive, frequency, leakage, markup, sentences, splits
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
@@ -33,6 +33,18 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return markup.structures(p2_clean(spark, folder)).select("notebook_id", "family", "structure")
 
 
+def _code_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return codetext.language_in_code(table(spark, folder, "nb_contents"), table(spark, folder, "documents"))
+
+
+def p3_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return codetext.language_shares(_code_phrases(spark, folder)).withColumn("share", F.round("share", 6))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _code_phrases(spark, folder).select("notebook_id", "lang", "found_in").distinct()
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     groups = splits.kernel_groups(table(spark, folder, "kernels"))
     return splits.group_of_notebooks(table(spark, folder, "domain_classification_results"), groups)
