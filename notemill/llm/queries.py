@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import codetext, distinctive, frequency, leakage, markup, sentences, splits
+from notemill.llm import codetext, distinctive, frequency, leakage, markup, sentences, splits, subjects
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
@@ -69,6 +69,23 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return scores.where("n_here >= 4 and n_records between 2 and 5").select("notebook_id", "field_name", "term")
 
 
+def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
+    names = ("nb_contents", "domain_classification_results", "subject_labels", "subjects")
+    return subjects.subject_shares(*[table(spark, folder, n) for n in names])
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_shares(spark, folder).where(F.col("share") >= subjects.SHARE).select("notebook_id", "subject")
+
+
+def p6_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Make-up of the collection: notebooks and sentences by subject."""
+    shares = p6_shares(spark, folder)
+    return shares.groupBy("subject").agg(
+        F.count_if(F.col("share") >= subjects.SHARE).alias("n_notebooks"), F.sum("n_with").alias("n_sentences")
+    )
+
+
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     found = leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark_items"))
     return found.withColumns({c: F.round(c, 6) for c in ("score", "item_share", "question_share")})
