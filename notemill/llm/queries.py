@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import codetext, distinctive, frequency, leakage, markup, sentences, splits, subjects
+from notemill.llm import codetext, distinctive, frequency, leakage, markup, mixing, sentences, splits, subjects
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
@@ -96,6 +96,22 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "item_id").distinct()
 
 
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[0]
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_report(*_mix(spark, folder))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[1].select("source", "fate")
+
+
 def p9_sentences(spark: SparkSession, folder: str) -> DataFrame:
     """Sentences with their texts."""
     docs = table(spark, folder, "documents")
