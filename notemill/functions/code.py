@@ -9,6 +9,7 @@ import warnings
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as TY
 
 # The libraries and operations that the feature table has columns for, in its order.
 LIBRARIES = "numpy pandas matplotlib seaborn sklearn tensorflow keras torch pytorch scipy nltk cv2 xgboost lightgbm transformers huggingface spacy plotly gensim statsmodels tqdm".split()
@@ -77,7 +78,7 @@ def ops_of(code: str | None) -> tuple[list[int], int]:
     return [int(counts[op] > 0) for op in TENSOR_OPS], sum(counts.values())
 
 
-@F.pandas_udf("flags array<long>, num_tensor_ops long")
+@F.pandas_udf(TY.StructType([TY.StructField("flags", TY.ArrayType(TY.LongType())), TY.StructField("num_tensor_ops", TY.LongType())]))
 def tensor_ops(code: pd.Series) -> pd.DataFrame:
     """Flags in the order of ``TENSOR_OPS`` and total uses; null code has none."""
     rows = [ops_of(c) for c in code]
@@ -102,6 +103,6 @@ def depth_of(code: str | None) -> int:
         return len(bases)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(TY.LongType())
 def inheritance_depth(code: pd.Series) -> pd.Series:
     return pd.Series([depth_of(c) for c in code], dtype="int64")

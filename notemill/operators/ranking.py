@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,18 +57,9 @@ def principal_components(vectors: DataFrame, column: str, k: int = 2) -> DataFra
 
     The sign of an axis is such that its largest loading is positive.
     """
-    import numpy as np
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Summarizer
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
     rows = vectors.select(array_to_vector(column).alias("_v"))
     mean = rows.select(Summarizer.mean(F.col("_v")).alias("m")).first()["m"].toArray()
-    from pyspark.mllib.linalg import Vectors
-
-    matrix = RowMatrix(rows.rdd.map(lambda r: Vectors.dense(r["_v"].toArray())))
-    values, axes = np.linalg.eigh(matrix.computeCovariance().toArray())
-    axes = axes[:, np.argsort(-values)[:k]]
+    axes = PCA(k=k, inputCol="_v", outputCol="_p").fit(rows).pc.toArray()
     axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), range(k)])
     centred = F.zip_with(F.col(column), F.lit(mean.tolist()), lambda x, m: x - m)
     return vectors.withColumn("components", F.array(*[dot(centred, F.lit(axes[:, j].tolist())) for j in range(k)]))

@@ -7,8 +7,11 @@ from functools import reduce
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -42,7 +45,7 @@ def t_two_sided(t: float | None, df: float | None) -> float | None:
     return incomplete_beta(df / 2, 0.5, df / (df + t * t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) else t_two_sided(float(a), float(b)) for a, b in zip(t, df, strict=True)], dtype="float64")
 
@@ -100,17 +103,23 @@ def drop_outliers(table: DataFrame, columns: list[str]) -> DataFrame:
     return reduce(step, columns, table)
 
 
-def correlation(a: Column, b: Column) -> Column:
-    """Pearson correlation as an aggregate; null for a constant column."""
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-
-
 def correlations(table: DataFrame, columns: list[str]) -> DataFrame:
-    """(first, second, corr) for every pair of columns, in one pass over the table."""
-    pairs = list(combinations(columns, 2))
-    row = table.agg(*[correlation(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
-    packed = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"c{k}").alias("corr")) for k, (a, b) in enumerate(pairs)])
-    return row.select(F.explode(packed).alias("r")).select("r.*")
+    """(first, second, corr) for every pair of columns; null for a constant column.
+
+    One distributed pass gives the whole matrix; rows with a null in any column are skipped.
+    """
+    pairs = list(combinations(range(len(columns)), 2))
+    spark = table.sparkSession
+    schema = "first string, second string, corr double"
+    if not pairs:
+        return spark.createDataFrame([], schema)
+    numbers = table.select(*[F.col(c).cast("double") for c in columns])
+    rows = VectorAssembler(inputCols=columns, outputCol="_x", handleInvalid="skip").transform(numbers).select("_x")
+    if rows.isEmpty():
+        return spark.createDataFrame([(columns[i], columns[j], None) for i, j in pairs], schema)
+    matrix = Correlation.corr(rows, "_x").first()[0].toArray()
+    known = [(columns[i], columns[j], None if math.isnan(matrix[i, j]) else float(matrix[i, j])) for i, j in pairs]
+    return spark.createDataFrame(known, schema)
 
 
 def standardized(table: DataFrame, columns: list[str]) -> DataFrame:

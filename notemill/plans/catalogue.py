@@ -4,8 +4,429 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from notemill.functions import code as C
+from notemill.functions import lists as L
+from notemill.functions import text as T
+from notemill.functions.vectors import cosine
+from notemill.operators import evaluate as E
+from notemill.operators import model as M
+from notemill.operators import parts as P
+from notemill.operators import ranking as R
+from notemill.operators import salient as S
+from notemill.operators import stats as X
+from notemill.operators.current import current_rows
+from notemill.streaming.budget import trailing_sum
+
+DOC = ["notebook_id", "part"]
+METRICS = ["num_lines", "num_functions", "num_classes", "inheritance_depth", "cyclomatic_complexity", "narrative_size"]
+# Reported mean precision by embedding and term type, for each part.
+REPORTED = [
+    ("BERT-BOW", 0.12, 0.12, 0.14, 0.10), ("BERT-LDA", 0.12, 0.10, 0.12, 0.10), ("BERT-TFIDF", 0.12, 0.10, 0.15, 0.10),
+    ("GloVe-BOW", 0.06, 0.04, 0.04, 0.08), ("GloVe-LDA", 0.06, 0.10, 0.06, 0.10), ("GloVe-TFIDF", 0.08, 0.08, 0.05, 0.08),
+    ("Word2Vec-BOW", 0.06, 0.06, 0.04, 0.06), ("Word2Vec-LDA", 0.06, 0.06, 0.06, 0.08), ("Word2Vec-TFIDF", 0.08, 0.08, 0.05, 0.06),
+]
+REPORTED_PARTS = ["all_contents", "code", "in_line_comment", "markdown_narrative"]
+# Answers that try the categories of a judge.
+ANSWERS = ["Highly relevant and appropriately specific", "This is very relevant, but too broad", "relevant", "Not relevant at all", "Irrelevant; overly specific", "Partially relevant, too general", "somewhat relevant and too specific", "cannot say", None]
+# Printed lists as they occur in exports.
+PRINTED = ["['finance', 'retail']", "[\"women's health\", 'music']", "[]", "nonsense", None]
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def parts(spark: SparkSession, folder: str) -> DataFrame:
+    return P.part_texts(table(spark, folder, "nb_contents"))
+
+
+def codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Current cleaned code of each notebook that has some."""
+    return parts(spark, folder).where("part = 'code'").select("notebook_id", T.clean_text(F.col("text"), "code").alias("code"))
+
+
+def counts(spark: SparkSession, folder: str) -> DataFrame:
+    return S.term_counts(S.part_tokens(parts(spark, folder)), DOC)
+
+
+def features(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per notebook of the feature table: its variations share all features."""
+    t = table(spark, folder, "code_complexity")
+    measures = [c for c in t.columns if c not in ("notebook", "term_type", "embedding_type", "variation_idx", "base_notebook", "top1_domain")]
+    label = F.min(F.when(F.col("top1_domain") != "unknown", F.col("top1_domain"))).alias("domain")
+    return t.where("base_notebook is not null").groupBy(F.lower("base_notebook").alias("base_notebook")).agg(*[F.max(c).alias(c) for c in measures], label)
+
+
+def q_part_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of each part text before and after cleaning."""
+    own = parts(spark, folder)
+    return own.select(*DOC, T.count_lines(F.col("text")).alias("n_lines"), T.count_lines(P.clean_part(F.col("part"), F.col("text"))).alias("n_clean"))
+
+
+def q_file_type(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of part files by the kind that their names tell."""
+    stem = F.concat_ws("_", "part", F.lit("md"))
+    return parts(spark, folder).select(T.part_kind(stem).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def q_bow_top30(spark: SparkSession, folder: str) -> DataFrame:
+    return S.top_terms(counts(spark, folder), DOC, "n")
+
+
+def q_bow_combined(spark: SparkSession, folder: str) -> DataFrame:
+    return S.top_terms(S.term_counts(S.part_tokens(parts(spark, folder)), ["notebook_id"]), ["notebook_id"], "n")
+
+
+def q_doc_freq(spark: SparkSession, folder: str) -> DataFrame:
+    return S.document_frequency(counts(spark, folder))
+
+
+def q_num_topics(spark: SparkSession, folder: str) -> DataFrame:
+    """Vocabulary size and number of topics of each notebook."""
+    sizes = counts(spark, folder).groupBy("notebook_id").agg(F.countDistinct("term").alias("vocabulary"), F.countDistinct("part").alias("n_parts"))
+    return sizes.select("*", S.topic_limit(F.col("vocabulary"), F.col("n_parts")).alias("topics"), S.topic_limit(F.col("vocabulary"), F.col("n_parts"), True).alias("topics_combined"))
+
+
+def _vocabulary(spark: SparkSession, folder: str) -> DataFrame:
+    return S.tfidf_vocabulary(counts(spark, folder), parts(spark, folder).agg(F.count("*").alias("n_docs")))
+
+
+def q_tfidf_top30(spark: SparkSession, folder: str) -> DataFrame:
+    weights = S.tfidf(counts(spark, folder), _vocabulary(spark, folder), DOC).withColumn("weight", F.round("weight", 9))
+    return S.top_terms(weights, DOC, "weight")
+
+
+def q_tfidf_combined(spark: SparkSession, folder: str) -> DataFrame:
+    whole = S.term_counts(S.part_tokens(parts(spark, folder)), ["notebook_id"])
+    weights = S.tfidf(whole, _vocabulary(spark, folder), ["notebook_id"]).withColumn("weight", F.round("weight", 9))
+    return S.top_terms(weights, ["notebook_id"], "weight")
+
+
+def q_lda_terms(spark: SparkSession, folder: str) -> DataFrame:
+    return S.top_terms(S.lda_terms(counts(spark, folder)).withColumn("score", F.round("score", 6)), DOC, "score")
+
+
+def q_lda_combined(spark: SparkSession, folder: str) -> DataFrame:
+    return S.top_terms(S.lda_combined(counts(spark, folder)).withColumn("score", F.round("score", 6)), ["notebook_id"], "score")
+
+
+def q_comments(spark: SparkSession, folder: str) -> DataFrame:
+    """Comments by pattern, per cell and in order."""
+    own = parts(spark, folder).where("part = 'code'").select("notebook_id", F.col("text").alias("code"))
+    return P.cell_comments(own)
+
+
+def q_cells(spark: SparkSession, folder: str) -> DataFrame:
+    own = parts(spark, folder).where("part = 'code'")
+    return own.select("notebook_id", F.size(T.code_cells(F.col("text"))).cast("long").alias("n_cells"))
+
+
+def q_lib_usage(spark: SparkSession, folder: str) -> DataFrame:
+    return codes(spark, folder).select("notebook_id", *C.library_flags(F.col("code")))
+
+
+def q_tensor_ops_regex(spark: SparkSession, folder: str) -> DataFrame:
+    return codes(spark, folder).select("notebook_id", *[C.tensor_op_count(F.col("code"), op).alias(f"n_{op}") for op in C.TENSOR_OPS])
+
+
+def q_tensor_ops_ast(spark: SparkSession, folder: str) -> DataFrame:
+    ops = codes(spark, folder).select("notebook_id", C.tensor_ops("code").alias("ops"))
+    return ops.select("notebook_id", *[F.col("ops.flags")[k].alias(f"op_{op}") for k, op in enumerate(C.TENSOR_OPS)], "ops.num_tensor_ops")
+
+
+def q_code_counts(spark: SparkSession, folder: str) -> DataFrame:
+    code = F.col("code")
+    return codes(spark, folder).select("notebook_id", T.count_lines(code).alias("num_lines"), C.count_functions(code).alias("num_functions"), C.count_classes(code).alias("num_classes"), C.cyclomatic(code).alias("cyclomatic_complexity"))
+
+
+def q_inheritance(spark: SparkSession, folder: str) -> DataFrame:
+    return codes(spark, folder).select("notebook_id", C.inheritance_depth("code").alias("inheritance_depth"))
+
+
+def q_narrative_size(spark: SparkSession, folder: str) -> DataFrame:
+    own = parts(spark, folder).where("part = 'narrative'")
+    return own.select("notebook_id", T.count_lines(T.clean_text(F.col("text"), "narrative")).alias("narrative_size"))
+
+
+def _terms(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "embeddings")
+    return e.select((F.col("vec_id") % 40).alias("group_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"), "label")
+
+
+def q_vec_mean(spark: SparkSession, folder: str) -> DataFrame:
+    means = R.vector_mean(_terms(spark, folder), ["label"], "vec")
+    return means.select(F.col("label").cast("long").alias("label"), F.posexplode("vec").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), F.round("x", 9).alias("x"))
+
+
+def q_cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels ranked for groups of vectors, label centroids being the domains."""
+    own = _terms(spark, folder)
+    domains = R.vector_mean(own, ["label"], "vec").select(F.concat(F.lit("d"), F.col("label").cast("string")).alias("domain"), "vec")
+    return R.rank_domains(own, domains, ["group_id"]).withColumn("score", F.round("score", 6))
+
+
+def q_cosine_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Cosine of every pair of label centroids."""
+    means = R.vector_mean(_terms(spark, folder), ["label"], "vec").select(F.col("label").cast("long").alias("label"), "vec")
+    a, b = means.toDF("first", "va"), means.toDF("second", "vb")
+    return a.join(b, F.col("first") < F.col("second")).select("first", "second", F.round(cosine(F.col("va"), F.col("vb")), 9).alias("cosine"))
+
+
+def q_pca(spark: SparkSession, folder: str) -> DataFrame:
+    return R.principal_components(_terms(spark, folder), "vec").select("group_id", F.round(F.col("components")[0], 6).alias("x"), F.round(F.col("components")[1], 6).alias("y"))
+
+
+def _scores(spark: SparkSession, folder: str) -> DataFrame:
+    predictions = E.current_predictions(table(spark, folder, "domain_classification_results"))
+    return E.evaluated(predictions, E.tags_of(table(spark, folder, "kernel_metadata")))
+
+
+def q_precision_at_k(spark: SparkSession, folder: str) -> DataFrame:
+    return _scores(spark, folder).withColumn("p_at_k", F.round("p_at_k", 9))
+
+
+def q_pk_rollups(spark: SparkSession, folder: str) -> DataFrame:
+    return E.rollups(_scores(spark, folder)).withColumn("mean_p_at_k", F.round("mean_p_at_k", 9))
+
+
+def q_pk_best5(spark: SparkSession, folder: str) -> DataFrame:
+    mean = _scores(spark, folder).groupBy("part", "term_type", "embedding_type").agg(F.round(F.avg("p_at_k"), 9).alias("mean_p_at_k"))
+    return mean.orderBy(F.desc_nulls_last("mean_p_at_k"), "part", "term_type", "embedding_type").limit(5)
+
+
+def q_pk_pivot(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean precision by embedding and term type, with a column for each part."""
+    labels = ["code", "comment", "markdown narrative", "all combined"]
+    wide = _scores(spark, folder).dropna(subset=["p_at_k"]).groupBy("embedding_type", "term_type").pivot("part", labels).agg(F.avg("p_at_k"))
+    return wide.select("embedding_type", "term_type", *[F.round(F.col(f"`{x}`"), 9).alias(x.replace(" ", "_")) for x in labels])
+
+
+def q_missing_tags(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted notebooks without metadata."""
+    predicted = E.current_predictions(table(spark, folder, "domain_classification_results")).select("notebook").distinct()
+    return predicted.join(E.tags_of(table(spark, folder, "kernel_metadata")), "notebook", "left_anti")
+
+
+def q_tags_left(spark: SparkSession, folder: str) -> DataFrame:
+    predicted = E.current_predictions(table(spark, folder, "domain_classification_results")).select("notebook").distinct()
+    joined = predicted.join(E.tags_of(table(spark, folder, "kernel_metadata")), "notebook", "left")
+    return joined.select("notebook", F.size(F.coalesce("tags", F.array().cast("array<string>"))).cast("long").alias("n_tags"))
+
+
+def q_tag_top20(spark: SparkSession, folder: str) -> DataFrame:
+    tags = E.tags_of(table(spark, folder, "kernel_metadata")).select(F.explode("tags").alias("tag"))
+    return tags.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(20)
+
+
+def q_unique_tags(spark: SparkSession, folder: str) -> DataFrame:
+    return E.tags_of(table(spark, folder, "kernel_metadata")).select(F.explode("tags").alias("tag")).distinct()
+
+
+def q_tag_status(spark: SparkSession, folder: str) -> DataFrame:
+    """Notebooks with and without tags and the share of the former."""
+    n = F.size("tags")
+    return E.tags_of(table(spark, folder, "kernel_metadata")).agg(
+        F.count_if(n > 0).alias("tagged"), F.count_if(n == 0).alias("untagged"), F.count("*").alias("total"), F.round(100.0 * F.count_if(n > 0) / F.count("*"), 6).alias("percent")
+    )
+
+
+def q_tag_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = E.tags_of(table(spark, folder, "kernel_metadata")).select(F.size("tags").cast("long").alias("n_tags"))
+    return sizes.groupBy("n_tags").agg(F.count("*").alias("n")).orderBy("n_tags")
+
+
+def q_tag_stats(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = E.tags_of(table(spark, folder, "kernel_metadata")).select(F.size("tags").cast("long").alias("n"))
+    return sizes.agg(F.round(F.avg("n"), 9).alias("mean"), F.median("n").alias("median"), F.max("n").alias("most"), F.count_if(F.col("n") == 0).alias("zeros"))
+
+
+def q_top_domains(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 labels that are first most often among combined parts."""
+    own = E.combined_or_all(E.current_predictions(table(spark, folder, "domain_classification_results")))
+    first = own.select(L.first_label(F.col("top_domains")).alias("domain"))
+    return first.groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(20)
+
+
+def q_domain_by_type(spark: SparkSession, folder: str) -> DataFrame:
+    own = E.current_predictions(table(spark, folder, "domain_classification_results"))
+    first = own.select(L.first_label(F.col("top_domains")).alias("domain"), "embedding_type")
+    return first.groupBy("domain").pivot("embedding_type", ["bert", "glove", "word2vec"]).count().na.fill(0)
+
+
+def q_value_counts_min5(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "code_complexity").where("top1_domain is not null").groupBy("top1_domain").agg(F.count("*").alias("n")).where("n >= 5")
+
+
+def q_variations(spark: SparkSession, folder: str) -> DataFrame:
+    """Nine variations of each notebook from its combined predictions."""
+    combined = E.current_predictions(table(spark, folder, "domain_classification_results")).where("part = 'all combined'")
+    return E.variations(combined)
+
+
+def q_feature_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Variations with the features of their notebook; notebooks without features drop out."""
+    own = features(spark, folder).select(F.col("base_notebook").alias("notebook"), *METRICS)
+    return q_variations(spark, folder).join(own, "notebook").select("notebook", "variation_idx", "domain", *[F.col(m).cast("long").alias(m) for m in METRICS])
+
+
+def q_corr_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    own = features(spark, folder)
+    pairs = X.correlations(own, METRICS)
+    return pairs.withColumn("corr", F.round("corr", 6))
+
+
+def q_uncorrelated(spark: SparkSession, folder: str) -> DataFrame:
+    """Features left after correlated ones were dropped, with their variance inflation factors."""
+    own = features(spark, folder)
+    kept = M.uncorrelated(own, M.feature_columns(own))
+    rows = [(c, v) for c, v in M.inflation(own, kept).items()]
+    return spark.createDataFrame(rows, "feature string, vif double").withColumn("vif", F.round("vif", 6))
+
+
+def q_paired_t(spark: SparkSession, folder: str) -> DataFrame:
+    reported = spark.createDataFrame(REPORTED, "kind string, " + ", ".join(f"{c} double" for c in REPORTED_PARTS))
+    tests = X.paired_tests(reported, REPORTED_PARTS)
+    return tests.select("first", "second", "n", F.round("mean_diff", 4).alias("mean_diff"), F.round("t", 4).alias("t"), "df")
+
+
+def _reported_long(spark: SparkSession) -> DataFrame:
+    reported = spark.createDataFrame(REPORTED, "kind string, " + ", ".join(f"{c} double" for c in REPORTED_PARTS))
+    split = F.split("kind", "-")
+    return X.unpivot(reported.withColumn("embedding", split[0]).withColumn("term_type", split[1]), ["embedding", "term_type"], REPORTED_PARTS)
+
+
+def q_welch_t(spark: SparkSession, folder: str) -> DataFrame:
+    tests = [X.welch_tests(_reported_long(spark), g, "value") for g in ("embedding", "term_type")]
+    both = tests[0].unionByName(tests[1])
+    return both.select("first", "second", *[F.round(c, 6).alias(c) for c in ("mean_diff", "t", "df")])
+
+
+def q_welch_p(spark: SparkSession, folder: str) -> DataFrame:
+    """Welch tests of code sizes between domains, with p-values."""
+    return X.welch_tests(features(spark, folder).withColumn("v", F.col("num_lines").cast("double")), "domain", "v").select("first", "second", F.round("t", 6).alias("t"), F.round("p", 9).alias("p"))
+
+
+def q_mean_std(spark: SparkSession, folder: str) -> DataFrame:
+    long = X.unpivot(features(spark, folder), ["domain"], METRICS)
+    return long.groupBy("domain", "metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"))
+
+
+def q_row_mean(spark: SparkSession, folder: str) -> DataFrame:
+    reported = spark.createDataFrame(REPORTED, "kind string, " + ", ".join(f"{c} double" for c in REPORTED_PARTS))
+    mean = sum((F.col(c) for c in REPORTED_PARTS[1:]), F.col(REPORTED_PARTS[0])) / 4
+    return reported.select(F.split("kind", "-")[0].alias("embedding"), F.split("kind", "-")[1].alias("term_type"), F.round(mean, 9).alias("mean"))
+
+
+def q_boxplot(spark: SparkSession, folder: str) -> DataFrame:
+    own = features(spark, folder).where("domain is not null")
+    return X.quartiles(own, ["domain"], METRICS)
+
+
+def q_iqr_filter(spark: SparkSession, folder: str) -> DataFrame:
+    own = features(spark, folder)
+    return X.drop_outliers(own, METRICS).select("base_notebook", *[F.col(m).cast("long").alias(m) for m in METRICS])
+
+
+def q_standardize(spark: SparkSession, folder: str) -> DataFrame:
+    own = X.standardized(features(spark, folder).select("base_notebook", *METRICS), METRICS)
+    return own.select("base_notebook", *[F.round(m, 6).alias(m) for m in METRICS])
+
+
+def _labelled(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
+    own = features(spark, folder)
+    columns = M.feature_columns(own)
+    return M.stratified_split(M.frequent_classes(own, "domain"), "domain", "base_notebook"), columns
+
+
+def q_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of each class in both parts of the stratified split."""
+    split, _ = _labelled(spark, folder)
+    return split.groupBy("domain").agg(F.count("*").alias("n"), F.count_if("is_test").alias("n_test"))
+
+
+def q_logreg(spark: SparkSession, folder: str) -> DataFrame:
+    """Report of the multinomial model on the held-out rows."""
+    split, columns = _labelled(spark, folder)
+    scaled = X.standardized(split.select("domain", "is_test", *columns), columns)
+    model, classes = M.fit_multinomial(scaled.where("not is_test"), columns, "domain")
+    report = M.classification_report(M.predict(model, classes, columns, scaled.where("is_test")), "domain", "predicted")
+    return report.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+def q_confusion_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Report on first labels of two embeddings, one taken for the truth."""
+    own = E.current_predictions(table(spark, folder, "domain_classification_results")).where("part = 'all combined' and term_type = 'bow'")
+    label = own.select("notebook", "embedding_type", F.get("top_domains", F.lit(0)).alias("label")).where("label is not null")
+    a = label.where("embedding_type = 'bert'").select("notebook", F.col("label").alias("truth"))
+    b = label.where("embedding_type = 'glove'").select("notebook", F.col("label").alias("predicted"))
+    report = M.classification_report(a.join(b, "notebook"), "truth", "predicted")
+    return report.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+def q_permutation(spark: SparkSession, folder: str) -> DataFrame:
+    """Significance of the code metrics for every class."""
+    own = M.frequent_classes(features(spark, folder), "domain").select("domain", *METRICS)
+    scaled = X.standardized(own, METRICS)
+    classes = [r["domain"] for r in scaled.groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(5).collect()]
+    return M.permutation_test(scaled, METRICS, "domain", classes, permutations=200)
+
+
+def q_token_window(spark: SparkSession, folder: str) -> DataFrame:
+    """Sum of values over the 60 seconds before each event, its own included."""
+    e = table(spark, folder, "events")
+    return trailing_sum(e.select("event_id", "ts", "value"), "ts", "value", 60).select("event_id", F.round("trailing", 6).alias("trailing"))
+
+
+def q_token_estimate(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents")
+    return d.select("doc_id", F.round(T.token_estimate(F.col("text")), 6).alias("tokens"))
+
+
+def q_prompt(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompts for the judge, in chunks of 20."""
+    nb = current_rows(table(spark, folder, "nb_contents"), ["notebook_id"], "scraped_at", ["notebook", "code", "markdown_narrative"])
+    text = T.prompt(F.lit("finance"), F.col("code"), F.col("markdown_narrative"))
+    return nb.select("notebook_id", F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("digest"))
+
+
+def q_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Page of 20 kernels that each kernel of an account is on."""
+    k = table(spark, folder, "kernels").select("kernel_ref").distinct().withColumn("account", F.substring_index("kernel_ref", "/", 1))
+    n = F.row_number().over(Window.partitionBy("account").orderBy("kernel_ref"))
+    return k.select("kernel_ref", F.floor((n - 1) / 20).alias("page"))
+
+
+def q_categories(spark: SparkSession, folder: str) -> DataFrame:
+    """Relevance and specificity of a judge's answers."""
+    answers = spark.createDataFrame([(k, a) for k, a in enumerate(ANSWERS)], "id long, answer string")
+    return answers.select("id", T.relevance(F.col("answer")).alias("relevance"), T.specificity(F.col("answer")).alias("specificity"))
+
+
+def q_printed_lists(spark: SparkSession, folder: str) -> DataFrame:
+    printed = spark.createDataFrame([(k, p) for k, p in enumerate(PRINTED)], "id long, printed string")
+    items = L.parse_list(F.col("printed"))
+    return printed.select("id", F.array_join(items, "|").alias("items"), L.first_label(items).alias("first"))
+
+
+def q_split_ref(spark: SparkSession, folder: str) -> DataFrame:
+    k = table(spark, folder, "kernels").select("kernel_ref").distinct()
+    own = T.split_ref(F.col("kernel_ref"))
+    return k.select("kernel_ref", own["user"].alias("account"), own["slug"].alias("slug"))
+
+
+def q_sample_size(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.createDataFrame([(n, X.sample_size(n)) for n in (100, 1000, 37764, 10**6)], "population long, sample long")
+
+
+def q_feature_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of numeric features, by name."""
+    names = spark.createDataFrame([(k, m) for k, m in enumerate(METRICS)], "i long, name string")
+    a, b = names.toDF("i", "first"), names.toDF("j", "second")
+    return a.join(b, F.col("i") < F.col("j")).select("first", "second")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for k, f in globals().items() if k.startswith("q_")}
