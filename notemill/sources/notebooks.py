@@ -33,7 +33,7 @@ def read_metadata(spark: SparkSession, root: str) -> DataFrame:
 
     A file that is empty, not JSON or without keywords has an empty list.
     """
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "kernel-metadata.json").text(f"{root}/*/*/").withColumn("path", F.input_file_name())
+    files = spark.read.option("pathGlobFilter", "kernel-metadata.json").text(f"{root}/*/*/", wholetext=True).withColumn("path", F.input_file_name())
     pieces = F.split("path", "/")
     keywords = F.from_json("value", "keywords array<string>")["keywords"]
     return files.select("path", F.element_at(pieces, -3).alias("account"), F.element_at(pieces, -2).alias("notebook"), F.coalesce(keywords, F.array().cast("array<string>")).alias("keywords"))
@@ -41,6 +41,6 @@ def read_metadata(spark: SparkSession, root: str) -> DataFrame:
 
 def read_part_files(spark: SparkSession, root: str) -> DataFrame:
     """(notebook, stem, text) of all ``.txt`` files below ``root``, hidden ones left out."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "[!.]*.txt").text(root).withColumn("path", F.input_file_name())
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "[!.]*.txt").text(root, wholetext=True).withColumn("path", F.input_file_name())
     pieces = F.split("path", "/")
     return files.select(F.element_at(pieces, -2).alias("notebook"), F.regexp_replace(F.element_at(pieces, -1), r"\.txt$", "").alias("stem"), F.col("value").alias("text"))
