@@ -154,14 +154,15 @@ def mix_plan(texts: DataFrame, targets: DataFrame) -> tuple[dict, dict[str, dict
     report = {}
     for s, quota in quotas.items():
         given = {p: f for (p, q), f in flow.items() if q == s}
-        delivered = sum(given.values())
-        if delivered < quota * (1 - 1e-9) - 1e-3:
+        delivered = float(sum(given.values()))
+        own = sum(n for p, n in supply.items() if s in p)
+        if not own or delivered < quota * (1 - 1e-9) - 1e-3:
             fate = "short"
         elif any(f > supply[p] * (1 + 1e-9) for p, f in given.items()):
             fate = "repeat"
         else:
             fate = "sample"
-        report[s] = {"quota": quota, "own": sum(n for p, n in supply.items() if s in p), "delivered": delivered, "fate": fate, "total": total}
+        report[s] = {"quota": float(quota), "own": own, "delivered": delivered, "fate": fate, "total": total}
     return flow, report
 
 

@@ -137,7 +137,9 @@ COMMON = [
     rule(False, r"[!?]+", r"[\w=]"),
     # initials and titles
     rule(False, rf"{EDGE}(?:{TITLES})\.", r"\s+\S", re.I),
-    rule(False, r"(?<![\w'’])[^\W\d_]\.", r"\s+\S"),
+    rule(False, r"(?<![\w'’])(?![a-zà-ÿа-яё])[^\W\d_]\.", r"\s+\S"),
+    rule(False, r"(?<![\w'’])[^\W\d_]\.\s[^\W\d_]\.|\b(?:by|mr\.|dr\.|ms\.)\s[^\W\d_]\.", r"\s+\S"),
+    rule(False, r"(?<![\w'’])[^\W\d_]\.", r"\s+[^\W\d_]\."),
     rule(False, r"(?:^|[\s(])(?:[^\W\d_]\.)+[^\W\d_]\.", r"\s+[^\W\d_]\."),
     # a number that begins the paragraph is its mark
     rule(False, r"\A\s*\(?\d{1,3}\.", r"\s+\S"),
@@ -197,8 +199,8 @@ _SAFE = {
     "en": "i\\.e|e\\.g|approx|vs|cf|fig|u\\.s", "de": "bzw|vgl|d\\.\\s?h|z\\.\\s?b|abb|ca", "fr": "env|p\\.\\s?ex|janv", "es": "p\\.\\s?ej|aprox", "pt": "p\\.\\s?ex|aprox", "ru": "т\\.\\s?е|см|рис",
 }
 _FOREIGN = {k: [rule(False, rf"{EDGE}(?:{v})\.", r"\s*[^\W_]", re.I)] for k, v in _SAFE.items()}
-LOWER_STYLE_ALL = COMMON[:12] + LOWER_STYLE + COMMON[12:]
-CASED_STYLE_ALL = COMMON[:12] + CASED_STYLE + COMMON[12:]
+LOWER_STYLE_ALL = COMMON[:14] + LOWER_STYLE + COMMON[14:]
+CASED_STYLE_ALL = COMMON[:14] + CASED_STYLE + COMMON[14:]
 _CASCADES = {(k, low): cascade(k, low) for k in LANGUAGE for low in (False, True)}
 
 
