@@ -90,6 +90,9 @@ MD_BROKEN = re.compile(r"(?:(?<=\s)|^)(?:\*\*(?=[^\W\d_])(?!kwargs\b)|~~(?=[^\W\
 INDENTED = re.compile(r"(?:\A|\n[ \t]*\n)((?:(?: {4}|\t)[^\n]*(?:\n|\Z))+)")
 
 MASK = "\ue000"
+#: Signs without which there is nothing to take out, or nothing to clean within a line.
+_MAY_HIDE = re.compile(r"[`~$<]|\\[(\[bvl]")
+_MARKS = re.compile(rf"[\\\[*_~{MASK}]|''")
 
 
 @dataclass
@@ -169,7 +172,7 @@ class Cell:
             shown = self._mask("formula" if block else "inline", whole)
             return f"\n{shown}\n" if block else shown
 
-        return OPAQUE.sub(code, text)
+        return OPAQUE.sub(code, text) if _MAY_HIDE.search(text) else text
 
     def _tables(self, text: str) -> str:
         def wiki(m: re.Match[str]) -> str:
@@ -189,7 +192,10 @@ class Cell:
             rows = [[c.strip() for c in row.split("&")] for row in body.split("\\\\")]
             return "\n" + self._mask("table", "\n".join("\t".join(r) for r in rows if any(r))) + "\n"
 
-        text = WIKI_TABLE.sub(wiki, text)
+        if "{|" in text:
+            text = WIKI_TABLE.sub(wiki, text)
+        if "\\begin" not in text:
+            return text
         return re.sub(r"\\begin\{(tabular[xy]?\*?|longtable)\}.*?(?:\\end\{\1\}|\Z|(?=\n[ \t]*\n))", latex, text, flags=re.S)
 
     def _tags(self, text: str) -> str:
@@ -197,7 +203,7 @@ class Cell:
             self.add("markdown", "link")
             return self._mask("link", m.group()[1:-1])
 
-        text = AUTOLINK.sub(auto, text)
+        text = AUTOLINK.sub(auto, text) if "<" in text else text
 
         def tag(m: re.Match[str]) -> str:
             name = m["name"].lower()
@@ -223,7 +229,7 @@ class Cell:
                 return "\n\n"
             return ""
 
-        marked = TAG.sub(tag, text)
+        marked = TAG.sub(tag, text) if "<" in text else text
 
         def entity(m: re.Match[str]) -> str:
             if m.group(1) and m.group(1) + ";" not in html.entities.html5:
@@ -231,18 +237,21 @@ class Cell:
             self.add("html", "entity")
             return html.unescape(m.group())
 
-        return ENTITY.sub(entity, marked)
+        return ENTITY.sub(entity, marked) if "&" in marked else marked
 
     def _inline(self, text: str) -> tuple[str, int]:
         """Clean a run of text; returns it with the number of its characters that are links."""
         links = 0
-        for structure, pattern in LATEX:
-            for _ in pattern.finditer(text):
-                self.add("latex", structure)
-        text = re.sub(r"\\(?:begin|end)\s*\{[^{}\n]*\}|\\item\b[ \t]*(?:\[[^\]\n]*\])?", "", text)
-        text = re.sub(r"\\href\s*\{[^{}\n]*\}\s*\{([^{}\n]*)\}?", r"\1", text)
-        text = re.sub(r"\\[a-zA-Z]+\*?\s*(?:\[[^\]\n]*\])?\{([^{}\n]*)\}", r"\1", text)
-        text = re.sub(r"\{\s*\\[a-z]+\s+([^{}\n]*)\}", r"\1", text)
+        if not _MARKS.search(text):
+            return text, 0
+        if "\\" in text:
+            for structure, pattern in LATEX:
+                for _ in pattern.finditer(text):
+                    self.add("latex", structure)
+            text = re.sub(r"\\(?:begin|end)\s*\{[^{}\n]*\}|\\item\b[ \t]*(?:\[[^\]\n]*\])?", "", text)
+            text = re.sub(r"\\href\s*\{[^{}\n]*\}\s*\{([^{}\n]*)\}?", r"\1", text)
+            text = re.sub(r"\\[a-zA-Z]+\*?\s*(?:\[[^\]\n]*\])?\{([^{}\n]*)\}", r"\1", text)
+            text = re.sub(r"\{\s*\\[a-z]+\s+([^{}\n]*)\}", r"\1", text)
 
         def wiki(m: re.Match[str]) -> str:
             nonlocal links

@@ -178,7 +178,7 @@ def language_of(text: str, lang: str | None) -> str:
     if code in LANGUAGE and code not in ("en",):
         return code
     letters = max(1, sum(map(str.isalpha, text)))
-    for key, pattern in _SCRIPTS:
+    for key, pattern in () if text.isascii() else _SCRIPTS:
         if len(pattern.findall(text)) > 0.3 * letters or (key == "ja" and len(pattern.findall(text)) > 0.1 * letters):
             return key
     if code == "en":
