@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notemill.llm.markup import Cell, cells
-from notemill.llm.sentences import sentences
+from notemill.llm.sentences import language_of
+from notemill.llm.sentences import sentences as split
 from notemill.llm.splits import notebook_key
 from notemill.operators.current import current_rows
 from notemill.operators.spread import spread
 from notemill.session import materialize, release
 
-BUCKETS, WIDTH = 1 << 15, 16
+BUCKETS, WIDTH, SCALE = 1 << 15, 16, 10.0
 MAX_NOTEBOOKS = 4000  # bound of each sample: labelled notebooks, and hinted ones
 PARTITIONS = 12
 ROUNDS = 30
@@ -41,25 +42,70 @@ _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 def prose(narrative: str) -> list[str]:
     """The sentences of a narrative's running text; headings, items, tables and code are none."""
     out = []
+    lang = language_of(narrative, None)
     for body in cells(narrative):
         for section in Cell(body).root.children:
             for node in section.children:
                 if node.kind in ("paragraph", "quote"):
                     text = node.text
-                    out += [re.sub(r"\s+", " ", text[a:b]) for a, b in sentences(text) if node.kind == "paragraph" or b - a > 40]
+                    out += [re.sub(r"\s+", " ", text[a:b]) for a, b in split(text, lang) if node.kind == "paragraph" or b - a > 40]
     return [s for s in out if len(s.split()) >= 4 or re.search(r"[぀-ヿ㐀-鿿]{6}", s)]
 
 
-def feature_ids(sentence: str) -> list[int]:
-    """Hashed ids of a sentence's words, word pairs and subwords (3 to 5 signs of framed words)."""
+def unit_ids(unit: str) -> list[int]:
+    """Hashed ids of a unit: a word with its subwords (3 to 5 signs of the framed word), or a pair of words."""
+    if " " in unit:
+        return [zlib.crc32(f"b:{unit}".encode()) % BUCKETS]
+    framed = f"<{unit}>"
+    pieces = [f"w:{unit}"] + [framed[k : k + n] for n in (3, 4, 5) for k in range(len(framed) - n + 1)]
+    return [zlib.crc32(x.encode()) % BUCKETS for x in pieces]
+
+
+def sentence_units(sentence: str) -> list[str]:
+    """The words of a sentence and its pairs of neighbouring words."""
     words = _WORD.findall(sentence.lower())
-    out = [f"w:{w}" for w in words]
-    out += [f"b:{a} {b}" for a, b in zip(words, words[1:], strict=False)]
-    for w in words:
-        framed = f"<{w}>"
-        for n in (3, 4, 5):
-            out += [framed[k : k + n] for k in range(len(framed) - n + 1)]
-    return [zlib.crc32(x.encode()) % BUCKETS for x in out]
+    return words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+
+
+class Block:
+    """Sentences as sums of distinct units, and units as sums of hashed embeddings.
+
+    Each unit's vector is computed once however often it occurs, which leaves the average over
+    all ids of a sentence exactly what it is.
+    """
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, members: np.ndarray, lengths: np.ndarray) -> None:
+        self.arrays = ids, sizes, members, lengths
+        self.n, self.units, self.ids, self.members = len(lengths), len(sizes), ids, members
+        self.unit_of_id = np.repeat(np.arange(self.units), sizes)
+        self.sentence_of = np.repeat(np.arange(self.n), lengths)
+        total = np.bincount(self.sentence_of, weights=sizes[members], minlength=self.n) if len(members) else np.zeros(self.n)
+        self.length = np.maximum(total, 1)
+
+    @classmethod
+    def of(cls, sentences: list[str]) -> Block:
+        index: dict[str, int] = {}
+        members, lengths = [], []
+        for s in sentences:
+            own = [index.setdefault(u, len(index)) for u in sentence_units(s)]
+            members += own
+            lengths.append(len(own))
+        ids = [unit_ids(u) for u in index]
+        return cls(*[np.array(x, dtype=np.int32) for x in ([i for x in ids for i in x], [len(x) for x in ids], members, lengths)])
+
+    @staticmethod
+    def add_rows(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """Sum of the rows by their target, which may repeat in any order."""
+        return np.stack([np.bincount(at, weights=rows[:, d], minlength=n) for d in range(rows.shape[1])], axis=1)
+
+    def hidden(self, table: np.ndarray) -> np.ndarray:
+        units = self.add_rows(table[self.ids], self.unit_of_id, self.units)
+        return self.add_rows(units[self.members], self.sentence_of, self.n) / self.length[:, None] * SCALE
+
+    def table_gradient(self, back: np.ndarray) -> np.ndarray:
+        per = back / self.length[:, None] * SCALE
+        units = self.add_rows(per[self.sentence_of], self.members, self.units)
+        return self.add_rows(units[self.unit_of_id], self.ids, BUCKETS)
 
 
 class SubjectModel:
@@ -74,30 +120,14 @@ class SubjectModel:
         self.steps = 0
 
     @staticmethod
-    def average(weights: list[np.ndarray], ids: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-        length = np.maximum(np.bincount(row, minlength=n), 1)
-        hidden = np.empty((n, WIDTH), np.float32)
-        for d in range(WIDTH):
-            hidden[:, d] = np.bincount(row, weights=weights[0][ids, d], minlength=n) / length
-        return hidden
+    def scores(weights: list[np.ndarray], block: Block) -> np.ndarray:
+        return 1 / (1 + np.exp(-(block.hidden(weights[0]) @ weights[1] + weights[2])))
 
     @staticmethod
-    def scores(weights: list[np.ndarray], ids: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-        hidden = SubjectModel.average(weights, ids, row, n)
-        return 1 / (1 + np.exp(-(hidden * 10 @ weights[1] + weights[2])))
-
-    @staticmethod
-    def gradient(weights: list[np.ndarray], ids: np.ndarray, row: np.ndarray, target: np.ndarray, mass: np.ndarray) -> list[np.ndarray]:
-        n = len(target)
-        length = np.maximum(np.bincount(row, minlength=n), 1)
-        hidden = SubjectModel.average(weights, ids, row, n) * 10
-        p = 1 / (1 + np.exp(-(hidden @ weights[1] + weights[2])))
-        error = (p - target) * mass[:, None]
-        back = (error @ weights[1].T) * 10 / length[:, None]
-        table = np.empty_like(weights[0])
-        for d in range(WIDTH):
-            table[:, d] = np.bincount(ids, weights=back[row, d], minlength=BUCKETS)
-        return [table, (hidden.T @ error).astype(np.float32), error.sum(axis=0).astype(np.float32)]
+    def gradient(weights: list[np.ndarray], block: Block, target: np.ndarray, mass: np.ndarray) -> list[np.ndarray]:
+        hidden = block.hidden(weights[0])
+        error = (1 / (1 + np.exp(-(hidden @ weights[1] + weights[2]))) - target) * mass[:, None]
+        return [block.table_gradient(error @ weights[1].T), hidden.T @ error, error.sum(axis=0)]
 
     def step(self, gradient: list[np.ndarray], mass: float, rate: float = 0.05) -> None:
         self.steps += 1
@@ -111,24 +141,57 @@ class SubjectModel:
             w -= rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.99**self.steps)) + 1e-8)
 
 
-def _flat(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(x) for x in lists], dtype=np.int64)
-    ids = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists]) if len(lists) else np.zeros(0, np.int64)
-    return ids, np.repeat(np.arange(len(sizes)), sizes)
-
-
-def sentence_features(nb_contents: DataFrame) -> DataFrame:
-    """(notebook_id, sentence_no, ids) for every prose sentence of the current narratives."""
+def sentence_table(nb_contents: DataFrame) -> DataFrame:
+    """(notebook_id, sentences) of the current narratives: their prose sentences in order."""
     current = current_rows(nb_contents, ["notebook_id"], "scraped_at", ["markdown_narrative"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for notebook_id, text in zip(batch["notebook_id"], batch["markdown_narrative"], strict=True):
-                rows += [(notebook_id, k, feature_ids(s)) for k, s in enumerate(prose(text))]
-            yield pd.DataFrame(rows, columns=["notebook_id", "sentence_no", "ids"])
+            yield pd.DataFrame({"notebook_id": batch["notebook_id"], "sentences": [prose(t) for t in batch["markdown_narrative"]]})
+
+    return spread(current.where("markdown_narrative is not null")).mapInPandas(run, "notebook_id long, sentences array<string>")
+
+
+SENTENCES_A_ROW = 20_000
+PACKED = "ids binary, sizes binary, members binary, lengths binary, target binary, mass binary"
+
+
+def pack_training(index: dict[str, int], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Training sentences as arrays, a row for about ``SENTENCES_A_ROW`` of them."""
+    texts: list[str] = []
+    target: list[np.ndarray] = []
+    mass: list[float] = []
 
-    return spread(current.where("markdown_narrative is not null")).mapInPandas(run, "notebook_id long, sentence_no int, ids array<int>")
+    def row() -> pd.DataFrame:
+        arrays = [*Block.of(texts).arrays, np.array(target, np.float32), np.array(mass, np.float32)]
+        for x in (texts, target, mass):
+            x.clear()
+        return pd.DataFrame([[a.tobytes() for a in arrays]], columns=[c.split()[0] for c in PACKED.split(", ")])
+
+    for batch in batches:
+        for own, names, m in zip(batch["sentences"], batch["subjects"], batch["mass"], strict=True):
+            label = np.zeros(len(index), np.float32)
+            label[[index[s] for s in names]] = 1.0 / len(names)
+            texts += list(own)
+            target += [label] * len(own)
+            mass += [m] * len(own)
+            if len(texts) >= SENTENCES_A_ROW:
+                yield row()
+    if texts:
+        yield row()
+
+
+def packed_gradient(row: object, weights: list[np.ndarray], refined: bool) -> tuple[list[np.ndarray], float]:
+    """Gradient and mass of one packed row."""
+    block = Block(*[np.frombuffer(x, np.int32) for x in (row.ids, row.sizes, row.members, row.lengths)])
+    target, mass = np.frombuffer(row.target, np.float32).reshape(block.n, -1), np.frombuffer(row.mass, np.float32)
+    if refined:
+        guess = SubjectModel.scores(weights, block)
+        sure = guess.max(axis=1, initial=0) > 0.6
+        # a sentence that the model takes for no subject is talk about data work or a passing mention
+        target = np.where(sure[:, None], guess > 0.6, target * 0.3)
+        mass = np.ones(len(target))
+    return SubjectModel.gradient(weights, block, target, mass), float(mass.sum())
 
 
 def subject_hints(nb_contents: DataFrame, predictions: DataFrame, labels: DataFrame, subjects: list[str]) -> DataFrame:
@@ -138,8 +201,11 @@ def subject_hints(nb_contents: DataFrame, predictions: DataFrame, labels: DataFr
     by subject that comes to the driver is bounded by the number of distinct domains (10,000).
     """
     ids = nb_contents.select("notebook_id", notebook_key(F.col("notebook")).alias("slug")).where("notebook_id is not null and slug is not null").distinct()
-    domains = predictions.select(notebook_key(F.col("notebook")).alias("slug"), F.explode("top_domains").alias("domain")).where("domain is not null")
-    counts = domains.groupBy("slug", F.lower(F.trim("domain")).alias("domain")).agg(F.count("*").alias("n")).join(ids, "slug")
+    # one row per spelling and list first, so that names are made alike once and not per label
+    lists = predictions.groupBy("notebook", "top_domains").agg(F.count("*").alias("n")).where("notebook is not null and top_domains is not null")
+    keyed = lists.select(notebook_key(F.col("notebook")).alias("slug"), "top_domains", "n")
+    domains = keyed.select("slug", "n", F.explode("top_domains").alias("domain")).where("domain is not null")
+    counts = materialize(domains.groupBy("slug", F.lower(F.trim("domain")).alias("domain")).agg(F.sum("n").alias("n")).join(ids, "slug").drop("slug"))
     single = labels.where(F.col("subject").isin(subjects)).groupBy("notebook_id").agg(F.collect_set("subject").alias("s"))
     known = counts.join(single.where("size(s) = 1"), "notebook_id").groupBy(F.col("s")[0].alias("subject"), "domain").agg(F.sum("n").alias("n"))
     seen: dict[str, dict[str, int]] = {}
@@ -168,43 +234,28 @@ def _sample(sets: DataFrame, seed: int) -> DataFrame:
     return sets.crossJoin(F.broadcast(total)).where(F.col("_n") * draw < MAX_NOTEBOOKS).drop("_n")
 
 
-def train(features: DataFrame, labels: DataFrame, hints: DataFrame, subjects: list[str], rounds: int = ROUNDS) -> SubjectModel:
+def train(sentences: DataFrame, labels: DataFrame, hints: DataFrame, subjects: list[str], rounds: int = ROUNDS) -> SubjectModel:
     """Fit the model on the sentences of a bounded sample of labelled and of hinted notebooks.
 
     A notebook's labels hold for its sentences as a whole, so sentences of notebooks with one
     label are positives of that label.  Sentences on data work occur under all labels alike and
     end up with none.  In the last rounds the model itself says which sentences are positive.
     """
-    spark = features.sparkSession
+    spark = sentences.sparkSession
     index = {s: k for k, s in enumerate(subjects)}
     sets = labels.where("notebook_id is not null").where(F.col("subject").isin(subjects)).groupBy("notebook_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
     chosen = _sample(sets, 21).withColumn("mass", F.when(F.size("subjects") == 1, 1.0).otherwise(0.3)).unionByName(_sample(hints, 22).withColumn("mass", F.lit(HINT_MASS)))
-    rows = materialize(features.join(chosen, "notebook_id").repartition(PARTITIONS, "notebook_id"))
+    dealt = sentences.join(F.broadcast(chosen), "notebook_id").repartition(PARTITIONS, "notebook_id")
+    rows = materialize(dealt.mapInPandas(lambda batches: pack_training(index, batches), PACKED))
     model = SubjectModel(subjects)
-    k = len(subjects)
 
     def gradients(weights, refined: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sums, mass = None, 0.0
             for batch in batches:
-                ids, row = _flat(batch["ids"])
-                if not len(ids):
-                    continue
-                target = np.zeros((len(batch), k), np.float32)
-                weight = batch["mass"].to_numpy(np.float32)
-                for at, names in enumerate(batch["subjects"]):
-                    own = [index[s] for s in names]
-                    target[at, own] = 1.0 / len(own)
-                if refined:
-                    guess = SubjectModel.scores(weights.value, ids, row, len(batch))
-                    sure = guess.max(axis=1) > 0.6
-                    target[sure] = guess[sure] > 0.6
-                    # sentences that the model takes for none of the labels are talk about data work or passing mentions
-                    target[~sure] *= 0.3
-                    weight = np.ones(len(batch), np.float32)
-                part = SubjectModel.gradient(weights.value, ids, row, target, weight)
-                sums = part if sums is None else [a + b for a, b in zip(sums, part, strict=True)]
-                mass += float(weight.sum())
+                for row in batch.itertuples():
+                    parts, m = packed_gradient(row, weights.value, refined)
+                    sums, mass = parts if sums is None else [a + b for a, b in zip(sums, parts, strict=True)], mass + m
             if sums is not None:
                 yield pd.DataFrame({"mass": [mass], "parts": [[g.astype(np.float32).tobytes() for g in sums]]})
 
@@ -212,30 +263,34 @@ def train(features: DataFrame, labels: DataFrame, hints: DataFrame, subjects: li
 
     for number in range(rounds):
         weights = spark.sparkContext.broadcast(model.weights)
-        got = rows.select("ids", "subjects", "mass").mapInPandas(gradients(weights, number >= rounds * 0.6), "mass double, parts array<binary>").collect()
+        got = rows.mapInPandas(gradients(weights, number >= rounds * 0.6), "mass double, parts array<binary>").collect()
         weights.unpersist()
         if not got:
             break
-        total_gradient = [sum(np.frombuffer(r["parts"][j], np.float32).reshape(w.shape) for r in got) for j, w in enumerate(model.weights)]
-        model.step(total_gradient, sum(r["mass"] for r in got))
+        total = [sum(np.frombuffer(r["parts"][j], np.float32).reshape(w.shape) for r in got) for j, w in enumerate(model.weights)]
+        model.step(total, sum(r["mass"] for r in got))
     release(rows)
     return model
 
 
-SCORES = "notebook_id long, sentence_no int, probabilities array<float>"
-
-
-def score_sentences(features: DataFrame, model: SubjectModel) -> DataFrame:
-    """Probability of each subject for every sentence."""
-    weights = features.sparkSession.sparkContext.broadcast(model.weights)
+def score_notebooks(sentences: DataFrame, model: SubjectModel, cut: float) -> DataFrame:
+    """(notebook_id, k, n_sentences, n_with): sentences of each notebook that have subject k."""
+    weights = sentences.sparkSession.sparkContext.broadcast(model.weights)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, row = _flat(batch["ids"])
-            p = SubjectModel.scores(weights.value, ids, row, len(batch)).astype(np.float32) if len(batch) else np.zeros((0, 1), np.float32)
-            yield pd.DataFrame({"notebook_id": batch["notebook_id"], "sentence_no": batch["sentence_no"], "probabilities": list(p)})
+            rows = []
+            texts = [s for own in batch["sentences"] for s in own]
+            has = SubjectModel.scores(weights.value, Block.of(texts)) >= cut if texts else None
+            at = 0
+            for notebook_id, own in zip(batch["notebook_id"], batch["sentences"], strict=True):
+                if len(own):
+                    n = has[at : at + len(own)].sum(axis=0)
+                    rows += [(notebook_id, int(k), len(own), int(n[k])) for k in np.flatnonzero(n)]
+                at += len(own)
+            yield pd.DataFrame(rows, columns=["notebook_id", "k", "n_sentences", "n_with"])
 
-    return features.mapInPandas(run, SCORES)
+    return sentences.mapInPandas(run, "notebook_id long, k int, n_sentences long, n_with long")
 
 
 def subject_shares(nb_contents: DataFrame, predictions: DataFrame, labels: DataFrame, subjects: DataFrame, cut: float = CUT) -> DataFrame:
@@ -248,18 +303,9 @@ def subject_shares(nb_contents: DataFrame, predictions: DataFrame, labels: DataF
     model without subjects and no rows.
     """
     names = sorted(r["subject"] for r in subjects.select("subject").where("subject is not null").distinct().limit(10_000).collect())
-    features = materialize(sentence_features(nb_contents))
+    sentences = materialize(sentence_table(nb_contents))
     hints = materialize(subject_hints(nb_contents, predictions, labels, names))
-    model = train(features, labels, hints, names)
-    scored = score_sentences(spread(features), model)
-    best = scored.withColumn("n_sentences", F.lit(1)).select(
-        "notebook_id", F.posexplode("probabilities").alias("k", "p"), "sentence_no"
-    )
-    totals = features.groupBy("notebook_id").agg(F.count("*").alias("n_sentences"))
-    table = features.sparkSession.createDataFrame(list(enumerate(names)), "k int, subject string")
-    with_subject = best.where(F.col("p") >= cut).groupBy("notebook_id", "k").agg(F.count("*").alias("n_with"))
-    return (
-        with_subject.join(totals, "notebook_id")
-        .join(F.broadcast(table), "k")
-        .select("notebook_id", "subject", "n_sentences", "n_with", (F.col("n_with") / F.col("n_sentences")).alias("share"))
-    )
+    model = train(sentences, labels, hints, names)
+    table = sentences.sparkSession.createDataFrame(list(enumerate(names)), "k int, subject string")
+    found = score_notebooks(spread(sentences), model, cut)
+    return found.join(F.broadcast(table), "k").select("notebook_id", "subject", "n_sentences", "n_with", (F.col("n_with") / F.col("n_sentences")).alias("share"))
