@@ -26,15 +26,16 @@ def join_key_stats(rows: DataFrame, stats: DataFrame, keys: list[str], size: str
 def lookup(rows: DataFrame, table: DataFrame, key: str, hot: int = 1024) -> DataFrame:
     """Left join of ``rows`` with ``table``, which has at most one row per ``key``.
 
-    Keys with more than 1/``hot`` of all rows are found first, by counts; their at most ``hot``
-    entries are broadcast, so no task gets more than that share by one key.  Null keys and keys
-    that ``table`` lacks get nulls.
+    Keys with more than 1/``hot`` of all rows are found first, by counts, of which there are fewer
+    than ``hot``; their entries are broadcast, so no task gets more than that share by one key.
+    Null keys and keys that ``table`` lacks get nulls.
     """
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col(key).isNotNull())
     total = rows.agg(F.count("*").alias("_total"))
-    heavy = counts.crossJoin(F.broadcast(total)).where(F.col("_n") * hot > F.col("_total")).select(key, F.lit(True).alias("_hot"))
-    marked = rows.join(F.broadcast(heavy), key, "left")
-    hot_table = table.join(F.broadcast(heavy.select(key)), key, "left_semi")
-    by_broadcast = marked.where("_hot").drop("_hot").join(F.broadcast(hot_table), key, "left")
-    by_shuffle = marked.where("_hot is null").drop("_hot").join(table, key, "left")
-    return by_broadcast.unionByName(by_shuffle)
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    found = counts.crossJoin(F.broadcast(total)).where(F.col("_n") * hot > F.col("_total")).select(key)
+    heavy = [r[0] for r in found.limit(hot).collect()]
+    if not heavy:
+        return rows.join(table, key, "left")
+    is_hot = F.coalesce(F.col(key).isin(heavy), F.lit(False))
+    by_broadcast = rows.where(is_hot).join(F.broadcast(table.where(F.col(key).isin(heavy))), key, "left")
+    return by_broadcast.unionByName(rows.where(~is_hot).join(table, key, "left"))
