@@ -201,13 +201,11 @@ def subject_hints(nb_contents: DataFrame, predictions: DataFrame, labels: DataFr
     by subject that comes to the driver is bounded by the number of distinct domains (10,000).
     """
     ids = nb_contents.select("notebook_id", notebook_key(F.col("notebook")).alias("slug")).where("notebook_id is not null and slug is not null").distinct()
-    # one row per spelling and list first, so that names are made alike once and not per label
-    lists = predictions.groupBy("notebook", "top_domains").agg(F.count("*").alias("n")).where("notebook is not null and top_domains is not null")
-    keyed = lists.select(notebook_key(F.col("notebook")).alias("slug"), "top_domains", "n")
-    domains = keyed.select("slug", "n", F.explode("top_domains").alias("domain")).where("domain is not null")
-    counts = materialize(domains.groupBy("slug", F.lower(F.trim("domain")).alias("domain")).agg(F.sum("n").alias("n")).join(ids, "slug").drop("slug"))
+    listed = predictions.select(notebook_key(F.col("notebook")).alias("slug"), "top_domains").where("slug is not null")
     single = labels.where(F.col("subject").isin(subjects)).groupBy("notebook_id").agg(F.collect_set("subject").alias("s"))
-    known = counts.join(single.where("size(s) = 1"), "notebook_id").groupBy(F.col("s")[0].alias("subject"), "domain").agg(F.sum("n").alias("n"))
+    fitted = _sample(single.where("size(s) = 1"), 23).join(ids, "notebook_id").select("slug", F.col("s")[0].alias("subject"))
+    labelled = listed.join(F.broadcast(fitted), "slug").select("subject", F.explode("top_domains").alias("domain")).where("domain is not null")
+    known = labelled.groupBy("subject", F.lower(F.trim("domain")).alias("domain")).agg(F.count("*").alias("n"))
     seen: dict[str, dict[str, int]] = {}
     for r in known.limit(10_000 * max(1, len(subjects))).collect():
         seen.setdefault(r["domain"], {})[r["subject"]] = r["n"]
@@ -217,14 +215,17 @@ def subject_hints(nb_contents: DataFrame, predictions: DataFrame, labels: DataFr
     for domain, by in sorted(seen.items()):
         logs = [math.log((by.get(s, 0) + 0.5) / (total[s] + 0.5 * len(seen))) for s in subjects]
         mean = sum(logs) / len(logs)
-        rows.append((domain, [x - mean for x in logs]))
-    table = F.broadcast(spark.createDataFrame(rows, "domain string, logs array<double>"))
-    scored = counts.join(table, "domain").select("notebook_id", "n", F.posexplode("logs").alias("k", "log"))
-    means = scored.groupBy("notebook_id", "k").agg((F.sum(F.col("n") * F.col("log")) / F.sum("n")).alias("mean"))
-    ranked = means.groupBy("notebook_id").agg(F.sort_array(F.collect_list(F.struct("mean", "k")), asc=False).alias("top"))
+        rows.append((domain, *[x - mean for x in logs]))
+    columns = [f"l{k}" for k in range(len(subjects))]
+    table = F.broadcast(spark.createDataFrame(rows, ", ".join(["domain string", *[f"{c} double" for c in columns]])))
+    # a row per label only within a task: sums by notebook are combined before the shuffle
+    labels_of = listed.select("slug", F.explode("top_domains").alias("domain")).select("slug", F.lower(F.trim("domain")).alias("domain"))
+    sums = labels_of.join(table, "domain").groupBy("slug").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in columns])
+    order = F.sort_array(F.array(*[F.struct((F.col(c) / F.col("n")).alias("mean"), F.lit(k).alias("k")) for k, c in enumerate(columns)]), asc=False) if columns else F.array().cast("array<struct<mean double, k int>>")
+    ranked = sums.withColumn("top", order)
     names = F.array(*[F.lit(s) for s in subjects]) if subjects else F.array().cast("array<string>")
-    sure = ranked.where(f"size(top) = 1 or top[0].mean - top[1].mean >= {MARGIN}")
-    return sure.join(single, "notebook_id", "left_anti").select("notebook_id", F.array(names[F.col("top")[0]["k"]]).alias("subjects"))
+    sure = ranked.where(f"size(top) = 1 or size(top) > 1 and top[0].mean - top[1].mean >= {MARGIN}").select("slug", F.array(names[F.col("top")[0]["k"]]).alias("subjects"))
+    return sure.join(ids, "slug").join(single, "notebook_id", "left_anti").select("notebook_id", "subjects")
 
 
 def _sample(sets: DataFrame, seed: int) -> DataFrame:
@@ -257,17 +258,17 @@ def train(sentences: DataFrame, labels: DataFrame, hints: DataFrame, subjects: l
                     parts, m = packed_gradient(row, weights.value, refined)
                     sums, mass = parts if sums is None else [a + b for a, b in zip(sums, parts, strict=True)], mass + m
             if sums is not None:
-                yield pd.DataFrame({"mass": [mass], "parts": [[g.astype(np.float32).tobytes() for g in sums]]})
+                yield pd.DataFrame({"mass": [mass], **{f"part{j}": [g.astype(np.float32).tobytes()] for j, g in enumerate(sums)}})
 
         return run
 
     for number in range(rounds):
         weights = spark.sparkContext.broadcast(model.weights)
-        got = rows.mapInPandas(gradients(weights, number >= rounds * 0.6), "mass double, parts array<binary>").collect()
+        got = rows.mapInPandas(gradients(weights, number >= rounds * 0.6), "mass double, part0 binary, part1 binary, part2 binary").toArrow().to_pylist()
         weights.unpersist()
         if not got:
             break
-        total = [sum(np.frombuffer(r["parts"][j], np.float32).reshape(w.shape) for r in got) for j, w in enumerate(model.weights)]
+        total = [sum(np.frombuffer(r[f"part{j}"], np.float32).reshape(w.shape) for r in got) for j, w in enumerate(model.weights)]
         model.step(total, sum(r["mass"] for r in got))
     release(rows)
     return model
