@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notemill.operators.indexing import rank_within
 from notemill.operators.stats import correlations
 
 #: Columns that a correlated pair keeps against others, by how their names begin.
@@ -69,10 +70,9 @@ def inflation(table: DataFrame, columns: list[str]) -> dict[str, float]:
 
 def stratified_split(table: DataFrame, label: str, key: str, test: float = 0.25, seed: int = 42) -> DataFrame:
     """``table`` with ``is_test``: in every class the share ``test`` with the least hashes of ``key``."""
-    order = F.xxhash64(F.lit(seed), key)
     counts = table.groupBy(label).agg(F.count("*").alias("_n"))
-    ranked = table.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(order, key)))
-    return ranked.join(F.broadcast(counts), label).withColumn("is_test", F.col("_r") <= F.ceil(F.col("_n") * test)).drop("_r", "_n")
+    ranked = rank_within(table.withColumn("_o", F.xxhash64(F.lit(seed), key)), label, ["_o", key], "_r")
+    return ranked.join(F.broadcast(counts), label).withColumn("is_test", F.col("_r") < F.ceil(F.col("_n") * test)).drop("_r", "_n", "_o")
 
 
 def balanced_weights(table: DataFrame, label: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notemill.functions import code as C
@@ -18,6 +18,7 @@ from notemill.operators import ranking as R
 from notemill.operators import salient as S
 from notemill.operators import stats as X
 from notemill.operators.current import current_rows
+from notemill.operators.indexing import rank_within
 from notemill.streaming.budget import trailing_sum
 
 DOC = ["notebook_id", "part"]
@@ -395,8 +396,7 @@ def q_prompt(spark: SparkSession, folder: str) -> DataFrame:
 def q_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Page of 20 kernels that each kernel of an account is on."""
     k = table(spark, folder, "kernels").select("kernel_ref").distinct().withColumn("account", F.substring_index("kernel_ref", "/", 1))
-    n = F.row_number().over(Window.partitionBy("account").orderBy("kernel_ref"))
-    return k.select("kernel_ref", F.floor((n - 1) / 20).alias("page"))
+    return rank_within(k, "account", ["kernel_ref"], "n").select("kernel_ref", F.floor(F.col("n") / 20).alias("page"))
 
 
 def q_categories(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,6 +14,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _clean() -> None:
+    """At the end of the driver's Python: delete the intermediate tables that are left."""
+    for spark, path in _written:
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001, S112
+            continue
+
+
+atexit.register(_clean)
 
 
 def build_session(app: str = "notemill", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -55,17 +68,20 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/notemill/{uuid.uuid4().hex}"
+    _written.append((spark, path))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._notemill_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def release(df: DataFrame | None) -> None:
     """Delete the files of a table made by ``materialize``; anything else is left alone."""
     path = getattr(df, "_notemill_path", None)
-    if path is None:
-        return
-    jvm = df.sparkSession.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if path is not None:
+        _delete(df.sparkSession, path)

@@ -9,7 +9,7 @@ from notemill.operators import ranking as R
 from notemill.operators import salient as S
 from notemill.operators import stats as X
 from notemill.operators.current import current_rows
-from notemill.operators.indexing import dense_index
+from notemill.operators.indexing import dense_index, rank_within
 from notemill.operators.judge import judge
 from notemill.operators.skew import join_key_stats, lookup
 from notemill.plans.catalogue import REPORTED, REPORTED_PARTS
@@ -29,6 +29,12 @@ def test_dense_index(spark):
     assert [r["i"] for r in got] == list(range(19)) and [r["c"] for r in got] == sorted("hello world of rows")
 
 
+def test_rank_within(spark):
+    df = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 3), ("b", 1), (None, 9)], "k string, v long")
+    got = {(r["k"], r["v"]): r["n"] for r in rank_within(df, "k", ["v"], "n").collect()}
+    assert got == {("a", i): i for i in range(50)} | {("b", 1): 0, ("b", 3): 1, (None, 9): 0}
+
+
 def test_hot_joins(spark):
     rows = spark.createDataFrame([("hot", i) for i in range(300)] + [(f"k{i}", i) for i in range(50)] + [(None, 1)], "k string, v long")
     stats = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n"))
