@@ -10,6 +10,7 @@ that matches decides.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -183,8 +184,8 @@ def language_of(text: str, lang: str | None) -> str:
             return key
     if code == "en":
         return code
-    words = re.findall(r"[^\W\d_]+", text.lower())
-    return max(_WORDS, key=lambda k: sum(w in _WORDS[k] for w in words)) if words else "en"
+    words = Counter(re.findall(r"[^\W\d_]+", text.lower()))
+    return max(_WORDS, key=lambda k: sum(words[w] for w in _WORDS[k])) if words else "en"
 
 
 def cascade(lang: str, lower: bool) -> list[Rule]:
@@ -201,6 +202,8 @@ _SAFE = {
 _FOREIGN = {k: [rule(False, rf"{EDGE}(?:{v})\.", r"\s*[^\W_]", re.I)] for k, v in _SAFE.items()}
 LOWER_STYLE_ALL = COMMON[:14] + LOWER_STYLE + COMMON[14:]
 CASED_STYLE_ALL = COMMON[:14] + CASED_STYLE + COMMON[14:]
+#: Abbreviations of four letters and more: after any other such word, a stop before a capital ends the sentence in all tables.
+_LONG_ABBREVIATIONS = {w.replace("?", "") for table in (TITLES, *POINTERS.values(), *ENDERS.values()) for w in table.split("|")} | {"sept"}
 _CASCADES = {(k, low): cascade(k, low) for k in LANGUAGE for low in (False, True)}
 
 
@@ -321,7 +324,7 @@ def _cuts(text: str, start: int, end: int, lang: str) -> Iterator[int]:
     spots += [(m.start(), m.end(), 1) for m in EMOTE_ONLY.finditer(body)]
     if lang == "th":
         spots += [(m.start(), m.end(), 2) for m in THAI.finditer(body)]
-    last = 0
+    last, quoted = 0, '"' in body or "“" in body
     for s, e, kind in sorted(spots):
         if s < last:
             continue
@@ -332,6 +335,8 @@ def _cuts(text: str, start: int, end: int, lang: str) -> Iterator[int]:
             if not rest or not (lower or re.match(UPPER, rest) or re.match(rf"{START}[{CASELESS}\d]", rest)):
                 continue
             cut = e
+        elif e - s == 1 and not quoted and _plain_end(body, s, e):
+            cut = e
         else:
             quotes = body.count('"', last, e)
             after = body[e : e + 90]
@@ -359,6 +364,21 @@ def _cuts(text: str, start: int, end: int, lang: str) -> Iterator[int]:
         last = cut
 
 
+def _plain_end(body: str, s: int, e: int) -> bool:
+    """A long word that is no abbreviation, one stop, blanks and a capital: every cascade breaks here."""
+    if not (body[s] in ".!?" and body[max(0, s - 4) : s].isalpha() and s >= 4 and body[e : e + 1].isspace()):
+        return False
+    k = s
+    while k and body[k - 1].isalpha():
+        k -= 1
+    if k and (body[k - 1] in "._/\\@#" or body[k - 1].isdigit()) or body[k:s].lower() in _LONG_ABBREVIATIONS:
+        return False
+    n = e
+    while body[n].isspace():
+        n += 1
+    return body[n].isupper()
+
+
 def _inside(body: str, last: int, at: int) -> bool:
     """The stop stands in a short straight quotation that still has text before its end."""
     close = body.find('"', at)

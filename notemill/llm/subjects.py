@@ -48,7 +48,7 @@ def prose(narrative: str) -> list[str]:
             for node in section.children:
                 if node.kind in ("paragraph", "quote"):
                     text = node.text
-                    out += [re.sub(r"\s+", " ", text[a:b]) for a, b in split(text, lang) if node.kind == "paragraph" or b - a > 40]
+                    out += [" ".join(text[a:b].split()) for a, b in split(text, lang) if node.kind == "paragraph" or b - a > 40]
     return [s for s in out if len(s.split()) >= 4 or re.search(r"[぀-ヿ㐀-鿿]{6}", s)]
 
 
