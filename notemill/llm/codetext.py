@@ -51,7 +51,7 @@ _MACHINE = re.compile(
     r"^\s*(?:%|!|\$ |>>>|\.\.\. )|://|-\*-|^\s*(?:type|noqa|pylint|pragma|fmt|mypy|isort|nosec|flake8|coding|vim|yapf|pyright|ruff)\b\s*[:=]|\bnoqa\b|^\s*(?:@|\+\+|<[/!a-z])"
     r"|(?i:^\s*(?:select\b.+\bfrom|insert\s+into|update\b.+\bset|delete\s+from|create\s+(?:table|view|index)|alter\s+table|drop\s+table|with\b.+\bas\s*\()\b)"
     r"|(?:[\w.~-]*/){2,}|^[A-Za-z0-9_./\\-]+$|\w\((?!s\))|\w\[[^\]]|\w+\.\w+\(|\\[dwsbDWSB][+*]|\[[^\]]+\][+*?]|</?\w+[^>]*>|[{};]\s*$"
-    r"|(?:^|\s)(?:[=<>!+*/%&|^-]=|=|->|=>|&&|\|\||<-|:=|\+=|\*\*|<<|>>)(?:\s|$)|^\s*(?:pip|conda|apt|git|cd|ls|mkdir|curl|wget|sudo|export|chmod|docker|kaggle)\s+[-\w./]+(?:\s|$)(?=.*(?:-|/|\.|==))"
+    r"|(?:^|\s)(?:[=<>!+*/%&|^-]=|=|->|=>|&&|\|\||<-|:=|\+=|\*\*|<<|>>)(?:\s|$)|^\s*(?:pip|conda|apt|git|cd|ls|mkdir|curl|wget|sudo|export|chmod|docker)\s+[-\w./]+(?:\s|$)(?=.*(?:-|/|\.|==))"
 )
 
 
