@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,8 +12,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notemill.operators.indexing import rank_within
+from notemill.operators.indexing import dense_index, rank_within
 from notemill.operators.stats import correlations
+from notemill.session import materialize, release
 
 #: Columns that a correlated pair keeps against others, by how their names begin.
 FAVOURED = ("tensor_lib_", "op_", "cyclomatic_complexity")
@@ -68,6 +70,13 @@ def inflation(table: DataFrame, columns: list[str]) -> dict[str, float]:
     return out
 
 
+def selected(table: DataFrame, columns: list[str], limit: float = 0.8, most: float = 10.0) -> list[str]:
+    """Columns left after correlated ones and then, all at once, those with an inflation factor above ``most`` were dropped."""
+    kept = uncorrelated(table, columns, limit)
+    factors = inflation(table, kept)
+    return [c for c in kept if not factors.get(c, 0.0) > most]
+
+
 def stratified_split(table: DataFrame, label: str, key: str, test: float = 0.25, seed: int = 42) -> DataFrame:
     """``table`` with ``is_test``: in every class the share ``test`` with the least hashes of ``key``."""
     counts = table.groupBy(label).agg(F.count("*").alias("_n"))
@@ -124,67 +133,205 @@ def classification_report(pairs: DataFrame, truth: str, predicted: str) -> DataF
     return scored.unionByName(macro)
 
 
-def _fit_binary(x: np.ndarray, y: np.ndarray, c: float, l1: bool, steps: int) -> np.ndarray:
-    """Coefficients (intercept first, penalised too) of a binary logistic model.
+#: Rows that are worked on at once, and models whose sums travel together.
+ROWS_AT_ONCE, MODELS_AT_ONCE, MODELS_A_BLOCK = 2048, 1024, 32
+
 
-    L2 by Newton steps; L1 by proximal gradient with momentum, from zero.
+def shuffled(ids: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Where permutation ``seed`` of 0 .. n-1 puts ``ids``.
+
+    A Feistel network over the next even number of bits, walked until it is below n, is a
+    bijection; so every row can tell its own place, and no table of places is needed.
     """
-    x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x.shape[1])
-    if not l1:
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-            grad = c * x.T @ (p - y) + w
-            hess = c * (x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w))
-            move = np.linalg.solve(hess, grad)
-            w -= move
-            if np.abs(move).max() < 1e-8:
-                break
-        return w
-    rate = 1 / (c * 0.25 * np.linalg.norm(x, 2) ** 2 + 1e-12)
-    v, t = w.copy(), 1.0
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ v, -35, 35)))
-        step = v - rate * c * (x.T @ (p - y))
-        new = np.sign(step) * np.maximum(np.abs(step) - rate, 0)
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, w, t = new + (t - 1) / t_new * (new - w), new, t_new
+    half = np.uint64(max(1, (max(1, n - 1).bit_length() + 1) // 2))
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    keys = np.random.default_rng([7, seed]).integers(0, 1 << 63, 8, dtype=np.uint64)
+    out = ids.astype(np.uint64)
+    todo = np.arange(len(out))
+    while len(todo):
+        at = out[todo]
+        left, right = at >> half, at & mask
+        for key in keys:
+            mixed = (right + key) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            left, right = right, left ^ ((mixed ^ (mixed >> np.uint64(32))) & mask)
+        out[todo] = (left << half) | right
+        todo = todo[out[todo] >= n]
+    return out.astype(np.int64)
+
+
+def _labels(ids: np.ndarray, n: int, models: list[tuple[int, int, int]]) -> np.ndarray:
+    """Labels of the rows ``ids``, a column for each model (permutation, first, end): rows are
+    numbered by class, so those that a permutation puts between first and end are the class."""
+    places = {i: shuffled(ids, n, i) if i >= 0 else ids for i in {m[0] for m in models}}
+    return np.column_stack([(places[i] >= first) & (places[i] < end) for i, first, end in models])
+
+
+def _sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Loss, gradient and upper half of the Hessian of each column's model, one below the other."""
+    i, j = np.triu_indices(len(w))
+    out = np.zeros((1 + len(w) + len(i), w.shape[1]))
+    for at in range(0, len(x), ROWS_AT_ONCE):
+        rows, own = x[at : at + ROWS_AT_ONCE], y[at : at + ROWS_AT_ONCE]
+        m = rows @ w
+        e = np.exp(-np.abs(m))
+        p = np.where(m >= 0, 1.0, e) / (1 + e)
+        out[0] += (np.maximum(m, 0) + np.log1p(e) - own * m).sum(axis=0)
+        out[1 : 1 + len(w)] += rows.T @ (p - own)
+        out[1 + len(w) :] += (rows[:, i] * rows[:, j]).T @ (p * (1 - p))
+    return out
+
+
+def _lasso_step(w: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> np.ndarray:
+    """Minimum of the quadratic model plus the L1 norm, by coordinate descent for all columns at once."""
+    v, pull = w.copy(), np.zeros((w.shape[1], len(w)))
+    for _ in range(10_000):
+        most = 0.0
+        for j in range(len(w)):
+            h = hess[:, j, j] + 1e-12
+            z = v[j] * h - grad[j] - pull[:, j]
+            new = np.sign(z) * np.maximum(np.abs(z) - 1, 0) / h
+            move = new - v[j]
+            pull += move[:, None] * hess[:, j]
+            v[j] = new
+            most = max(most, float(np.abs(move).max()))
+        if most < 1e-10:
+            break
+    return v - w
+
+
+def _fit_binary(sums: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.ndarray, c: float, l1: bool, passes: int = 200) -> np.ndarray:
+    """Coefficients (intercept first, penalised too) of binary logistic models, one a column of ``start``.
+
+    Newton steps, for L1 proximal ones, halved where the loss would rise.  ``sums`` gives what
+    ``_sums`` does for coefficients and the numbers of their columns: from an array or from a
+    distributed table.
+    """
+    d, k = start.shape
+    w, move, low = start.copy(), np.zeros((d, k)), np.full(k, np.inf)
+    i, j = np.triu_indices(d)
+    left = np.arange(k)
+    for _ in range(passes):
+        at = w[:, left] + move[:, left]
+        got = c * sums(at, left)
+        loss = got[0] + (np.abs(at).sum(axis=0) if l1 else (at * at).sum(axis=0) / 2)
+        fine = loss <= low[left] + 1e-12 * np.abs(loss)
+        move[:, left[~fine]] /= 2
+        if fine.any():
+            at, grad, own = at[:, fine], got[1 : 1 + d, fine], left[fine]
+            hess = np.zeros((len(own), d, d))
+            hess[:, i, j] = hess[:, j, i] = got[1 + d :, fine].T
+            w[:, own], low[own] = at, loss[fine]
+            move[:, own] = _lasso_step(at, grad, hess) if l1 else -np.linalg.solve(hess + np.eye(d), (grad + at).T[:, :, None])[:, :, 0].T
+        left = left[np.abs(move[:, left]).max(axis=0) >= 1e-5]  # the error that is left is of the order of its square
+        if not len(left):
+            return w + move + 0.0
+    raise RuntimeError(f"logistic models did not settle in {passes} passes")
+
+
+def _start(models: list[tuple[int, int, int]], n: int, d: int) -> np.ndarray:
+    """Zeros, but for the intercept the log odds of the class."""
+    w = np.zeros((d, len(models)))
+    share = np.array([(end - first + 0.5) / (n + 1) for _, first, end in models])
+    w[0] = np.log(share / (1 - share))
     return w
 
 
 SIGNIFICANCE = "class string, feature string, coefficient double, std_error double, lower_ci double, upper_ci double, p_value double, is_significant boolean"
 
 
-def permutation_test(table: DataFrame, columns: list[str], label: str, classes: list[str], permutations: int = 1000, c: float = 1.0, block: int = 25, max_rows: int = 50_000) -> DataFrame:
+def _distributed_sums(table: DataFrame, columns: list[str], n: int, models: list[tuple[int, int, int]]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """``_sums`` over ``table`` (columns, _id) in one pass: each task adds up its rows, then blocks of models are added."""
+    spark = table.sparkSession
+    few = table.coalesce(spark.sparkContext.defaultParallelism)
+    schema = "b long, part binary"
+
+    def sums(w: np.ndarray, own: np.ndarray) -> np.ndarray:
+        sent = spark.sparkContext.broadcast((w, [models[k] for k in own]))
+        height = 1 + len(w) + len(w) * (len(w) + 1) // 2
+
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            w, models = sent.value
+            total = np.zeros((height, w.shape[1]))
+            for batch in batches:
+                ids, x = batch["_id"].to_numpy(), np.column_stack([np.ones(len(batch)), batch[columns].to_numpy(dtype=float)])
+                for at in range(0, len(ids), ROWS_AT_ONCE):
+                    part = slice(at, at + ROWS_AT_ONCE)
+                    total += _sums(x[part], _labels(ids[part], n, models), w)
+            for b in range(0, w.shape[1], MODELS_A_BLOCK):
+                yield pd.DataFrame({"b": [b], "part": [total[:, b : b + MODELS_A_BLOCK].tobytes()]})
+
+        def added(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+            total = sum(np.frombuffer(p) for p in sorted(group["part"]))
+            return pd.DataFrame({"b": [key[0]], "part": [total.tobytes()]})
+
+        blocks = few.mapInPandas(partial, schema).groupBy("b").applyInPandas(added, schema).orderBy("b").collect()
+        sent.destroy()
+        return np.hstack([np.frombuffer(r["part"]).reshape(height, -1) for r in blocks])
+
+    return sums
+
+
+def _distributed_statistics(rows: DataFrame, columns: list[str], label: str, classes: list[str], permutations: int, c: float) -> DataFrame:
+    """(class, k, seen, std_error, p_value) for a table of any size: the rows stay where they are and
+    every step of all models of a class is one pass over them."""
+    numbered = dense_index(rows, [label, *columns], "_id")
+    ends = {r[label]: (r["first"], r["last"] + 1) for r in numbered.groupBy(label).agg(F.min("_id").alias("first"), F.max("_id").alias("last")).collect()}
+    n = max((end for _, end in ends.values()), default=0)
+    table = materialize(numbered.select("_id", *columns))
+    release(numbered)
+
+    def fitted(models: list[tuple[int, int, int]], l1: bool) -> np.ndarray:
+        parts = [models[k : k + MODELS_AT_ONCE] for k in range(0, len(models), MODELS_AT_ONCE)]
+        return np.hstack([_fit_binary(_distributed_sums(table, columns, n, part), _start(part, n, len(columns) + 1), c, l1) for part in parts])
+
+    seen = fitted([(-1, *ends.get(k, (0, 0))) for k in classes], True)
+    out = []
+    for at, k in enumerate(classes):
+        null, own = fitted([(i, *ends.get(k, (0, 0))) for i in range(permutations)], False), seen[:, at : at + 1]
+        beyond = np.where(own >= 0, null >= own, null <= own)
+        out += [(k, f, float(own[f, 0]), float(null[f].std()), float(beyond[f].mean())) for f in range(len(null))]
+    release(table)
+    return rows.sparkSession.createDataFrame(out, "class string, k int, seen double, std_error double, p_value double")
+
+
+def permutation_test(table: DataFrame, columns: list[str], label: str, classes: list[str], permutations: int = 1000, c: float = 1.0, block: int = 125, max_rows: int = 50_000) -> DataFrame:
     """Significance of each feature for each class against permuted labels.
 
     The observed coefficients are those of an L1 model, the permuted ones of L2 models; the
     standard error is the population deviation of the latter, the p-value the share of them that
-    lie beyond the observed one on its side.  Every task fits one class and one block of
-    permutations on the broadcast feature matrix, which ``max_rows`` bounds; a larger table is
-    refused, to be sampled by the caller.
+    lie beyond the observed one on its side.  Up to ``max_rows`` rows every task fits one class and
+    one block of permutations on the broadcast feature matrix; a larger table is not collected, and
+    the same models with the same permutations are fitted by passes over it.  Rows with a null are
+    left out.
     """
     spark = table.sparkSession
-    rows = table.select(*[F.col(x).cast("double") for x in columns], label).na.drop().orderBy(label, *columns).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} rows; give a sample")
-    data = spark.sparkContext.broadcast((np.array([r[:-1] for r in rows], dtype=float), [r[-1] for r in rows]))
-    jobs = spark.createDataFrame([(k, b) for k in classes for b in range(-(-permutations // block))], "class string, block long").repartition(len(classes) * max(1, permutations // block))
-    names = ["intercept", *columns]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, labels = data.value
-        for batch in batches:
-            for k, b in zip(batch["class"], batch["block"], strict=True):
-                y = np.array([float(v == k) for v in labels])
-                out = [] if b else [(k, -1, _fit_binary(x, y, c, True, 500).tolist())]
-                for i in range(b * block, min(permutations, (b + 1) * block)):
-                    out.append((k, i, _fit_binary(x, np.random.default_rng([7, i]).permutation(y), c, False, 0).tolist()))
-                yield pd.DataFrame(out, columns=["class", "i", "w"])
-
-    fits = jobs.mapInPandas(run, "class string, i long, w array<double>").select("class", "i", F.posexplode("w").alias("k", "w"))
-    null = fits.where("i >= 0").join(fits.where("i < 0").select("class", "k", F.col("w").alias("seen")), ["class", "k"])
-    beyond = F.when(F.col("seen") >= 0, F.col("w") >= F.col("seen")).otherwise(F.col("w") <= F.col("seen"))
-    stats = null.groupBy("class", "k", "seen").agg(F.stddev_pop("w").alias("std_error"), F.avg(beyond.cast("double")).alias("p_value"))
-    feature = F.get(F.array(*[F.lit(n) for n in names]), F.col("k"))
+    rows = table.select(*[F.col(x).cast("double") for x in columns], label).na.drop()
+    feature = F.get(F.array(*[F.lit(n) for n in ["intercept", *columns]]), F.col("k"))
+    if not classes or rows.limit(max_rows + 1).count() > max_rows:
+        stats = _distributed_statistics(rows, columns, label, classes, permutations, c) if classes else spark.createDataFrame([], "class string, k int, seen double, std_error double, p_value double")
+    else:
+        own = rows.orderBy(label, *columns).collect()
+        names = [r[-1] for r in own]
+        ends = {k: (bisect_left(names, k), bisect_right(names, k)) for k in classes}
+        data = spark.sparkContext.broadcast(np.array([(1.0, *r[:-1]) for r in own], dtype=float).reshape(len(own), len(columns) + 1))
+        jobs = spark.createDataFrame([(k, b) for k in classes for b in range(-(-permutations // block))], "class string, block long").repartition(len(classes) * -(-permutations // block))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            x = data.value
+            ids = np.arange(len(x))
+            for batch in batches:
+                for k, b in zip(batch["class"], batch["block"], strict=True):
+                    out = []
+                    for models, l1 in (([(-1, *ends[k])] if not b else [], True), ([(i, *ends[k]) for i in range(b * block, min(permutations, (b + 1) * block))], False)):
+                        if models:
+                            y = _labels(ids, len(x), models)
+                            w = _fit_binary(lambda at, own, y=y: _sums(x, y[:, own], at), _start(models, len(x), x.shape[1]), c, l1)
+                            out += [(k, m[0], w[:, j].tolist()) for j, m in enumerate(models)]
+                    yield pd.DataFrame(out, columns=["class", "i", "w"])
+
+        fits = materialize(jobs.mapInPandas(run, "class string, i long, w array<double>")).select("class", "i", F.posexplode("w").alias("k", "w"))
+        null = fits.where("i >= 0").join(fits.where("i < 0").select("class", "k", F.col("w").alias("seen")), ["class", "k"])
+        beyond = F.when(F.col("seen") >= 0, F.col("w") >= F.col("seen")).otherwise(F.col("w") <= F.col("seen"))
+        stats = null.groupBy("class", "k", "seen").agg(F.stddev_pop("w").alias("std_error"), F.avg(beyond.cast("double")).alias("p_value"))
     return stats.select("class", feature.alias("feature"), F.col("seen").alias("coefficient"), "std_error", (F.col("seen") - 1.96 * F.col("std_error")).alias("lower_ci"), (F.col("seen") + 1.96 * F.col("std_error")).alias("upper_ci"), "p_value", (F.col("p_value") < 0.05).alias("is_significant"))

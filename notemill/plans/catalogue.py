@@ -368,11 +368,13 @@ def q_confusion_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_permutation(spark: SparkSession, folder: str) -> DataFrame:
-    """Significance of the code metrics for every class."""
-    own = M.frequent_classes(features(spark, folder), "domain").select("domain", *METRICS)
-    scaled = X.standardized(own, METRICS)
-    classes = [r["domain"] for r in scaled.groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(5).collect()]
-    return M.permutation_test(scaled, METRICS, "domain", classes, permutations=200)
+    """Significance of the features left after selection, for every class of the training rows."""
+    split, columns = _labelled(spark, folder)
+    own = split.na.fill(0, columns)
+    kept = M.selected(own, columns)
+    train = own.where("not is_test").select("domain", *kept)
+    classes = [r["domain"] for r in train.select("domain").distinct().orderBy("domain").collect()]
+    return M.permutation_test(X.standardized(train, kept), kept, "domain", classes)
 
 
 def q_token_window(spark: SparkSession, folder: str) -> DataFrame:

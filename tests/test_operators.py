@@ -12,6 +12,7 @@ from notemill.operators.current import current_rows
 from notemill.operators.indexing import dense_index, rank_within
 from notemill.operators.judge import judge
 from notemill.operators.skew import join_key_stats, lookup
+from notemill.plans import catalogue
 from notemill.plans.catalogue import REPORTED, REPORTED_PARTS
 
 
@@ -189,6 +190,26 @@ def test_models_separate_classes(spark):
     assert 0 <= tests["c", "z"]["p_value"] <= 1
 
 
+def test_permutation_test_of_larger_tables_gives_the_same(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(rng.normal(k == 2)), float(rng.normal()), "abc"[k]) for k in range(3) for _ in range(30)] + [(None, 1.0, "a")]
+    df = spark.createDataFrame(rows, "x double, z double, y string")
+    small, large = ({(r["class"], r["feature"]): r for r in M.permutation_test(df, ["x", "z"], "y", ["c"], permutations=5, max_rows=n).collect()} for n in (1000, 10))
+    assert len(small) == 3 and small.keys() == large.keys()
+    for k, r in small.items():
+        assert list(large[k])[2:7] == pytest.approx(list(r)[2:7], abs=1e-6)
+    assert sorted(M.shuffled(np.arange(91), 91, 4)) == list(range(91)) and list(M.shuffled(np.arange(91), 91, 4)) != list(M.shuffled(np.arange(91), 91, 5))
+
+
+def test_permutation_query_does_every_class(spark, monkeypatch):
+    folder, seen = "/root/testdata/sf0.01", {}
+    monkeypatch.setattr(M, "permutation_test", lambda table, columns, label, classes, permutations=1000: seen.update(n=table.count(), columns=columns, classes=classes, permutations=permutations))
+    catalogue.q_permutation(spark, folder)
+    split = catalogue.q_split(spark, folder).collect()
+    assert seen["classes"] == sorted(r["domain"] for r in split) and len(split) > 5 and seen["permutations"] == 1000
+    assert len(seen["columns"]) == 29 and seen["n"] == sum(r["n"] - r["n_test"] for r in split)
+
+
 def test_judge_uses_the_scorer_and_survives_failures(spark):
     def scorer(text):
         if "bad" in text:
