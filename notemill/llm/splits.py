@@ -7,6 +7,8 @@ multiplicities of group sizes, so the totals come as close to the proportions as
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,13 +121,60 @@ def group_of_notebooks(notebooks: DataFrame, groups: DataFrame) -> DataFrame:
     return names.withColumn("slug", notebook_key(F.col("notebook"))).join(by_slug, "slug").select("notebook", "group_key")
 
 
+def _exchange(taken: dict[int, int], spare: dict[int, int], missing: int, window: int) -> None:
+    """Move groups between ``taken`` and ``spare`` until ``missing`` rows more are taken, or as near as can be.
+
+    Whole groups first, from the largest down; what is left is less than a group and found by a
+    bitset over exchanges of real sizes whose sums stay within ``window``.
+    """
+    source, target = (spare, taken) if missing > 0 else (taken, spare)
+    rest = abs(missing)
+    for size in sorted(source, reverse=True):
+        n = min(source[size], rest // size)
+        source[size] -= n
+        target[size] = target.get(size, 0) + n
+        rest -= n * size
+    sign = 1 if missing > 0 else -1
+    goal, unit = sign * rest, math.gcd(*spare, *taken) or 1
+    nearest = min(goal % unit, -goal % unit)
+    if rest <= nearest:
+        return
+    window = max(window, 2 * rest)
+    full = (1 << (2 * window + 1)) - 1
+    layers, steps = [1 << window], []
+
+    def distance() -> tuple[int, int]:
+        return next((d, v) for d in range(rest + 1) for v in (goal - d, goal + d) if abs(v) <= window and layers[-1] >> (window + v) & 1)
+
+    for size in sorted(s for s in {*spare, *taken} if s <= window):
+        for pool, way in ((spare, 1), (taken, -1)):
+            count, step = min(pool.get(size, 0), 2 * window // size), 1
+            while count:
+                n = min(step, count)
+                count, step = count - n, step * 2
+                last = layers[-1]
+                grown = (last | (last << n * size if way > 0 else last >> n * size)) & full
+                if grown != last:
+                    layers.append(grown)
+                    steps.append((size, way * n))
+        if layers[-1] >> (window + goal) & 1 or distance()[0] <= nearest:
+            break
+    at = window + distance()[1]
+    for k in range(len(steps) - 1, -1, -1):
+        size, n = steps[k]
+        if not layers[k] >> at & 1:
+            spare[size] = spare.get(size, 0) - n
+            taken[size] = taken.get(size, 0) + n
+            at -= size * n
+
+
 def deal_sizes(histogram: dict[int, int], shares: dict[str, float], max_bits: int = 1 << 22) -> dict[str, dict[int, int]]:
     """How many groups of each size go to each split: {split: {size: count}}.
 
     For each split but the largest, a bitset of reachable subset sums over size multiplicities
     (binary splitting) picks the total nearest to its share.  Sizes are measured in units of
-    total/``max_bits``; exact below that total.  Groups smaller than half a unit cannot be seen
-    by the bitset and fill what is missing by count.
+    total/``max_bits``; exact below that total.  Above it the rows that rounding makes too few or too
+    many, groups smaller than half a unit among them, are made good by exchanges of real sizes.
     """
     total = sum(s * n for s, n in histogram.items())
     unit = max(1, -(-total // max_bits))
@@ -154,11 +203,9 @@ def deal_sizes(histogram: dict[int, int], shares: dict[str, float], max_bits: in
             if not layers[k] >> at & 1:
                 taken[size] = taken.get(size, 0) + take
                 at -= weight
-        missing = goal - sum(s * n for s, n in taken.items())
-        for size in sorted((s for s, n in left.items() if n and not round(s / unit)), reverse=True):
-            take = min(left[size], max(0, missing) // size)
-            taken[size] = take
-            missing -= take * size
+        if unit > 1:
+            spare = {s: n - taken.get(s, 0) for s, n in left.items()}
+            _exchange(taken, spare, goal - sum(s * n for s, n in taken.items()), max_bits)
         for size, take in taken.items():
             left[size] -= take
         out[split] = {s: n for s, n in taken.items() if n}

@@ -73,6 +73,17 @@ def test_deal_with_coarse_units():
     assert splits.deal_sizes({}, {"train": 0.9, "test": 0.1}) == {"train": {}, "test": {}}
 
 
+@pytest.mark.parametrize(("histogram", "bits"), [({2: 5_000_000}, 1 << 22), ({2: 1000, 3: 1001}, 1 << 11), ({3: 500, 5: 400, 1000: 3}, 1 << 10), ({4: 900, 6: 700}, 1 << 11), ({7: 10, 400: 12, 5000: 1}, 1 << 8)])
+def test_rounding_of_units_is_made_good(histogram, bits):
+    total = sum(s * n for s, n in histogram.items())
+    plan = splits.deal_sizes(histogram, {"train": 0.8, "validation": 0.1, "test": 0.1}, max_bits=bits)
+    exact = splits.deal_sizes(histogram, {"train": 0.8, "validation": 0.1, "test": 0.1}, max_bits=total) if total < 1 << 20 else None
+    for s in ("validation", "test"):
+        got = sum(k * n for k, n in plan[s].items())
+        assert abs(got - round(total * 0.1)) <= (abs(sum(k * n for k, n in exact[s].items()) - round(total * 0.1)) if exact else 0)
+    assert sum((Counter(p) for p in plan.values()), Counter()) == Counter(histogram) and all(n > 0 for p in plan.values() for n in p.values())
+
+
 def test_groups_stay_together(spark):
     df = spark.createDataFrame([(f"g{i}", 1 + i % 5) for i in range(100)] + [("huge", 150), (None, 5)], "group_key string, n_rows long")
     got = splits.split_groups(df, {"train": 0.8, "validation": 0.1, "test": 0.1}).collect()
