@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notemill.llm.lexer import CODE, Span, cut, lex, prefix_states, stitch, transition
+from notemill.llm.lexer import CODE, Span, cut, effects, lex, prefix_starts, stitch
 from notemill.operators.current import current_rows
 from notemill.operators.spread import spread
 from notemill.session import materialize
@@ -310,17 +310,18 @@ def language_in_code(nb_contents: DataFrame, documents: DataFrame, chunk: int =
 
     def functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"notebook_id": batch["notebook_id"], "k": batch["k"], "f": [transition(t) for t in batch["text"]]})
+            yield pd.DataFrame({"notebook_id": batch["notebook_id"], "k": batch["k"], "f": [[x for own in effects(t) for x in own] for t in batch["text"]]})
 
     def prefix(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("k")
-        return pd.DataFrame({"notebook_id": group["notebook_id"], "k": group["k"], "start": prefix_states([list(f) for f in group["f"]], CODE)})
+        starts = prefix_starts([np.reshape(f, (-1, 3)) for f in group["f"]], CODE)
+        return pd.DataFrame({"notebook_id": group["notebook_id"], "k": group["k"], "start": [s for s, _ in starts], "depth": [d for _, d in starts]})
 
     def lexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             spans = [
-                [(s.kind, s.start, s.end, s.text, s.prefix, s.depth, s.left, s.right, s.own_line) for s in lex(t, int(q), int(o))]
-                for t, q, o in zip(batch["text"], batch["start"], batch["at"], strict=True)
+                [(s.kind, s.start, s.end, s.text, s.prefix, s.depth, s.left, s.right, s.own_line) for s in lex(t, int(q), int(o), int(d))]
+                for t, q, o, d in zip(batch["text"], batch["start"], batch["at"], batch["depth"], strict=True)
             ]
             yield pd.DataFrame({"notebook_id": batch["notebook_id"], "k": batch["k"], "spans": spans})
 
@@ -339,7 +340,7 @@ def language_in_code(nb_contents: DataFrame, documents: DataFrame, chunk: int =
     if cuts.isEmpty():
         return short
     dealt = cuts.repartition("notebook_id", "k")
-    starts = dealt.mapInPandas(functions, "notebook_id long, k int, f array<int>").groupBy("notebook_id").applyInPandas(prefix, "notebook_id long, k int, start int")
+    starts = dealt.mapInPandas(functions, "notebook_id long, k int, f array<long>").groupBy("notebook_id").applyInPandas(prefix, "notebook_id long, k int, start int, depth long")
     found = cuts.join(starts, ["notebook_id", "k"]).mapInPandas(lexed, f"notebook_id long, k int, spans {span_type}")
     both = found.join(cuts.select("notebook_id", "k", "text"), ["notebook_id", "k"])
     return short.unionAll(both.groupBy("notebook_id").applyInPandas(joined, SCHEMA))

@@ -1,8 +1,8 @@
 """Chunked lexer of notebook code: comments and string literals as spans.
 
 The lexer is a finite automaton over lines.  A chunk of a file is summed up by its transition
-function (end state for each start state); functions compose, so the start state of every chunk
-of a huge file follows from a parallel prefix over the functions, and chunks are then lexed
+function (end state and open brackets for each start state); functions compose, so the start of
+every chunk of a huge file follows from a parallel prefix over the functions, and chunks are then lexed
 independently.  Cells start afresh: a cell header resets the state whatever came before.
 """
 
@@ -15,6 +15,8 @@ import numpy as np
 
 CODE, COMMENT, SINGLE, DOUBLE, TRIPLE_SINGLE, TRIPLE_DOUBLE, FOREIGN, FOREIGN_REMARK = range(8)
 STATES = 8
+#: More brackets than are ever open.
+FAR = 1 << 40
 QUOTE = {SINGLE: "'", DOUBLE: '"', TRIPLE_SINGLE: "'''", TRIPLE_DOUBLE: '"""'}
 HEADER = re.compile(r"Content of code cell #\d+:")
 HEADED = re.compile(r"Content of code cell #\d+:\s*(?:%%\w+)?")
@@ -116,23 +118,48 @@ def lex_line(line: str, state: int, at: int, depth: int, spans: list[Span] | Non
     return state, depth
 
 
-def transition(chunk: str) -> list[int]:
-    """The chunk's transition function: its end state for each start state."""
-    image = list(range(STATES))
+def effects(chunk: str) -> list[tuple[int, int, int]]:
+    """The chunk's transition function: (end state, low, change) for each start state.
+
+    Brackets open before it, d, become max(low, d + change): that is what steps up, steps down to
+    no less than none, and resets at cell headers (a change of -``FAR``) come to, line after line.
+    """
+    image = [(s, 0, 0) for s in range(STATES)]
     for line in chunk.splitlines(keepends=True):
-        step = {s: lex_line(line, s, 0, 0, None)[0] for s in set(image)}
-        image = [step[s] for s in image]
+        step = {}
+        for s in {e for e, _, _ in image}:
+            (end, low), (_, high) = lex_line(line, s, 0, 0, None), lex_line(line, s, 0, FAR, None)
+            step[s] = (end, low, high - FAR if high > FAR // 2 else -FAR)
+        image = [composed(own, step[own[0]]) for own in image]
     return image
 
 
-def prefix_states(functions: list[list[int]], start: int = CODE) -> list[int]:
-    """Start state of each chunk, by doubling: after round r every entry covers 2^r chunks."""
+def composed(first: tuple[int, int, int], then: tuple[int, int, int]) -> tuple[int, int, int]:
+    """The effect of two pieces one after the other, ``then`` being that for the end state of ``first``."""
+    return then[0], max(then[1], first[1] + then[2]), max(-FAR, first[2] + then[2])
+
+
+def prefix_starts(functions: list[list[tuple[int, int, int]]], start: int = CODE) -> list[tuple[int, int]]:
+    """Start state and open brackets of each chunk, by doubling: after round r every entry covers 2^r chunks."""
     maps = np.array(functions, dtype=np.int64)
     span = 1
     while span < len(maps):
-        maps[span:] = np.take_along_axis(maps[span:], maps[:-span], axis=1)
+        first = maps[:-span]
+        then = np.take_along_axis(maps[span:], first[:, :, :1], axis=1)
+        both = np.stack([then[..., 0], np.maximum(then[..., 1], first[..., 1] + then[..., 2]), np.maximum(-FAR, first[..., 2] + then[..., 2])], axis=-1)
+        maps = np.concatenate([maps[:span], both])
         span *= 2
-    return [start, *maps[:-1, start].tolist()] if len(maps) else []
+    return [(start, 0), *((int(end), int(max(low, change))) for end, low, change in maps[:-1, start])] if len(maps) else []
+
+
+def transition(chunk: str) -> list[int]:
+    """The end state of the chunk for each start state."""
+    return [end for end, _, _ in effects(chunk)]
+
+
+def prefix_states(functions: list[list[int]], start: int = CODE) -> list[int]:
+    """Start state of each chunk from its ``transition``."""
+    return [s for s, _ in prefix_starts([[(end, 0, 0) for end in f] for f in functions], start)]
 
 
 def cut(text: str, size: int) -> list[tuple[int, str]]:
@@ -155,10 +182,10 @@ def cut(text: str, size: int) -> list[tuple[int, str]]:
     return out
 
 
-def lex(chunk: str, state: int = CODE, offset: int = 0) -> list[Span]:
-    """Spans of a chunk lexed from ``state``."""
+def lex(chunk: str, state: int = CODE, offset: int = 0, depth: int = 0) -> list[Span]:
+    """Spans of a chunk lexed from ``state`` with ``depth`` brackets open."""
     spans: list[Span] = []
-    at, depth = offset, 0
+    at = offset
     for line in chunk.splitlines(keepends=True):
         state, depth = lex_line(line, state, at, depth, spans)
         at += len(line)

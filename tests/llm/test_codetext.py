@@ -1,7 +1,7 @@
 import pytest
 
 from notemill.llm import codetext
-from notemill.llm.lexer import cut, lex, prefix_states, stitch, transition
+from notemill.llm.lexer import cut, effects, lex, prefix_starts, prefix_states, stitch, transition
 
 CODE = '''
 Content of code cell #1:import os  # drop the rows without a value
@@ -38,6 +38,25 @@ def test_chunks_give_the_same_spans(size):
     assert [(s.kind, s.start, s.end, s.text) for s in got] == [(s.kind, s.start, s.end, s.text) for s in lex(CODE)]
 
 
+@pytest.mark.parametrize("size", [7, 20, 64])
+def test_chunks_know_the_open_brackets(size):
+    code = "x = ))[\n" + 'y = [(\n  "the model is "\n  # why (not]\n  "trained on all "\n "of the rows"), {\n' * 4 + "Content of code cell #2:a = f(\n'b'\n))\n" + "Content of code cell #3:%%bash\necho ( # one\n" + CODE
+    chunks = cut(code, size)
+    starts = prefix_starts([effects(c) for _, c in chunks])
+    got = stitch([lex(c, s, at, d) for (at, c), (s, d) in zip(chunks, starts, strict=True)])
+    assert [(s.kind, s.start, s.end, s.text, s.depth) for s in got] == [(s.kind, s.start, s.end, s.text, s.depth) for s in lex(code)]
+    assert max(s.depth for s in got) > 8
+    assert list(codetext.units(code, got)) == list(codetext.units(code, lex(code)))
+
+
+def test_sentence_over_lines_of_a_long_call_is_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    code = "x = [\n" + "  1,\n" * 100 + '  "the rows without "\n  "a value are "\n  "dropped before training"\n]\n'
+    df = spark.createDataFrame([(1, code, 1)], "notebook_id long, code string, scraped_at long")
+    whole, pieces = ({tuple(r) for r in codetext.language_in_code(df, docs, chunk=n).collect()} for n in (10_000, 200))
+    assert whole == pieces and {r[5] for r in pieces} == {"the rows without a value are dropped before training"}
+
+
 def test_adjacent_literals_are_one():
     texts = [t for kind, _, _, t in codetext.units(CODE, lex(CODE)) if kind == "string"]
     assert "die Ergebnisse werden neben dem Notebook gespeichert" in texts
