@@ -88,7 +88,7 @@ def p6_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     found = leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark_items"))
-    return found.withColumns({c: F.round(c, 6) for c in ("score", "item_share", "question_share")})
+    return found.withColumns({c: F.round(c, 6) for c in ("score", "item_share", "passage_share", "question_share")})
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -120,7 +120,7 @@ def test_leaks_equal_dynamic_programming():
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(60)] + ["the", "of", "in"] * 8
     items = {i: [rng.choice(vocabulary) for _ in range(rng.randrange(8, 30))] for i in range(40)}
-    index = leakage.ItemIndex(items)
+    index = leakage.ItemIndex({i: (w, 0, len(w)) for i, w in items.items()})
     leaks = 0
     for _ in range(150):
         item = items[rng.randrange(40)]
@@ -144,12 +144,38 @@ def test_words_as_a_reader_takes_them():
 
 
 def test_leak_operator(spark):
-    item = "Read the text first and then answer. At noon the old red fox ran over nine tall hills near the quiet lake while rain fell"
-    other = "Read the text first and then answer. Many green ships sailed past seven bright harbours before the long storm ended that winter night"
-    items = spark.createDataFrame([(k, f"Read the text first and then answer. {' '.join(f'z{k}a{j}' for j in range(14))}") for k in range(3, 8)] + [(1, item), (2, other), (9, None), (10, "short")], "item_id long, text string")
+    item = "Read the text first and then answer. At noon the old red fox ran over nine tall hills near the quiet lake while rain fell. Where was it?"
+    other = "Read the text first and then answer. Many green ships sailed past seven bright harbours before the long storm ended that winter night. What was seen?"
+    items = spark.createDataFrame([(k, f"Read the text first and then answer. {' '.join(f'z{k}a{j}' for j in range(14))}. What is z{k}?") for k in range(3, 8)] + [(1, item), (2, other), (9, None), (10, "short")], "item_id long, text string")
     docs = spark.createDataFrame(
         [(1, "So: at noon the old red dog ran over tall hills near the quiet lake."), (2, "Read the text first and then answer. Nothing else is here to be read at all."), (3, None), (4, ""), (5, "ship " * 50000 + other), (6, "at noon the old red fox")], "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(docs, items).collect()}
     assert got == {(1, 1), (5, 2)}
     assert leakage.find_leaks(docs.limit(0), items).count() == 0
     assert leakage.find_leaks(docs, items.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [4, 5, 50])
+def test_items_on_one_passage_keep_it(spark, n):
+    passage = "At noon the old red fox ran over nine tall hills near the quiet lake. Then seven grey geese slept under a wooden bridge until the morning rain had stopped."
+    items = spark.createDataFrame([(k, f"{passage} What did number {k} see there?") for k in range(n)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"It says: {passage}"), (2, "then seven grey geese slept under some wooden bridge until the morning")], "doc_id long, text string")
+    got = leakage.find_leaks(docs, items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, k) for d in (1, 2) for k in range(n)}
+    assert all(r["passage_share"] == (1.0 if r["doc_id"] == 1 else pytest.approx(12 / 29, abs=0.1)) for r in got)
+
+
+def test_question_and_passage_are_verified_apart(spark):
+    passage, question = "Many green ships sailed past seven bright harbours before the long storm ended.", "Which of the ships was the last to come home that very winter night?"
+    items = spark.createDataFrame([(1, f"{passage} {question}")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, passage), (2, question), (3, f"{passage} {question}")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["passage_share"], r["question_share"]) for r in leakage.find_leaks(docs, items).collect()}
+    assert got[1][0] == 1.0 and got[1][1] < 0.2 and got[2][1] == 1.0 and got[2][0] < 0.2 and got[3] == (1.0, 1.0)
+
+
+def test_instruction_alone_is_no_leak():
+    texts = {k: f"Read the text first and then answer all of it in one word only. {' '.join(f'z{k}a{j}' for j in range(14))}. What is z{k}?" for k in range(6)}
+    index = leakage.item_index(texts)
+    assert not index.leaks(leakage.words_of("Read the text first and then answer all of it in one word only. z1a0 z1a1 and nothing else"))
+    # a match that begins in the instruction needs most of its words beyond it
+    assert [index.ids[a] for a in index.leaks(leakage.words_of("one word only. " + " ".join(f"z3a{j}" for j in range(9))))] == [3]
