@@ -114,12 +114,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_sentences(spark: SparkSession, folder: str) -> DataFrame:
     """Sentences with their texts."""
-    docs = table(spark, folder, "documents")
-    spans = sentences.split_sentences(docs)
-    texts = docs.select("doc_id", "text")
-    return spans.join(texts, "doc_id").select(
-        "doc_id", "start_pos", "end_pos", "lang_used", F.expr("substring(text, cast(start_pos + 1 as int), cast(end_pos - start_pos as int))").alias("sentence")
-    )
+    return sentences.sentence_texts(table(spark, folder, "documents"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

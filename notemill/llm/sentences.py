@@ -3,8 +3,9 @@
 A text is first cut into blocks (fenced code dropped, headings and list items set apart,
 paragraphs at blank lines).  Within a paragraph every possible stop is decided by cascading
 tables of ordered rules, each a pair of patterns for what stands before and after the stop:
-the table of the language, then that of its writing style, then the common one; the first rule
-that matches decides.
+the table of the language, then the common one with that of its writing style in it; the first
+rule that matches decides.  Each rule says what may stand right before and after a stop that it
+applies to, so that only few of them need be tried at any one stop.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from notemill.operators.spread import spread
@@ -48,7 +49,7 @@ ENDERS = {
 OPENERS = (
     "the|this|that|these|those|a|an|we|i|you|he|she|they|it|it's|i'm|my|our|his|her|their|your|there|here|what|why|how|who|when|where|which|did|does|do|has|have|had|is|are|was|were|can|could|should|would|"
     "will|let|please|thanks|thank|nothing|nobody|everybody|everyone|someone|no|not|yes|use|set|see|for|in|on|at|by|from|to|with|as|if|once|after|before|while|since|although|though|because|according|"
-    "honestly|sadly|luckily|finally|however|moreover|also|then|next|now|today|item|step|version|wait|as|near|"
+    "honestly|sadly|luckily|finally|however|moreover|also|then|next|now|today|wait|as|near|"
     "der|die|das|ein|eine|wir|ich|sie|er|es|wer|was|warum|wie|wo|wann|siehe|laut|am|im|danach|niemand|"
     "le|la|les|un|une|nous|je|il|elle|qui|pourquoi|comment|voir|quelle|quel|on|el|los|las|una|uno|después|qué|por|quién|cómo|véase|o|os|as|um|uma|depois|quem|veja|que"
 )
@@ -56,17 +57,28 @@ SPEECH = "wrote|said|asked|says|writes|asks|replied|answered|added|noted|shouted
 EXTENSION = "csv|txt|json|gz|tar|zip|png|jpe?g|gif|svg|pdf|py|ipynb|parquet|md|html?|xml|ya?ml|toml|ini|log|js|ts|java|cpp|h|r|sql|sh|exe|docx?|xlsx?|pptx?|h5|pkl|npy|npz|feather|com|org|net|edu|io|example|nan|inf|shape|columns|index|values|dtype|mean|sum|std|min|max|head|tail|fit|predict|loc|iloc"
 
 
+#: What stands before a stop: a single letter, a word that ends an abbreviation, another word, a digit, anything else;
+#: and after it: white space, a comma or colon, a closing mark, a letter or digit, anything else.
+PREVIOUS, NEXT = "iwldc", "spqao"
+_NEXT_CLASS = {**dict.fromkeys(",;:", "p"), **dict.fromkeys("\"'”’»›)]}」』）】》〉］｣", "q")}
+
+
 @dataclass(frozen=True)
 class Rule:
-    """Break or not where ``before`` matches up to the stop's end and ``after`` from there."""
+    """Break or not where ``before`` matches up to the stop's end and ``after`` from there.
+
+    ``previous`` and ``following`` are the classes of neighbours without which neither can match.
+    """
 
     breaks: bool
     before: re.Pattern[str]
     after: re.Pattern[str]
+    previous: str = PREVIOUS
+    following: str = NEXT
 
 
-def rule(breaks: bool, before: str, after: str, flags: int = 0) -> Rule:
-    return Rule(breaks, re.compile(rf"(?:{before})\Z", flags), re.compile(after, flags))
+def rule(breaks: bool, before: str, after: str, flags: int = 0, previous: str = PREVIOUS, following: str = NEXT) -> Rule:
+    return Rule(breaks, re.compile(rf"(?:{before})\Z", flags), re.compile(after, flags), previous, following)
 
 
 CLOSERS = rf"(?:[   ]?[»›]|[{CLOSE}])*(?:\[\d+\])*"
@@ -76,80 +88,113 @@ UPPER = rf"{START}[^\W\d_a-zß-öø-ÿа-яё{CASELESS}]"  # begins with a capit
 EDGE = r"(?<![\w.])"
 
 
+#: A noun and its number, as a subject in front.
+NUMBERED_NOUN = r"(?!(?:until|about|around|over|under|between|than|plus)\b)[a-z]{4,}\s(?:no\.\s?)?\d"
+ABBREVIATED = "iwc"  # classes before the stop of an abbreviation
+
+
 def _word_rules(lang: str) -> list[Rule]:
     rules = []
     if lang in POINTERS:
-        rules.append(rule(False, rf"{EDGE}(?:{POINTERS[lang]})\.", rf"{CLOSERS}\s*\S", re.I))
+        rules.append(rule(False, rf"{EDGE}(?:{POINTERS[lang]})\.", rf"{CLOSERS}\s*\S", re.I, ABBREVIATED))
     if lang in ENDERS:
         enders = rf"{EDGE}(?:{ENDERS[lang]})\."
-        rules.append(rule(True, rf"(?i:{enders})", rf"{GAP}(?:{UPPER}|\([^()]*[.!?]\)|[\"“„«][^\W\d_])"))
-        rules.append(rule(True, enders, rf"{GAP}{START}(?!(?:in|on|at|by|from|to|with|for|as|if|before|after|while|since|because|that|which|when|where|is|are|was|were|has|have|had|can|will|would|could|should|o|os|as|on|un|la|le|y|e|et|und|and|or|der|die|das|am|im)\b)(?:{OPENERS}|mr|mrs|ms|dr|prof)\b", re.I) if lang == "en" else rule(False, r"(?!)", ""))
-        rules.append(rule(False, enders, rf"{CLOSERS}\s*\S", re.I))
+        rules.append(rule(True, rf"(?i:{enders})", rf"{GAP}(?:{UPPER}|\([^()]*[.!?]\)|[\"“„«][^\W\d_])", previous=ABBREVIATED))
+        if lang == "en":
+            rules.append(rule(True, enders, rf"{GAP}{START}(?!(?:{CONTINUERS})\b)(?:{OPENERS}|mr|mrs|ms|dr|prof)\b", re.I, ABBREVIATED))
+            rules.append(rule(True, enders, rf"{GAP}{NUMBERED_NOUN}", re.I, ABBREVIATED))
+            # an adverbial in front of its sentence, set apart by a comma
+            rules.append(rule(True, enders, rf"{GAP}(?:in|on|at|by|for|after|before|once|as|to)\s[^.!?,;:]+,", re.I, ABBREVIATED))
+        rules.append(rule(False, enders, rf"{CLOSERS}\s*\S", re.I, ABBREVIATED))
     return rules
 
 
+def _script_rules(lang: str, letters: str) -> list[Rule]:
+    """Rules of a script without capitals: abbreviations, and quotations and dots after which the sentence goes on."""
+    rules = [rule(False, rf"{EDGE}(?:{CASELESS_ABBREVIATIONS[lang]})\.", r"\s*\S", re.I)] if lang in CASELESS_ABBREVIATIONS else []
+    return [
+        *rules,
+        rule(False, rf"[{STOP}]+", rf"[\"'”’»」』]+\s?[{letters}]", following="q"),
+        rule(False, r"…+|\.\.\.+|⋯+", rf"\s?[{letters}]", following="sa"),
+    ]
+
+
+# Words that continue a sentence after an abbreviation that may end one.
+CONTINUERS = "in|on|at|by|from|to|with|for|as|if|before|after|while|since|because|that|which|when|where|is|are|was|were|has|have|had|can|will|would|could|should|o|os|un|la|le|y|e|et|und|and|or|der|die|das|am|im"
+# Abbreviations of languages without capitals.
+CASELESS_ABBREVIATIONS = {
+    "zh": "no|vol|fig|约|第\\d+",
+    "ja": "no|vol|fig|第\\d+",
+    "ko": "no|vol|fig|제\\d+",
+    "hi": "डॉ|श्री|श्रीमती|प्रो|कु|पं|ई\\.\\s?पू|रु|कि\\.\\s?मी|सं",
+    "ar": "د|أ|م|ص\\.\\s?ب|ق\\.\\s?م|ص|ج",
+    "th": "พ\\.\\s?ศ|ค\\.\\s?ศ|ดร|ผศ|รศ|ศ|นพ|พญ|กม|ซม|กก|ม\\.\\s?ค|ก\\.\\s?พ|มี\\.\\s?ค|เม\\.\\s?ย|พ\\.\\s?ค|มิ\\.\\s?ย|ก\\.\\s?ค|ส\\.\\s?ค|ก\\.\\s?ย|ต\\.\\s?ค|พ\\.\\s?ย|ธ\\.\\s?ค",
+}
 #: The cascade of each language; every list is in order.
 LANGUAGE: dict[str, list[Rule]] = {
-    "en": [
-        rule(False, rf"{EDGE}no\.", r"\s+\d", re.I),
-        rule(True, rf"{EDGE}(?i:p\.m|a\.m)\.", rf"{GAP}(?:for|in|after|before|once|as|to be fair|on tuesday|in practice|by the way)\b[^.!?]{{0,60}}(?:,|\b\d|the\b)"),
-        *_word_rules("en"),
-    ],
-    "de": [
-        *_word_rules("de"),
-        rule(False, r"(?<![\d.,])\d{1,2}\.", r"\s+(?:[a-zäöü]|[A-ZÄÖÜ][a-zäöüß])"),
-    ],
-    "fr": [rule(False, r"(?<![\w.])M\.", r"\s+\S"), *_word_rules("fr")],
+    "en": [rule(False, rf"{EDGE}no\.", r"\s+\d", re.I, "w", "s"), *_word_rules("en")],
+    "de": [*_word_rules("de"), rule(False, r"(?<![\d.,])\d{1,2}\.", r"\s+(?:[a-zäöü]|[A-ZÄÖÜ][a-zäöüß])", 0, "d", "s")],
+    "fr": [rule(False, r"(?<![\w.])M\.", r"\s+\S", 0, "i", "s"), *_word_rules("fr")],
     "es": _word_rules("es"),
     "pt": _word_rules("pt"),
     "ru": [
-        rule(False, rf"{EDGE}\d{{3,4}}\s*г\.", r"\s+[а-яё\d]"),
-        rule(True, rf"{EDGE}\d{{3,4}}\s*гг?\.", rf"{GAP}[«„(]*[А-ЯЁ]"),
+        rule(False, rf"{EDGE}\d{{3,4}}\s*г\.", r"\s+[а-яё\d]", 0, "i", "s"),
+        rule(True, rf"{EDGE}\d{{3,4}}\s*гг?\.", rf"{GAP}[«„(]*[А-ЯЁ]", 0, "iw"),
         *_word_rules("ru"),
     ],
-    "zh": [], "ja": [], "ko": [], "hi": [], "ar": [], "th": [],
+    "zh": _script_rules("zh", "㐀-鿿豈-﫿"),
+    "ja": _script_rules("ja", CJK),
+    "ko": _script_rules("ko", "가-힯"),
+    "hi": _script_rules("hi", "ऀ-ॿ"),
+    "ar": _script_rules("ar", "؀-ۿ"),
+    "th": _script_rules("th", "฀-๿"),
 }
+GLUED, SPACED, QUOTED = "qao", "spqo", "sq"
 #: Texts without capitals: what follows a stop says little, so openers and speech words decide.
 LOWER_STYLE = [
-    rule(False, rf"[{STOP}]+", rf"[  ]?[{CLOSE}]+,?\s+(?:{SPEECH})\b"),
-    rule(False, r"\.\.\.|…", r"\s+[a-zà-ÿа-яё]"),
-    rule(False, rf"[{STOP}]+", rf"[  ]?[{CLOSE}]+\s*[–—-]\s"),
-    rule(False, r"[!?]+", r"\)\s+[a-zà-ÿа-яё]"),
-    rule(False, r"[.!?]", r"[\"”»’']+\s+(?:and|but|or|und|aber|et|mais|y|e|mas|и|а|но)\b"),
-    rule(True, r"[.!?]", rf"{GAP}\S"),
+    rule(False, rf"[{STOP}]+", rf"[  ]?[{CLOSE}]+,?\s+(?:{SPEECH})\b", following=QUOTED),
+    rule(False, r"\.\.\.|…", r"\s+[a-zà-ÿа-яё]", following="s"),
+    rule(False, rf"[{STOP}]+", rf"[  ]?[{CLOSE}]+\s*[–—-]\s", following=QUOTED),
+    rule(False, r"[!?]+", r"\)\s+[a-zà-ÿа-яё]", following="q"),
+    rule(False, r"[.!?]", r"[\"”»’']+\s+(?:and|but|or|und|aber|et|mais|y|e|mas|и|а|но)\b", following="q"),
+    rule(True, r"[.!?]", rf"{GAP}\S", following=SPACED),
 ]
 #: Texts in ordinary case.
 CASED_STYLE = [
-    rule(False, r"\.\.+|…+", rf"{CLOSERS}\s+{START}[a-zà-ÿа-яё]"),
-    rule(False, rf"[{STOP}]+", rf"[  ]?[{CLOSE}]+[,;:]?\s*(?:[–—-]\s*)?[a-zà-ÿа-яё]"),
-    rule(True, r"(?:[^\W\d_]{3,}|\d|[)\]%])[.]", rf"{GAP}(?:{OPENERS})\b"),
-    rule(True, r"(?:[^\W\d_]{5,}|(?<![.,\d])\d+)[.]", rf"{GAP}[a-zà-ÿа-яё]"),
-    rule(False, r"\.", rf"{CLOSERS}\s+[a-zà-ÿа-яё]"),
-    rule(True, r"[!?]+", rf"\s+{START}[a-zà-ÿа-яё]"),
+    rule(False, r"\.\.+|…+", rf"{CLOSERS}\s+{START}[a-zà-ÿа-яё]", following="sqo"),
+    rule(False, rf"[{STOP}]+", rf"[  ]?[{CLOSE}]+[,;:]?\s*(?:[–—-]\s*)?[a-zà-ÿа-яё]", following=QUOTED),
+    rule(True, r"(?:[^\W\d_]{3,}|\d|[)\]%])[.]", rf"{GAP}(?:{OPENERS})\b", 0, "wldc", SPACED),
+    rule(True, r"(?:[^\W\d_]{5,}|(?<![.,\d])\d+)[.]", rf"{GAP}[a-zà-ÿа-яё]", 0, "wldc", SPACED),
+    rule(False, r"\.", rf"{CLOSERS}\s+[a-zà-ÿа-яё]", following="sqo"),
+    rule(True, r"[!?]+", rf"\s+{START}[a-zà-ÿа-яё]", following="s"),
 ]
-#: The last table, for every language.
+#: The common table, for every language: what comes before the rules of style ...
 COMMON = [
     # parts of numbers, names, paths, addresses and marks such as ``(really!)``
-    rule(False, r".", r"[,;:]", re.S),
-    rule(True, r"(?:[a-zà-ÿа-яё]{2,}|\d|[)\"”»])[.!?…]+", rf"[(\"“„«¿¡]*[A-ZÀ-ÖØ-ÞА-ЯЁ](?:[a-zà-ÿа-яё]+|)(?:[\s',]|\.\.\.)"),
-    rule(True, r"(?:[a-zà-ÿа-яё]{2,}|\d{2,}|[)\"”»])[.!?]+", rf"(?!(?:{EXTENSION})\b)(?:{OPENERS})(?:[\s',]|\.\.\.)"),
-    rule(True, r"[a-zà-ÿа-яё]{2,}[!?]+", r"[^\W\d_]"),
-    rule(False, r"\.+", r"[\w/\\-]"),
-    rule(False, r"[!?]+", r"[\w=]"),
+    rule(False, r".", r"[,;:]", re.S, PREVIOUS, "p"),
+    rule(True, r"(?:[a-zà-ÿа-яё]{2,}|\d|[)\"”»])[.!?…]+", rf"[(\"“„«¿¡]*[A-ZÀ-ÖØ-ÞА-ЯЁ](?:[a-zà-ÿа-яё]+|)(?:[\s',]|\.\.\.)", 0, "wldc", GLUED),
+    rule(True, r"(?:[a-zà-ÿа-яё]{2,}|\d{2,}|[)\"”»])[.!?]+", rf"(?!(?:{EXTENSION})\b)(?:{OPENERS})(?:[\s',]|\.\.\.)", 0, "wldc", "a"),
+    rule(True, r"[a-z]{2,}[.!?]+", rf"(?!(?:{EXTENSION})\b){NUMBERED_NOUN}", 0, "wl", "a"),
+    rule(True, r"[a-zà-ÿа-яё]{2,}[!?]+", r"[^\W\d_]", 0, "wlc", "a"),
+    rule(False, r"\.+", r"[\w/\\-]", 0, PREVIOUS, "ao"),
+    rule(False, r"[!?]+", r"[\w=]", 0, PREVIOUS, "ao"),
     # initials and titles
-    rule(False, rf"{EDGE}(?:{TITLES})\.", r"\s+\S", re.I),
-    rule(False, r"(?<![\w'’])(?![a-zà-ÿа-яё])[^\W\d_]\.", r"\s+\S"),
-    rule(False, r"(?<![\w'’])[^\W\d_]\.\s[^\W\d_]\.|\b(?:by|mr\.|dr\.|ms\.)\s[^\W\d_]\.", r"\s+\S"),
-    rule(False, r"(?<![\w'’])[^\W\d_]\.", r"\s+[^\W\d_]\."),
-    rule(False, r"(?:^|[\s(])(?:[^\W\d_]\.)+[^\W\d_]\.", r"\s+[^\W\d_]\."),
+    rule(False, rf"{EDGE}(?:{TITLES})\.", r"\s+\S", re.I, ABBREVIATED, "s"),
+    rule(False, r"(?<![\w'’])(?![a-zà-ÿа-яё])[^\W\d_]\.", r"\s+\S", 0, "i", "s"),
+    rule(False, r"(?<![\w'’])[^\W\d_]\.\s[^\W\d_]\.|\b(?:by|mr\.|dr\.|ms\.)\s[^\W\d_]\.", r"\s+\S", 0, "i", "s"),
+    rule(False, r"(?<![\w'’])[^\W\d_]\.", r"\s+[^\W\d_]\.", 0, "i", "s"),
+    rule(False, r"(?:^|[\s(])(?:[^\W\d_]\.)+[^\W\d_]\.", r"\s+[^\W\d_]\.", 0, "i", "s"),
     # a number that begins the paragraph is its mark
-    rule(False, r"\A\s*\(?\d{1,3}\.", r"\s+\S"),
+    rule(False, r"\A\s*\(?\d{1,3}\.", r"\s+\S", 0, "d", "s"),
     # a quotation that goes on in a script without capitals
-    rule(False, rf"[{STOP}]+", rf"[\"'”’»」』]+\s?[{CASELESS}]"),
-    rule(False, r"…+|\.\.\.+|⋯+", rf"\s?[{CASELESS}]"),
-    rule(True, rf"[{STOP}]", rf"{GAP}"),
+    rule(False, rf"[{STOP}]+", rf"[\"'”’»」』]+\s?[{CASELESS}]", following="q"),
+    rule(False, r"…+|\.\.\.+|⋯+", rf"\s?[{CASELESS}]", following="sao"),
+]
+#: ... and what comes after them.
+LAST = [
+    rule(True, rf"[{STOP}]", rf"{GAP}", following=SPACED),
     rule(True, r"[。！？．｡]", r""),
-    rule(True, r"[؟۔।॥!?…]", rf"{CLOSERS}[^\W\d_]"),
+    rule(True, r"[؟۔।॥!?…]", rf"{CLOSERS}[^\W\d_]", following=GLUED),
 ]
 THAI = re.compile(r"(?:นะครับ|นะคะ|ครับผม|ครับ|ค่ะ|คะ|จ้ะ|จ๊ะ)(?=\s)")
 CANDIDATE = re.compile(rf"[{STOP}]+")
@@ -178,10 +223,13 @@ def language_of(text: str, lang: str | None) -> str:
     code = (lang or "").strip().lower().replace("_", "-").split("-")[0]
     if code in LANGUAGE and code not in ("en",):
         return code
-    letters = max(1, sum(map(str.isalpha, text)))
-    for key, pattern in () if text.isascii() else _SCRIPTS:
-        if len(pattern.findall(text)) > 0.3 * letters or (key == "ja" and len(pattern.findall(text)) > 0.1 * letters):
-            return key
+    if not text.isascii():
+        signs = Counter(text)
+        letters = max(1, sum(n for c, n in signs.items() if c.isalpha()))
+        for key, pattern in _SCRIPTS:
+            own = sum(n for c, n in signs.items() if pattern.match(c))
+            if own > (0.1 if key == "ja" else 0.3) * letters:
+                return key
     if code == "en":
         return code
     words = Counter(re.findall(r"[^\W\d_]+", text.lower()))
@@ -190,21 +238,60 @@ def language_of(text: str, lang: str | None) -> str:
 
 def cascade(lang: str, lower: bool) -> list[Rule]:
     """Tables in the order in which they decide; foreign abbreviations come after the own ones."""
-    others = [r for k in ("en", "de", "fr", "es", "pt", "ru") if k != lang for r in _FOREIGN[k]]
-    return LANGUAGE[lang] + _TITLES + others + (LOWER_STYLE_ALL if lower else CASED_STYLE_ALL)
+    others = [r for k in POINTERS if k != lang for r in _FOREIGN[k]]
+    return LANGUAGE[lang] + _TITLES + others + COMMON + (LOWER_STYLE if lower else CASED_STYLE) + LAST
 
 
-_TITLES = [rule(False, rf"{EDGE}(?:{TITLES})\.", r"\s+\S", re.I)]
+_TITLES = [rule(False, rf"{EDGE}(?:{TITLES})\.", r"\s+\S", re.I, ABBREVIATED, "s")]
 # of other languages only abbreviations that are no words anywhere
 _SAFE = {
     "en": "i\\.e|e\\.g|approx|vs|cf|fig|u\\.s", "de": "bzw|vgl|d\\.\\s?h|z\\.\\s?b|abb|ca", "fr": "env|p\\.\\s?ex|janv", "es": "p\\.\\s?ej|aprox", "pt": "p\\.\\s?ex|aprox", "ru": "т\\.\\s?е|см|рис",
 }
-_FOREIGN = {k: [rule(False, rf"{EDGE}(?:{v})\.", r"\s*[^\W_]", re.I)] for k, v in _SAFE.items()}
-LOWER_STYLE_ALL = COMMON[:14] + LOWER_STYLE + COMMON[14:]
-CASED_STYLE_ALL = COMMON[:14] + CASED_STYLE + COMMON[14:]
+_FOREIGN = {k: [rule(False, rf"{EDGE}(?:{v})\.", r"\s*[^\W_]", re.I, ABBREVIATED)] for k, v in _SAFE.items()}
+#: The last words of all abbreviations, in lower case.
+_ABBREVIATIONS = {re.search(r"[^\W\d_]*$", form).group() for table in (TITLES, "no", *POINTERS.values(), *ENDERS.values(), *_SAFE.values(), *CASELESS_ABBREVIATIONS.values()) for w in table.split("|") for form in {w.replace("?", ""), w[:-2] if w.endswith("?") else w}}
 #: Abbreviations of four letters and more: after any other such word, a stop before a capital ends the sentence in all tables.
-_LONG_ABBREVIATIONS = {w.replace("?", "") for table in (TITLES, *POINTERS.values(), *ENDERS.values()) for w in table.split("|")} | {"sept"}
-_CASCADES = {(k, low): cascade(k, low) for k in LANGUAGE for low in (False, True)}
+_LONG_ABBREVIATIONS = {w for w in _ABBREVIATIONS if len(w) > 3}
+
+
+def _by_neighbours(rules: list[Rule]) -> dict[str, list[Rule]]:
+    """The rules that can match at a stop, in order, by the classes of its neighbours."""
+    return {a + b: [r for r in rules if a in r.previous and b in r.following] for a in PREVIOUS for b in NEXT}
+
+
+_CASCADES = {(k, low): _by_neighbours(cascade(k, low)) for k in LANGUAGE for low in (False, True)}
+
+
+def word_before(body: str, s: int) -> int:
+    """Where the letters that end at ``s`` begin."""
+    k = s
+    while k and body[k - 1].isalpha():
+        k -= 1
+    return k
+
+
+def neighbours(body: str, k: int, s: int, e: int) -> str:
+    """Classes of what stands before the stop at ``s``, letters from ``k`` on, and after its end ``e``."""
+    if k < s:
+        before = "i" if s - k == 1 else "w" if body[k:s].lower() in _ABBREVIATIONS else "l"
+    else:
+        before = "d" if s and body[s - 1].isdigit() else "c"
+    following = body[e : e + 1]
+    return before + ("s" if following.isspace() or not following else _NEXT_CLASS.get(following) or ("a" if following.isalnum() or following == "_" else "o"))
+
+
+def decide(rules: list[Rule], tail: str, body: str, e: int) -> bool:
+    """The first rule that matches ``tail`` before and ``body`` from ``e`` on decides."""
+    for r in rules:
+        if r.after.match(body, e) and r.before.search(tail):
+            return r.breaks
+    return False
+
+
+def tail_of(body: str, last: int, s: int, e: int, plain: bool) -> str:
+    """What the rules see before the end of a stop: the last three words of the sentence that begins
+    at ``last``; of a ``plain`` word, no abbreviation, the end is enough."""
+    return body[max(last, s - 8) : e] if plain else " ".join(body[last:e].rsplit(None, 3)[-3:])
 
 
 def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
@@ -307,25 +394,32 @@ def sentences(text: str, lang: str | None = None) -> list[tuple[int, int]]:
         for a, b in zip([start, *cuts], [*cuts, end], strict=True):
             piece = text[a:b]
             lead = len(piece) - len(piece.lstrip())
-            body = piece.strip()
-            if body:
-                out.append((a + lead, a + lead + len(body)))
+            if lead < len(piece):
+                out.append((a + lead, a + len(piece.rstrip())))
     return out
 
 
-def _cuts(text: str, start: int, end: int, lang: str) -> Iterator[int]:
-    part = text[start:end]
-    body = part.rstrip()
-    cased = sum(map(str.isupper, part))
+def is_lower(part: str) -> bool:
+    """Hardly any capital: at most one in 250 small letters, and at least one of these."""
+    if len(part) < 250 or part == part.lower():
+        return part == part.lower() and part != part.upper()
     low = sum(map(str.islower, part))
-    lower = low > 0 and cased <= 0.004 * low
-    rules = _CASCADES[lang, lower]
+    return low > 0 and sum(map(str.isupper, part)) <= 0.004 * low
+
+
+def _cuts(text: str, start: int, end: int, lang: str) -> Iterator[int]:
+    body = text[start:end].rstrip()
+    lower = is_lower(body)
+    cascades = _CASCADES[lang, lower]
     spots = [(m.start(), m.end(), 0) for m in CANDIDATE.finditer(body)]
-    spots += [(m.start(), m.end(), 1) for m in EMOTE_ONLY.finditer(body)]
+    extra = [(m.start(), m.end(), 1) for m in EMOTE_ONLY.finditer(body)]
     if lang == "th":
-        spots += [(m.start(), m.end(), 2) for m in THAI.finditer(body)]
-    last, quoted = 0, '"' in body or "“" in body
-    for s, e, kind in sorted(spots):
+        extra += [(m.start(), m.end(), 2) for m in THAI.finditer(body)]
+    if extra:
+        spots = sorted(spots + extra)
+    last, straight = 0, '"' in body
+    quoted = straight or "“" in body
+    for s, e, kind in spots:
         if s < last:
             continue
         if kind == 2:
@@ -335,27 +429,21 @@ def _cuts(text: str, start: int, end: int, lang: str) -> Iterator[int]:
             if not rest or not (lower or re.match(UPPER, rest) or re.match(rf"{START}[{CASELESS}\d]", rest)):
                 continue
             cut = e
-        elif e - s == 1 and not quoted and _plain_end(body, s, e):
+        elif e - s == 1 and not quoted and _plain_end(body, k := word_before(body, s), s, e):
             cut = e
         else:
-            quotes = body.count('"', last, e)
-            after = body[e : e + 90]
+            if e - s > 1 or quoted:
+                k = word_before(body, s)
             # a straight quote after the stop closes only if one is open
-            opens = after[:1] == '"' and quotes % 2 == 0 or after[:1] == "“" and (lang in ("zh", "ja") or "„" not in body[last:e])
-            shown = after
-            if opens:
-                shown = " " + after
-            elif quotes % 2 and '"' not in after[:1] and after[:1].isspace() and '"' in body[e : e + 200]:
-                # inside a quotation that goes on: only its end may end the sentence
-                if _inside(body, last, e):
-                    continue
-            decision = None
-            before = body[max(last, e - 24) : e]
-            for r in rules:
-                if r.after.match(shown) and r.before.search(before):
-                    decision = r.breaks
-                    break
-            if not decision:
+            odd = straight and body.count('"', last, e) % 2 == 1
+            following = body[e : e + 1]
+            opens = following == '"' and not odd or following == "“" and (lang in ("zh", "ja") or "„" not in body[last:e])
+            # inside a quotation that goes on: only its end may end the sentence
+            if odd and following.isspace() and _inside(body, last, e):
+                continue
+            near = neighbours(body, k, s, e)
+            tail = tail_of(body, last, s, e, near[0] == "l")
+            if not (decide(cascades[near[0] + "s"], tail, " " + body[e:], 0) if opens else decide(cascades[near], tail, body, e)):
                 continue
             cut = e if opens else AFTER_STOP.match(body, e).end()
         if cut >= len(body):
@@ -364,31 +452,50 @@ def _cuts(text: str, start: int, end: int, lang: str) -> Iterator[int]:
         last = cut
 
 
-def _plain_end(body: str, s: int, e: int) -> bool:
-    """A long word that is no abbreviation, one stop, blanks and a capital: every cascade breaks here."""
-    if not (body[s] in ".!?" and body[max(0, s - 4) : s].isalpha() and s >= 4 and body[e : e + 1].isspace()):
+def _plain_end(body: str, k: int, s: int, e: int) -> bool:
+    """A long word from ``k``, no abbreviation, one stop, blanks and a capital: every cascade breaks here."""
+    if s - k < 4 or body[s] not in ".!?" or not body[e : e + 1].isspace():
         return False
-    k = s
-    while k and body[k - 1].isalpha():
-        k -= 1
     if k and (body[k - 1] in "._/\\@#" or body[k - 1].isdigit()) or body[k:s].lower() in _LONG_ABBREVIATIONS:
         return False
-    n = e
+    n = e + 1
     while body[n].isspace():
         n += 1
     return body[n].isupper()
 
 
 def _inside(body: str, last: int, at: int) -> bool:
-    """The stop stands in a short straight quotation that still has text before its end."""
-    close = body.find('"', at)
+    """The stop stands in a straight quotation that still has text before its end."""
     opened = body.rfind('"', last, at)
-    return 0 <= opened and close - at < 60 and not re.match(r"\s", body[opened + 1 : opened + 2] or " ")
+    return 0 <= opened and body.find('"', at) >= 0 and not body[opened + 1 : opened + 2].isspace()
 
 
 SCHEMA = "doc_id long, start_pos long, end_pos long, lang_used string"
 
 
+def _spans(documents: DataFrame, texts: bool) -> DataFrame:
+    """A row for each sentence, with its text if ``texts``; made in Arrow, batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, starts, ends, langs, found = [], [], [], [], []
+            for row, (text, lang) in enumerate(zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True)):
+                own = language_of(text, lang)
+                langs.append(own)
+                for a, b in sentences(text, own):
+                    at.append(row)
+                    starts.append(a)
+                    ends.append(b)
+                    if texts:
+                        found.append(text[a:b])
+            where = pa.array(at, pa.int64())
+            columns = [batch.column("doc_id").take(where), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(langs, pa.string()).take(where)]
+            names = ["doc_id", "start_pos", "end_pos", "lang_used"]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(found, pa.string())] * texts, names=names + ["sentence"] * texts)
+
+    return spread(documents.select("doc_id", "text", "lang").where("text is not null")).mapInArrow(run, SCHEMA + ", sentence string" * texts)
+
+
 def split_sentences(documents: DataFrame) -> DataFrame:
     """Sentences of ``documents`` (doc_id, text, lang) as (doc_id, start_pos, end_pos, lang_used).
 
@@ -396,13 +503,9 @@ def split_sentences(documents: DataFrame) -> DataFrame:
     sentence; a null or unknown lang is found from script and words.  Whole texts are processed;
     other columns are ignored, repeated rows give their sentences again, an empty table none.
     """
+    return _spans(documents, False)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc_id, text, lang in zip(batch["doc_id"], batch["text"], batch["lang"], strict=True):
-                own = language_of(text, lang if isinstance(lang, str) else None)
-                rows += [(doc_id, a, b, own) for a, b in sentences(text, own)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "end_pos", "lang_used"])
 
-    return spread(documents.select("doc_id", "text", "lang").where("text is not null")).mapInPandas(run, SCHEMA)
+def sentence_texts(documents: DataFrame) -> DataFrame:
+    """``split_sentences`` with the text of each sentence, cut where the spans are made."""
+    return _spans(documents, True)

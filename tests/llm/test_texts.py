@@ -179,3 +179,57 @@ def test_instruction_alone_is_no_leak():
     assert not index.leaks(leakage.words_of("Read the text first and then answer all of it in one word only. z1a0 z1a1 and nothing else"))
     # a match that begins in the instruction needs most of its words beyond it
     assert [index.ids[a] for a in index.leaks(leakage.words_of("one word only. " + " ".join(f"z3a{j}" for j in range(9))))] == [3]
+
+
+def test_indexed_rules_decide_like_the_whole_cascade(spark, monkeypatch):
+    """Rules chosen by neighbours and the short cut for plain ends change nothing."""
+    rng = random.Random(9)
+    parts = ["Dr", "etc", "e.g", "x", "5", "3.2", "Word", "word", "p.m", "usw", "г", "то", "好了", "動く", "됩니다", "है", "نعم", "ไป", "“", '"', "(", ")", "»", "「", "」", ":)", "[3]", "http://a.b", "_x", "no", "ph.d", "U.S", "д-р", "डॉ"]
+    texts = ["".join(rng.choice(parts) + rng.choice([". ", ".", "! ", "? ", "... ", "…", "。", " ", ", ", "।", ".\n", "?! ", ": "]) for _ in range(rng.randrange(1, 25))) for _ in range(1500)]
+    texts = [(t, rng.choice([*sentences.LANGUAGE, None])) for t in texts]
+    texts += [(r["text"], r["lang"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select("text", "lang").collect()]
+    got = [sentences.sentences(t, lang) for t, lang in texts]
+    whole = {(k, low): sentences.cascade(k, low) for k in sentences.LANGUAGE for low in (False, True)}
+    monkeypatch.setattr(sentences, "_CASCADES", {key: {a + b: rules for a in sentences.PREVIOUS for b in sentences.NEXT} for key, rules in whole.items()})
+    monkeypatch.setattr(sentences, "_plain_end", lambda body, k, s, e: False)
+    monkeypatch.setattr(sentences, "tail_of", lambda body, last, s, e, plain: " ".join(body[last:e].rsplit(None, 3)[-3:]))
+    for (text, lang), spans in zip(texts, got, strict=True):
+        assert sentences.sentences(text, lang) == spans, (text, lang)
+
+
+@pytest.mark.parametrize(
+    ("lang", "text", "want"),
+    [
+        ("hi", "डॉ. राम आए। वे ठीक हैं।", ["डॉ. राम आए।", "वे ठीक हैं।"]),
+        ("ar", "وصل د. سامي اليوم. ثم ذهب.", ["وصل د. سامي اليوم.", "ثم ذهب."]),
+        ("th", "ปี พ.ศ. 2566 มาแล้วครับ ไปแล้ว", ["ปี พ.ศ. 2566 มาแล้วครับ", "ไปแล้ว"]),
+        ("ko", "Fig. 3을 보세요. 끝.", ["Fig. 3을 보세요.", "끝."]),
+        ("en", 'He said "' + "it works well and runs on. " * 5 + 'It does" and left. Then he slept.', ['He said "' + "it works well and runs on. " * 5 + 'It does" and left.', "Then he slept."]),
+        ("en", "we meet at 5 p.m. in practice, it is later. step 3 is done.", ["we meet at 5 p.m.", "in practice, it is later.", "step 3 is done."]),
+    ],
+)
+def test_rules_of_scripts_and_long_quotations(lang, text, want):
+    assert units(text, lang) == want
+
+
+def test_sentence_texts_are_those_of_the_spans(spark):
+    df = spark.createDataFrame([(1, "A b. C d.", "en"), (1, "A b. C d.", "en"), (2, None, None)], "doc_id long, text string, lang string")
+    assert sorted(r["sentence"] for r in sentences.sentence_texts(df).collect()) == ["A b.", "A b.", "C d.", "C d."]
+
+
+def test_best_container_and_its_siblings_are_kept():
+    article = "# Text\n\n" + "A sentence, with commas, and words enough to count. " * 6
+    for around in ("# Menu\n\nHome About Contact", "<div><nav>Home About Contact Us Login</nav></div>", "<footer><ul><li>Imprint</li><li>Privacy Policy</li></ul></footer>", "# More\n\n[one page](u) [another page](u)"):
+        for text in (f"{around}\n\n{article}", f"{article}\n\n{around}"):
+            clean, _ = parse(text)
+            assert "words enough" in clean and not any(w in clean for w in ("About", "Imprint", "another page", "Menu")), (around, clean)
+    clean, _ = parse(f"{article}\n\n<div><p>A short note.</p><section>see the plot below</section></div>\n\n# Steps\n\n- load\n- fit\n\n# Data\n\n| a | b |\n|---|---|\n| 1 | 2 |")
+    assert all(w in clean for w in ("A short note.", "see the plot below", "- load\n- fit", "1\t2"))
+
+
+def test_structures_belong_to_nodes():
+    root = markup.Cell("# Head **x**\n\ntext with `code` and $a^2$\n\n<div>in [l](u)</div>").root
+    found = {n.kind: set(n.found) for n in root.walk() if n.found}
+    assert found["heading"] == {("markdown", "heading"), ("markdown", "emphasis")} and found["cell"] == {("html", "layout")}
+    assert [set(n.found) for n in root.walk() if n.kind == "paragraph"] == [{("markdown", "code"), ("latex", "formula")}, {("markdown", "link")}]
+    assert any(n.kind == "div" and n.children for n in root.walk())
