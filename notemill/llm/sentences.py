@@ -60,6 +60,8 @@ EXTENSION = "csv|txt|json|gz|tar|zip|png|jpe?g|gif|svg|pdf|py|ipynb|parquet|md|h
 #: What stands before a stop: a single letter, a word that ends an abbreviation, another word, a digit, anything else;
 #: and after it: white space, a comma or colon, a closing mark, a letter or digit, anything else.
 PREVIOUS, NEXT = "iwldc", "spqao"
+#: Stops: one dot, none with a dot in it, others.
+STOPS = ".!m"
 _NEXT_CLASS = {**dict.fromkeys(",;:", "p"), **dict.fromkeys("\"'”’»›)]}」』）】》〉］｣", "q")}
 
 
@@ -67,7 +69,8 @@ _NEXT_CLASS = {**dict.fromkeys(",;:", "p"), **dict.fromkeys("\"'”’»›)]}
 class Rule:
     """Break or not where ``before`` matches up to the stop's end and ``after`` from there.
 
-    ``previous`` and ``following`` are the classes of neighbours without which neither can match.
+    ``previous``, ``following`` and ``stops`` are the classes of neighbours and stops without which
+    it cannot match.
     """
 
     breaks: bool
@@ -75,10 +78,16 @@ class Rule:
     after: re.Pattern[str]
     previous: str = PREVIOUS
     following: str = NEXT
+    stops: str = STOPS
 
 
 def rule(breaks: bool, before: str, after: str, flags: int = 0, previous: str = PREVIOUS, following: str = NEXT) -> Rule:
-    return Rule(breaks, re.compile(rf"(?:{before})\Z", flags), re.compile(after, flags), previous, following)
+    stops = next((kinds for end, kinds in ENDINGS.items() if before.endswith(end)), STOPS)
+    return Rule(breaks, re.compile(rf"(?:{before})\Z", flags), re.compile(after, flags), previous, following, stops)
+
+
+#: The stops of a rule by the end of its pattern.
+ENDINGS = {r"\.\.\.|…": "m", r"\.\.+|…+": "m", r"…+|\.\.\.+|⋯+": "m", "[!?]+": "!m", "[。！？．｡]": "!m", "[؟۔।॥!?…]": "!m", r"\.)": ".m", r"\.": ".m", r"\.+": ".m", "[.]": ".m"}
 
 
 CLOSERS = rf"(?:[   ]?[»›]|[{CLOSE}])*(?:\[\d+\])*"
@@ -256,7 +265,7 @@ _LONG_ABBREVIATIONS = {w for w in _ABBREVIATIONS if len(w) > 3}
 
 def _by_neighbours(rules: list[Rule]) -> dict[str, list[Rule]]:
     """The rules that can match at a stop, in order, by the classes of its neighbours."""
-    return {a + b: [r for r in rules if a in r.previous and b in r.following] for a in PREVIOUS for b in NEXT}
+    return {a + b + c: [r for r in rules if a in r.previous and b in r.following and c in r.stops] for a in PREVIOUS for b in NEXT for c in STOPS}
 
 
 _CASCADES = {(k, low): _by_neighbours(cascade(k, low)) for k in LANGUAGE for low in (False, True)}
@@ -277,7 +286,8 @@ def neighbours(body: str, k: int, s: int, e: int) -> str:
     else:
         before = "d" if s and body[s - 1].isdigit() else "c"
     following = body[e : e + 1]
-    return before + ("s" if following.isspace() or not following else _NEXT_CLASS.get(following) or ("a" if following.isalnum() or following == "_" else "o"))
+    stop = "." if e - s == 1 and body[s] == "." else "m" if "." in body[s:e] or "…" in body[s:e] else "!"
+    return before + ("s" if following.isspace() or not following else _NEXT_CLASS.get(following) or ("a" if following.isalnum() or following == "_" else "o")) + stop
 
 
 def decide(rules: list[Rule], tail: str, body: str, e: int) -> bool:
@@ -418,7 +428,6 @@ def _cuts(text: str, start: int, end: int, lang: str) -> Iterator[int]:
     if extra:
         spots = sorted(spots + extra)
     last, straight = 0, '"' in body
-    quoted = straight or "“" in body
     for s, e, kind in spots:
         if s < last:
             continue
@@ -429,13 +438,14 @@ def _cuts(text: str, start: int, end: int, lang: str) -> Iterator[int]:
             if not rest or not (lower or re.match(UPPER, rest) or re.match(rf"{START}[{CASELESS}\d]", rest)):
                 continue
             cut = e
-        elif e - s == 1 and not quoted and _plain_end(body, k := word_before(body, s), s, e):
-            cut = e
         else:
-            if e - s > 1 or quoted:
-                k = word_before(body, s)
-            # a straight quote after the stop closes only if one is open
+            k = word_before(body, s)
             odd = straight and body.count('"', last, e) % 2 == 1
+            if e - s == 1 and not odd and _plain_end(body, k, s, e):
+                yield start + e
+                last = e
+                continue
+            # a straight quote after the stop closes only if one is open
             following = body[e : e + 1]
             opens = following == '"' and not odd or following == "“" and (lang in ("zh", "ja") or "„" not in body[last:e])
             # inside a quotation that goes on: only its end may end the sentence
@@ -443,7 +453,7 @@ def _cuts(text: str, start: int, end: int, lang: str) -> Iterator[int]:
                 continue
             near = neighbours(body, k, s, e)
             tail = tail_of(body, last, s, e, near[0] == "l")
-            if not (decide(cascades[near[0] + "s"], tail, " " + body[e:], 0) if opens else decide(cascades[near], tail, body, e)):
+            if not (decide(cascades[near[0] + "s" + near[2]], tail, " " + body[e:], 0) if opens else decide(cascades[near], tail, body, e)):
                 continue
             cut = e if opens else AFTER_STOP.match(body, e).end()
         if cut >= len(body):

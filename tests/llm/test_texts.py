@@ -190,7 +190,7 @@ def test_indexed_rules_decide_like_the_whole_cascade(spark, monkeypatch):
     texts += [(r["text"], r["lang"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select("text", "lang").collect()]
     got = [sentences.sentences(t, lang) for t, lang in texts]
     whole = {(k, low): sentences.cascade(k, low) for k in sentences.LANGUAGE for low in (False, True)}
-    monkeypatch.setattr(sentences, "_CASCADES", {key: {a + b: rules for a in sentences.PREVIOUS for b in sentences.NEXT} for key, rules in whole.items()})
+    monkeypatch.setattr(sentences, "_CASCADES", {key: {a + b + c: rules for a in sentences.PREVIOUS for b in sentences.NEXT for c in sentences.STOPS} for key, rules in whole.items()})
     monkeypatch.setattr(sentences, "_plain_end", lambda body, k, s, e: False)
     monkeypatch.setattr(sentences, "tail_of", lambda body, last, s, e, plain: " ".join(body[last:e].rsplit(None, 3)[-3:]))
     for (text, lang), spans in zip(texts, got, strict=True):
