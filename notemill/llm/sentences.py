@@ -223,8 +223,18 @@ _WORDS = {
     "pt": "o os as e uma do da que para com por se é não após arquivo coluna depois".split(),
     "en": "the and of is a to in for that it was with on this are not as be".split(),
 }
-_SCRIPT = [("ja", r"[぀-ヿ]"), ("ko", r"[가-힯]"), ("zh", r"[㐀-鿿]"), ("ru", r"[а-яё]"), ("hi", r"[ऀ-ॿ]"), ("ar", r"[؀-ۿ]"), ("th", r"[฀-๿]")]
-_SCRIPTS = [(k, re.compile(p, re.I)) for k, p in _SCRIPT]
+_SCRIPTS = [("ja", re.compile(r"[぀-ヿ]")), ("ko", re.compile(r"[가-힯]")), ("zh", re.compile(r"[㐀-鿿]")), ("ru", re.compile(r"[а-яё]", re.I)), ("hi", re.compile(r"[ऀ-ॿ]")), ("ar", re.compile(r"[؀-ۿ]")), ("th", re.compile(r"[฀-๿]"))]
+
+
+class _ScriptOf(dict):
+    """Script of a sign and whether it is a letter, found once for each sign."""
+
+    def __missing__(self, sign: str) -> tuple[str | None, bool]:
+        self[sign] = next((k for k, p in _SCRIPTS if p.match(sign)), None), sign.isalpha()
+        return self[sign]
+
+
+_SCRIPT_OF = _ScriptOf()
 
 
 def language_of(text: str, lang: str | None) -> str:
@@ -233,15 +243,18 @@ def language_of(text: str, lang: str | None) -> str:
     if code in LANGUAGE and code not in ("en",):
         return code
     if not text.isascii():
-        signs = Counter(text)
-        letters = max(1, sum(n for c, n in signs.items() if c.isalpha()))
-        for key, pattern in _SCRIPTS:
-            own = sum(n for c, n in signs.items() if pattern.match(c))
-            if own > (0.1 if key == "ja" else 0.3) * letters:
+        letters, own = 0, Counter()
+        for sign, n in Counter(text).items():
+            script, letter = _SCRIPT_OF[sign]
+            letters += n if letter else 0
+            if script:
+                own[script] += n
+        for key, _ in _SCRIPTS if own else ():
+            if own[key] > (0.1 if key == "ja" else 0.3) * max(1, letters):
                 return key
     if code == "en":
         return code
-    words = Counter(re.findall(r"[^\W\d_]+", text.lower()))
+    words = Counter(text.lower().split())
     return max(_WORDS, key=lambda k: sum(words[w] for w in _WORDS[k])) if words else "en"
 
 
@@ -394,7 +407,11 @@ def is_title(group: list[tuple[int, str]], width: int) -> bool:
 
 def sentences(text: str, lang: str | None = None) -> list[tuple[int, int]]:
     """Sentence spans of a text in code points, end exclusive, without outer white space."""
-    own = language_of(text, lang)
+    return sentences_in(text, language_of(text, lang))
+
+
+def sentences_in(text: str, own: str) -> list[tuple[int, int]]:
+    """``sentences`` by the tables of the language ``own``."""
     out = []
     for start, end, whole in blocks(text):
         if whole:
@@ -492,7 +509,7 @@ def _spans(documents: DataFrame, texts: bool) -> DataFrame:
             for row, (text, lang) in enumerate(zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True)):
                 own = language_of(text, lang)
                 langs.append(own)
-                for a, b in sentences(text, own):
+                for a, b in sentences_in(text, own):
                     at.append(row)
                     starts.append(a)
                     ends.append(b)

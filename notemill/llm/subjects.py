@@ -1,9 +1,10 @@
 """Problem 6: subject area of each document.
 
 Sentences are represented by averaged word and subword embeddings with one independent logistic
-output per subject.  Each round the partitions compute gradients over their training sentences,
-the driver adds them up and takes one step, and the new weights are broadcast.  Every sentence
-of every document is then scored; a document has a subject if enough of its sentences do.
+output per subject.  Each round the partitions compute gradients over their training sentences for
+the rows of the table that these touch, the executors add them up by ranges of rows, the driver takes
+one step, and the new weights are broadcast.  Every sentence of every document is then scored; a
+document has a subject if enough of its sentences do.
 
 Besides right labels, noisy hints (predicted domains) give training documents: naive Bayes over
 the domains, fitted on the labelled ones, names the subject where it is sure.
@@ -15,13 +16,16 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notemill.llm.markup import Cell, cells
+from notemill.llm.markup import running_text
 from notemill.llm.sentences import language_of
 from notemill.llm.sentences import sentences as split
 from notemill.llm.splits import notebook_key
@@ -31,7 +35,9 @@ from notemill.session import materialize, release
 
 BUCKETS, WIDTH, SCALE = 1 << 15, 16, 10.0
 MAX_NOTEBOOKS = 4000  # bound of each sample: labelled notebooks, and hinted ones
-PARTITIONS = 12
+CANDIDATES = 12_000  # unlabelled notebooks among which hinted ones are looked for
+MAX_DOMAINS, MAX_SUBJECTS = 10_000, 10_000  # more are refused
+RANGES = 8  # parts of the table in which gradients are added up
 ROUNDS = 30
 MARGIN = 0.1  # mean log-likelihood ratio of a domain from which a hint counts as sure
 HINT_MASS = 0.5
@@ -39,19 +45,23 @@ CUT, SHARE = 0.5, 0.2
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 
 
+_SIGNS = re.compile(r"[぀-ヿ㐀-鿿]{6}")
+
+
 def prose(narrative: str) -> list[str]:
-    """The sentences of a narrative's running text; headings, items, tables and code are none."""
+    """The sentences of a narrative: those of its paragraphs, and of quotes and list items what has four
+    words or more (six signs where there are no blanks); headings, tables and code hold none."""
     out = []
     lang = language_of(narrative, None)
-    for body in cells(narrative):
-        for section in Cell(body).root.children:
-            for node in section.children:
-                if node.kind in ("paragraph", "quote"):
-                    text = node.text
-                    out += [" ".join(text[a:b].split()) for a, b in split(text, lang) if node.kind == "paragraph" or b - a > 40]
-    return [s for s in out if len(s.split()) >= 4 or re.search(r"[぀-ヿ㐀-鿿]{6}", s)]
+    for kind, text in running_text(narrative):
+        for a, b in split(text, lang):
+            words = text[a:b].split()
+            if len(words) >= 4 or (_SIGNS.search(text, a, b) if words and not text.isascii() else kind == "paragraph" and len(words) > 1 and text[b - 1] in ".!?"):
+                out.append(" ".join(words))
+    return out
 
 
+@lru_cache(1 << 17)
 def unit_ids(unit: str) -> list[int]:
     """Hashed ids of a unit: a word with its subwords (3 to 5 signs of the framed word), or a pair of words."""
     if " " in unit:
@@ -67,20 +77,51 @@ def sentence_units(sentence: str) -> list[str]:
     return words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
 
 
+def _sum_runs(rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive rows, run after run; an empty run gives zeros."""
+    out = np.zeros((len(starts), rows.shape[1]), np.float32)
+    some = sizes > 0
+    if some.any():
+        out[some] = np.add.reduceat(rows, starts[some], axis=0)
+    return out
+
+
+class Runs:
+    """Groups of members: ``gather`` sums the rows of each group's members, ``scatter`` gives each
+    member the sum of the rows of its groups.  Both go along runs, so nothing is added at random;
+    ``groups``, the groups in the order of their members, can be kept to save sorting again."""
+
+    def __init__(self, members: np.ndarray, sizes: np.ndarray, n: int, groups: np.ndarray | None = None) -> None:
+        self.members, self.sizes, self.n, self._groups = members, sizes, n, groups
+        self.starts = np.cumsum(sizes) - sizes
+
+    @property
+    def groups(self) -> np.ndarray:
+        if self._groups is None:
+            self._groups = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)[np.argsort(self.members, kind="stable")]
+        return self._groups
+
+    def gather(self, rows: np.ndarray) -> np.ndarray:
+        return _sum_runs(rows[self.members], self.starts, self.sizes)
+
+    def scatter(self, rows: np.ndarray) -> np.ndarray:
+        counts = np.bincount(self.members, minlength=self.n)
+        return _sum_runs(rows[self.groups], np.cumsum(counts) - counts, counts)
+
+
 class Block:
     """Sentences as sums of distinct units, and units as sums of hashed embeddings.
 
     Each unit's vector is computed once however often it occurs, which leaves the average over
-    all ids of a sentence exactly what it is.
+    all ids of a sentence exactly what it is.  Only the rows of the table that the block touches
+    are used, ``touched`` by number.
     """
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, members: np.ndarray, lengths: np.ndarray) -> None:
-        self.arrays = ids, sizes, members, lengths
-        self.n, self.units, self.ids, self.members = len(lengths), len(sizes), ids, members
-        self.unit_of_id = np.repeat(np.arange(self.units), sizes)
-        self.sentence_of = np.repeat(np.arange(self.n), lengths)
-        total = np.bincount(self.sentence_of, weights=sizes[members], minlength=self.n) if len(members) else np.zeros(self.n)
-        self.length = np.maximum(total, 1)
+    def __init__(self, touched: np.ndarray, of_unit: Runs, of_sentence: Runs) -> None:
+        self.touched, self.of_unit, self.of_sentence = touched, of_unit, of_sentence
+        self.n = len(of_sentence.sizes)
+        total = of_sentence.gather(of_unit.sizes[:, None].astype(np.float32))[:, 0] if self.n else np.zeros(0, np.float32)
+        self.scale = (SCALE / np.maximum(total, 1))[:, None].astype(np.float32)
 
     @classmethod
     def of(cls, sentences: list[str]) -> Block:
@@ -91,21 +132,24 @@ class Block:
             members += own
             lengths.append(len(own))
         ids = [unit_ids(u) for u in index]
-        return cls(*[np.array(x, dtype=np.int32) for x in ([i for x in ids for i in x], [len(x) for x in ids], members, lengths)])
+        touched, own = np.unique(np.array([i for x in ids for i in x], np.int32), return_inverse=True)
+        of_unit = Runs(own.astype(np.int32), np.array([len(x) for x in ids], np.int32), len(touched))
+        return cls(touched, of_unit, Runs(np.array(members, np.int32), np.array(lengths, np.int32), len(ids)))
 
-    @staticmethod
-    def add_rows(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-        """Sum of the rows by their target, which may repeat in any order."""
-        return np.stack([np.bincount(at, weights=rows[:, d], minlength=n) for d in range(rows.shape[1])], axis=1)
+    def pack(self) -> list[bytes]:
+        return [np.ascontiguousarray(x, np.int32).tobytes() for x in (self.touched, *[y for r in (self.of_unit, self.of_sentence) for y in (r.members, r.sizes, r.groups)])]
+
+    @classmethod
+    def unpack(cls, packed: list[bytes]) -> Block:
+        touched, ids, sizes, units, members, lengths, own = (np.frombuffer(x, np.int32) for x in packed)
+        return cls(touched, Runs(ids, sizes, len(touched), units), Runs(members, lengths, len(sizes), own))
 
     def hidden(self, table: np.ndarray) -> np.ndarray:
-        units = self.add_rows(table[self.ids], self.unit_of_id, self.units)
-        return self.add_rows(units[self.members], self.sentence_of, self.n) / self.length[:, None] * SCALE
+        return self.of_sentence.gather(self.of_unit.gather(table[self.touched])) * self.scale
 
     def table_gradient(self, back: np.ndarray) -> np.ndarray:
-        per = back / self.length[:, None] * SCALE
-        units = self.add_rows(per[self.sentence_of], self.members, self.units)
-        return self.add_rows(units[self.unit_of_id], self.ids, BUCKETS)
+        """Gradient of the rows ``touched``."""
+        return self.of_unit.scatter(self.of_sentence.scatter((back * self.scale).astype(np.float32)))
 
 
 class SubjectModel:
@@ -124,10 +168,22 @@ class SubjectModel:
         return 1 / (1 + np.exp(-(block.hidden(weights[0]) @ weights[1] + weights[2])))
 
     @staticmethod
-    def gradient(weights: list[np.ndarray], block: Block, target: np.ndarray, mass: np.ndarray) -> list[np.ndarray]:
+    def gradient(weights: list[np.ndarray], block: Block, targets: np.ndarray, masses: np.ndarray, refined: bool = False) -> tuple[list[np.ndarray], float]:
+        """Gradient (table rows that the block touches, output weights, biases) and mass.
+
+        A sentence may stand for many equal ones: ``masses`` (number, sum of masses) and ``targets``
+        (sum of targets, sum of mass x target) are sums over them, of which the gradient is linear.
+        """
         hidden = block.hidden(weights[0])
-        error = (1 / (1 + np.exp(-(hidden @ weights[1] + weights[2]))) - target) * mass[:, None]
-        return [block.table_gradient(error @ weights[1].T), hidden.T @ error, error.sum(axis=0)]
+        guess = 1 / (1 + np.exp(-(hidden @ weights[1] + weights[2])))
+        if refined:
+            sure = guess.max(axis=1, initial=0) > 0.6
+            # a sentence that the model takes for no subject is talk about data work or a passing mention
+            mass, target = masses[:, :1], np.where(sure[:, None], (guess > 0.6) * masses[:, :1], targets[:, 0] * 0.3)
+        else:
+            mass, target = masses[:, 1:], targets[:, 1]
+        error = (guess * mass - target).astype(np.float32)
+        return [block.table_gradient(error @ weights[1].T), hidden.T @ error, error.sum(axis=0)], float(mass.sum())
 
     def step(self, gradient: list[np.ndarray], mass: float, rate: float = 0.05) -> None:
         self.steps += 1
@@ -145,70 +201,78 @@ def sentence_table(nb_contents: DataFrame) -> DataFrame:
     """(notebook_id, sentences) of the current narratives: their prose sentences in order."""
     current = current_rows(nb_contents, ["notebook_id"], "scraped_at", ["markdown_narrative"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"notebook_id": batch["notebook_id"], "sentences": [prose(t) for t in batch["markdown_narrative"]]})
+            found = pa.array([prose(t) for t in batch.column("markdown_narrative").to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("notebook_id"), found], names=["notebook_id", "sentences"])
 
-    return spread(current.where("markdown_narrative is not null")).mapInPandas(run, "notebook_id long, sentences array<string>")
+    return spread(current.where("markdown_narrative is not null")).mapInArrow(run, "notebook_id long, sentences array<string>")
 
 
-SENTENCES_A_ROW = 20_000
-PACKED = "ids binary, sizes binary, members binary, lengths binary, target binary, mass binary"
+SENTENCES_A_ROW = 50_000
+PACKED = "block array<binary>, targets binary, masses binary"
 
 
 def pack_training(index: dict[str, int], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Training sentences as arrays, a row for about ``SENTENCES_A_ROW`` of them."""
-    texts: list[str] = []
-    target: list[np.ndarray] = []
-    mass: list[float] = []
+    """Training sentences (sentence, subjects, mass) as arrays, a row for at most ``SENTENCES_A_ROW``
+    different ones; equal ones are added up."""
+    number: dict[str, int] = {}
+    sums: list[np.ndarray] = []
 
     def row() -> pd.DataFrame:
-        arrays = [*Block.of(texts).arrays, np.array(target, np.float32), np.array(mass, np.float32)]
-        for x in (texts, target, mass):
-            x.clear()
-        return pd.DataFrame([[a.tobytes() for a in arrays]], columns=[c.split()[0] for c in PACKED.split(", ")])
+        packed = np.array(sums, np.float32).reshape(len(sums), -1)
+        out = pd.DataFrame([(Block.of(list(number)).pack(), packed[:, 2:].tobytes(), packed[:, :2].tobytes())], columns=["block", "targets", "masses"])
+        number.clear()
+        sums.clear()
+        return out
 
     for batch in batches:
-        for own, names, m in zip(batch["sentences"], batch["subjects"], batch["mass"], strict=True):
+        for sentence, names, mass in zip(batch["sentence"], batch["subjects"], batch["mass"], strict=True):
             label = np.zeros(len(index), np.float32)
             label[[index[s] for s in names]] = 1.0 / len(names)
-            texts += list(own)
-            target += [label] * len(own)
-            mass += [m] * len(own)
-            if len(texts) >= SENTENCES_A_ROW:
-                yield row()
-    if texts:
+            own = np.concatenate([[1.0, mass], label, mass * label])
+            if sentence in number:
+                sums[number[sentence]] += own
+            else:
+                if len(number) >= SENTENCES_A_ROW:
+                    yield row()
+                number[sentence] = len(number)
+                sums.append(own)
+    if number:
         yield row()
 
 
-def packed_gradient(row: object, weights: list[np.ndarray], refined: bool) -> tuple[list[np.ndarray], float]:
-    """Gradient and mass of one packed row."""
-    block = Block(*[np.frombuffer(x, np.int32) for x in (row.ids, row.sizes, row.members, row.lengths)])
-    target, mass = np.frombuffer(row.target, np.float32).reshape(block.n, -1), np.frombuffer(row.mass, np.float32)
-    if refined:
-        guess = SubjectModel.scores(weights, block)
-        sure = guess.max(axis=1, initial=0) > 0.6
-        # a sentence that the model takes for no subject is talk about data work or a passing mention
-        target = np.where(sure[:, None], guess > 0.6, target * 0.3)
-        mass = np.ones(len(target))
-    return SubjectModel.gradient(weights, block, target, mass), float(mass.sum())
+def unpack(row: object) -> tuple[Block, np.ndarray, np.ndarray]:
+    """(block, targets, masses) of a packed row."""
+    block = Block.unpack(list(row.block))
+    return block, np.frombuffer(row.targets, np.float32).reshape(block.n, 2, -1), np.frombuffer(row.masses, np.float32).reshape(block.n, 2)
 
 
 def subject_hints(nb_contents: DataFrame, predictions: DataFrame, labels: DataFrame, subjects: list[str]) -> DataFrame:
     """(notebook_id, subjects): the subject of unlabelled notebooks that their predicted domains are sure of.
 
-    ``predictions`` (notebook, top_domains) name notebooks in any spelling.  The table of domains
-    by subject that comes to the driver is bounded by the number of distinct domains (10,000).
+    ``predictions`` (notebook, top_domains) name notebooks in any spelling.  Hints are looked for
+    among about ``CANDIDATES`` unlabelled notebooks, chosen by a hash of their ids.  The table of
+    domains by subject comes to the driver; more than ``MAX_DOMAINS`` domains are refused.
     """
     ids = nb_contents.select("notebook_id", notebook_key(F.col("notebook")).alias("slug")).where("notebook_id is not null and slug is not null").distinct()
-    listed = predictions.select(notebook_key(F.col("notebook")).alias("slug"), "top_domains").where("slug is not null")
     single = labels.where(F.col("subject").isin(subjects)).groupBy("notebook_id").agg(F.collect_set("subject").alias("s"))
     fitted = _sample(single.where("size(s) = 1"), 23).join(ids, "notebook_id").select("slug", F.col("s")[0].alias("subject"))
-    labelled = listed.join(F.broadcast(fitted), "slug").select("subject", F.explode("top_domains").alias("domain")).where("domain is not null")
-    known = labelled.groupBy("subject", F.lower(F.trim("domain")).alias("domain")).agg(F.count("*").alias("n"))
+    asked = _sample(ids.join(single, "notebook_id", "left_anti"), 24, CANDIDATES).select("slug").distinct()
+    # spellings are few compared with predictions, and only those of chosen notebooks are read on;
+    # the table of these is written, so its size is known and decides how it is joined
+    chosen = fitted.unionByName(asked.withColumn("subject", F.lit(None).cast("string")))
+    spellings = predictions.select("notebook").where("notebook is not null").distinct().withColumn("slug", notebook_key(F.col("notebook")))
+    wanted = materialize(spellings.join(F.broadcast(chosen), "slug"))
+    listed = predictions.select("notebook", "top_domains").join(wanted, "notebook").select("slug", "subject", F.explode("top_domains").alias("domain"))
+    named = materialize(listed.select("slug", "subject", F.lower(F.trim("domain")).alias("domain")).where("domain is not null").groupBy("slug", "subject", "domain").agg(F.count("*").alias("n")))
+    known = named.where("subject is not null").groupBy("subject", "domain").agg(F.sum("n").alias("n"))
     seen: dict[str, dict[str, int]] = {}
-    for r in known.limit(10_000 * max(1, len(subjects))).collect():
+    rows = known.limit(MAX_DOMAINS * max(1, len(subjects)) + 1).collect()
+    for r in rows:
         seen.setdefault(r["domain"], {})[r["subject"]] = r["n"]
+    if len(seen) > MAX_DOMAINS or len(rows) > MAX_DOMAINS * max(1, len(subjects)):
+        raise ValueError(f"more than {MAX_DOMAINS} distinct domains among the labelled notebooks")
     spark = nb_contents.sparkSession
     total = {s: sum(d.get(s, 0) for d in seen.values()) for s in subjects}
     rows = []
@@ -218,9 +282,7 @@ def subject_hints(nb_contents: DataFrame, predictions: DataFrame, labels: DataFr
         rows.append((domain, *[x - mean for x in logs]))
     columns = [f"l{k}" for k in range(len(subjects))]
     table = F.broadcast(spark.createDataFrame(rows, ", ".join(["domain string", *[f"{c} double" for c in columns]])))
-    # a row per label only within a task: sums by notebook are combined before the shuffle
-    labels_of = listed.select("slug", F.explode("top_domains").alias("domain")).select("slug", F.lower(F.trim("domain")).alias("domain"))
-    sums = labels_of.join(table, "domain").groupBy("slug").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in columns])
+    sums = named.where("subject is null").join(table, "domain").groupBy("slug").agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(c)).alias(c) for c in columns])
     order = F.sort_array(F.array(*[F.struct((F.col(c) / F.col("n")).alias("mean"), F.lit(k).alias("k")) for k, c in enumerate(columns)]), asc=False) if columns else F.array().cast("array<struct<mean double, k int>>")
     ranked = sums.withColumn("top", order)
     names = F.array(*[F.lit(s) for s in subjects]) if subjects else F.array().cast("array<string>")
@@ -228,11 +290,11 @@ def subject_hints(nb_contents: DataFrame, predictions: DataFrame, labels: DataFr
     return sure.join(ids, "slug").join(single, "notebook_id", "left_anti").select("notebook_id", "subjects")
 
 
-def _sample(sets: DataFrame, seed: int) -> DataFrame:
-    """About ``MAX_NOTEBOOKS`` rows of ``sets`` by a hash of their ids; all if there are no more."""
+def _sample(sets: DataFrame, seed: int, most: int = MAX_NOTEBOOKS) -> DataFrame:
+    """About ``most`` rows of ``sets`` by a hash of their ids; all if there are no more."""
     total = sets.agg(F.count("*").alias("_n"))
     draw = F.pmod(F.xxhash64(F.lit(seed), "notebook_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return sets.crossJoin(F.broadcast(total)).where(F.col("_n") * draw < MAX_NOTEBOOKS).drop("_n")
+    return sets.crossJoin(F.broadcast(total)).where(F.col("_n") * draw < most).drop("_n")
 
 
 def train(sentences: DataFrame, labels: DataFrame, hints: DataFrame, subjects: list[str], rounds: int = ROUNDS) -> SubjectModel:
@@ -246,30 +308,51 @@ def train(sentences: DataFrame, labels: DataFrame, hints: DataFrame, subjects: l
     index = {s: k for k, s in enumerate(subjects)}
     sets = labels.where("notebook_id is not null").where(F.col("subject").isin(subjects)).groupBy("notebook_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
     chosen = _sample(sets, 21).withColumn("mass", F.when(F.size("subjects") == 1, 1.0).otherwise(0.3)).unionByName(_sample(hints, 22).withColumn("mass", F.lit(HINT_MASS)))
-    dealt = sentences.join(F.broadcast(chosen), "notebook_id").repartition(PARTITIONS, "notebook_id")
+    # equal sentences come together and are added up; as many parts as there are cores
+    tasks = max(2, spark.sparkContext.defaultParallelism)
+    dealt = sentences.join(F.broadcast(chosen), "notebook_id").select(F.explode("sentences").alias("sentence"), "subjects", "mass").repartition(tasks, "sentence")
     rows = materialize(dealt.mapInPandas(lambda batches: pack_training(index, batches), PACKED))
     model = SubjectModel(subjects)
+    width = BUCKETS // RANGES
+    schema = "part int, ids binary, rows binary"
 
     def gradients(weights, refined: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums, mass = None, 0.0
+            table, rest = None, None
             for batch in batches:
                 for row in batch.itertuples():
-                    parts, m = packed_gradient(row, weights.value, refined)
-                    sums, mass = parts if sums is None else [a + b for a, b in zip(sums, parts, strict=True)], mass + m
-            if sums is not None:
-                yield pd.DataFrame({"mass": [mass], **{f"part{j}": [g.astype(np.float32).tobytes()] for j, g in enumerate(sums)}})
+                    block, targets, masses = unpack(row)
+                    (own, *outer), mass = SubjectModel.gradient(weights.value, block, targets, masses, refined)
+                    outer = np.concatenate([*[g.ravel() for g in outer], [mass]])
+                    if table is None:
+                        table, rest = np.zeros((BUCKETS, WIDTH), np.float32), np.zeros(len(outer))
+                    table[block.touched] += own
+                    rest += outer
+            if table is not None:
+                touched = np.flatnonzero(table.any(axis=1)).astype(np.int32)
+                parts = [touched[(touched >= r * width) & (touched < (r + 1) * width)] for r in range(RANGES)]
+                yield pd.DataFrame([(r, own.tobytes(), table[own].tobytes()) for r, own in enumerate(parts)] + [(RANGES, b"", rest.tobytes())], columns=["part", "ids", "rows"])
 
         return run
 
+    def added(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        if key[0] == RANGES:
+            return pd.DataFrame({"part": [RANGES], "ids": [b""], "rows": [sum(np.frombuffer(x) for x in group["rows"]).tobytes()]})
+        table = np.zeros((width, WIDTH), np.float32)
+        for ids, own in zip(group["ids"], group["rows"], strict=True):
+            table[np.frombuffer(ids, np.int32) - key[0] * width] += np.frombuffer(own, np.float32).reshape(-1, WIDTH)
+        return pd.DataFrame({"part": [key[0]], "ids": [b""], "rows": [table.tobytes()]})
+
     for number in range(rounds):
         weights = spark.sparkContext.broadcast(model.weights)
-        got = rows.mapInPandas(gradients(weights, number >= rounds * 0.6), "mass double, part0 binary, part1 binary, part2 binary").toArrow().to_pylist()
+        sums = rows.mapInPandas(gradients(weights, number >= rounds * 0.6), schema).groupBy("part").applyInPandas(added, schema)
+        got = {r["part"]: r["rows"] for r in sums.toArrow().to_pylist()}
         weights.unpersist()
         if not got:
             break
-        total = [sum(np.frombuffer(r[f"part{j}"], np.float32).reshape(w.shape) for r in got) for j, w in enumerate(model.weights)]
-        model.step(total, sum(r["mass"] for r in got))
+        table = np.concatenate([np.frombuffer(got[r], np.float32).reshape(width, WIDTH) for r in range(RANGES)])
+        rest, k = np.frombuffer(got[RANGES]), WIDTH * len(subjects)
+        model.step([table, rest[:k].reshape(WIDTH, -1).astype(np.float32), rest[k:-1].astype(np.float32)], rest[-1])
     release(rows)
     return model
 
@@ -278,20 +361,20 @@ def score_notebooks(sentences: DataFrame, model: SubjectModel, cut: float) -> Da
     """(notebook_id, k, n_sentences, n_with): sentences of each notebook that have subject k."""
     weights = sentences.sparkSession.sparkContext.broadcast(model.weights)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            texts = [s for own in batch["sentences"] for s in own]
-            has = SubjectModel.scores(weights.value, Block.of(texts)) >= cut if texts else None
-            at = 0
-            for notebook_id, own in zip(batch["notebook_id"], batch["sentences"], strict=True):
-                if len(own):
-                    n = has[at : at + len(own)].sum(axis=0)
-                    rows += [(notebook_id, int(k), len(own), int(n[k])) for k in np.flatnonzero(n)]
-                at += len(own)
-            yield pd.DataFrame(rows, columns=["notebook_id", "k", "n_sentences", "n_with"])
+            lists = batch.column("sentences")
+            coded = lists.flatten().dictionary_encode()
+            parents = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+            has = SubjectModel.scores(weights.value, Block.of(coded.dictionary.to_pylist())) >= cut
+            own = has[coded.indices.to_numpy(zero_copy_only=False)]
+            # sentences of a notebook stand together
+            n_with = _sum_runs(own.astype(np.float32), np.searchsorted(parents, np.arange(len(lists))), np.bincount(parents, minlength=len(lists)))
+            row, k = np.nonzero(n_with)
+            columns = [batch.column("notebook_id").take(pa.array(row)), pa.array(k.astype(np.int32)), pa.array(np.bincount(parents, minlength=len(lists))[row].astype(np.int64)), pa.array(n_with[row, k].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["notebook_id", "k", "n_sentences", "n_with"])
 
-    return sentences.mapInPandas(run, "notebook_id long, k int, n_sentences long, n_with long")
+    return sentences.mapInArrow(run, "notebook_id long, k int, n_sentences long, n_with long")
 
 
 def subject_shares(nb_contents: DataFrame, predictions: DataFrame, labels: DataFrame, subjects: DataFrame, cut: float = CUT) -> DataFrame:
@@ -303,7 +386,9 @@ def subject_shares(nb_contents: DataFrame, predictions: DataFrame, labels: DataF
     ``subjects`` lacks are ignored; repeated labels count once.  An empty label table gives a
     model without subjects and no rows.
     """
-    names = sorted(r["subject"] for r in subjects.select("subject").where("subject is not null").distinct().limit(10_000).collect())
+    names = sorted(r["subject"] for r in subjects.select("subject").where("subject is not null").distinct().limit(MAX_SUBJECTS + 1).collect())
+    if len(names) > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     sentences = materialize(sentence_table(nb_contents))
     hints = materialize(subject_hints(nb_contents, predictions, labels, names))
     model = train(sentences, labels, hints, names)
