@@ -2,7 +2,8 @@
 
 Texts are aggregated by membership pattern (the set of sources that hold the text).  A min-cost
 flow routes the patterns' tokens to the quotas of the sources; the r-th use of a text costs r - 1,
-so repetition is spread evenly and comes last.  Documents are then selected in a seeded order, by
+so repetition is spread evenly and comes last.  A source's fate follows from its own tokens and cap;
+what other sources take of texts that it shares shows as its shortfall.  Documents are then selected in a seeded order, by
 positions on the token axis of their pattern, so that no text exceeds its cap.
 """
 
@@ -23,6 +24,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of the rank file.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BUCKETS = 1 << 16
+MAX_PATTERNS = 20_000  # sets of sources that hold a text together; more are refused
 
 
 def source_key(source: Column) -> Column:
@@ -103,8 +105,8 @@ def min_cost_flow(n: int, arcs: list[tuple[int, int, float, float]], source: int
 def plan_mix(supply: dict[tuple[str, ...], int], quotas: dict[str, float], caps: dict[str, int]) -> dict[tuple[tuple[str, ...], str], float]:
     """Tokens that each pattern gives to each source: {(pattern, source): tokens}.
 
-    A text may serve any source of its pattern, but is used at most as often in all as the
-    strictest cap among them allows.
+    A text may serve any source of its pattern, each at most as often as its cap allows, and is used
+    at most as often in all as the highest of these caps.
     """
     patterns, names = sorted(supply), sorted(quotas)
     arcs, keys = [], []
@@ -113,7 +115,7 @@ def plan_mix(supply: dict[tuple[str, ...], int], quotas: dict[str, float], caps:
         own = [s for s in pattern if s in quotas]
         if not own:
             continue
-        for use in range(min(caps[s] for s in own)):
+        for use in range(max(caps[s] for s in own)):
             arcs.append((0, 1 + p, float(supply[pattern]), float(use)))
             keys.append(None)
         for s in own:
@@ -139,33 +141,32 @@ def prepare(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER
 
 
 def mix_plan(texts: DataFrame, targets: DataFrame) -> tuple[dict, dict[str, dict]]:
-    """The flow and, per source, quota, own tokens, delivered tokens and fate.
+    """The flow and, per source, quota, own tokens, delivered tokens, fate and shortfall.
 
-    Only sums per membership pattern come to the driver: at most 2^sources rows, and never more
-    than there are distinct patterns.
+    Only sums per membership pattern come to the driver: more than ``MAX_PATTERNS`` are refused.
     """
     rows = targets.select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null").dropDuplicates(["source"]).collect()
     caps = {r["source"]: max(1, int(r["max_repeats"] or 1)) for r in rows}
-    sums = texts.groupBy("pattern").agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") * F.col("n_docs")).alias("total")).collect()
+    sums = texts.groupBy("pattern").agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") * F.col("n_docs")).alias("total")).limit(MAX_PATTERNS + 1).collect()
+    if len(sums) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} sets of sources that share texts")
     total = sum(r["total"] for r in sums)
     quotas = {r["source"]: total * float(r["target_share"] or 0.0) for r in rows}
     supply = {tuple(r["pattern"]): r["n"] for r in sums if r["n"]}
     flow = plan_mix(supply, quotas, caps)
     report = {}
     for s, quota in quotas.items():
-        given = {p: f for (p, q), f in flow.items() if q == s}
-        delivered = float(sum(given.values()))
+        delivered = float(sum(f for (p, q), f in flow.items() if q == s))
         own = sum(n for p, n in supply.items() if s in p)
-        if not own or delivered < quota * (1 - 1e-9) - 1e-3:
-            fate = "short"
-        elif any(f > supply[p] * (1 + 1e-9) for p, f in given.items()):
-            fate = "repeat"
-        else:
-            fate = "sample"
-        report[s] = {"quota": float(quota), "own": own, "delivered": delivered, "fate": fate, "total": total}
+        report[s] = {"quota": float(quota), "own": own, "delivered": delivered, "fate": fate(own, quota, caps[s]), "shortfall": max(0.0, quota - delivered), "total": total}
     return flow, report
 
 
+def fate(own: int, quota: float, cap: int) -> str:
+    """``sample`` if a source's own tokens suffice for its quota, ``repeat`` if they do when used up to ``cap`` times, else ``short``."""
+    return "short" if not own or own * cap < quota else "repeat" if own < quota else "sample"
+
+
 def select_documents(texts: DataFrame, flow: dict, seed: int = 17) -> DataFrame:
     """The mix: (doc_id, source, n_uses, n_tokens), one row per text and source it is used for.
 
@@ -205,7 +206,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKEN
     """(mix, report) of ``documents`` (doc_id, text, source) under ``targets`` (source, target_share, max_repeats).
 
     The mix is as large as all documents with a source together, in tokens.  The report has one
-    row per target: source, target_share, quota, own_tokens, used_tokens, actual_share, fate.
+    row per target: source, quota, own_tokens, planned_tokens, shortfall, fate; ``shortfall`` is what
+    the flow could not deliver, be it for want of own tokens or as other sources took shared texts.
     Documents without source or text are left out; repeated rows are one text; sources without a
     target count for the size and are not used; a target without documents is ``short``; an empty
     document table gives an empty mix.
@@ -213,8 +215,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKEN
     texts = prepare(documents, targets, tokenizer)
     flow, report = mix_plan(texts, targets)
     spark = documents.sparkSession
-    rows = [(s, r["quota"], r["own"], r["delivered"], r["fate"]) for s, r in sorted(report.items())]
-    plan = spark.createDataFrame(rows, "source string, quota double, own_tokens long, planned_tokens double, fate string")
+    rows = [(s, r["quota"], r["own"], r["delivered"], r["shortfall"], r["fate"]) for s, r in sorted(report.items())]
+    plan = spark.createDataFrame(rows, "source string, quota double, own_tokens long, planned_tokens double, shortfall double, fate string")
     mix = select_documents(texts, flow)
     return mix, plan
 
@@ -226,5 +228,5 @@ def mix_report(mix: DataFrame, plan: DataFrame) -> DataFrame:
     return (
         plan.join(used, "source", "left")
         .crossJoin(F.broadcast(total))
-        .select("source", "quota", "own_tokens", F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), (F.coalesce("used_tokens", F.lit(0)) / F.col("mix_tokens")).alias("actual_share"), "fate")
+        .select("source", "quota", "own_tokens", F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), (F.coalesce("used_tokens", F.lit(0)) / F.col("mix_tokens")).alias("actual_share"), F.col("shortfall"), "fate")
     )

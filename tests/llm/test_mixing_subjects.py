@@ -16,7 +16,8 @@ def test_plan():
     given = {s: sum(f for (_, q), f in flow.items() if q == s) for s in "abc"}
     assert given == {"a": pytest.approx(120), "b": pytest.approx(60), "c": pytest.approx(20)}
     for p, n in supply.items():
-        assert sum(f for (q, _), f in flow.items() if q == p) <= n * min({"a": 3, "b": 2, "c": 4}[s] for s in p) + 1e-6
+        assert sum(f for (q, _), f in flow.items() if q == p) <= n * max({"a": 3, "b": 2, "c": 4}[s] for s in p) + 1e-6
+        assert all(f <= n * {"a": 3, "b": 2, "c": 4}[s] + 1e-6 for (q, s), f in flow.items() if q == p)
 
 
 def documents(spark):
@@ -34,7 +35,9 @@ def test_mix(spark):
     assert fates["forum"] == "sample" and fates["empty"] == "short"
     assert fates["small-one"] in ("repeat", "short")
     uses = mix.groupBy("doc_id").agg(F.sum("n_uses").alias("n"), F.collect_set("source").alias("s")).collect()
-    assert max(r["n"] for r in uses) <= 6 and all(r["n"] <= 2 for r in uses if r["doc_id"] < 300)
+    assert max(r["n"] for r in uses) <= 6 and all(r["n"] <= 2 for r in uses if 5 <= r["doc_id"] < 300)
+    caps = {"forum": 2, "small-one": 6}
+    assert all(r["n_uses"] <= caps[r["source"]] for r in mix.collect())
     report = {r["source"]: r for r in mixing.mix_report(mix, plan).collect()}
     assert report["forum"]["used_tokens"] == pytest.approx(report["forum"]["quota"], rel=0.02)
     assert sum(r["actual_share"] for r in report.values()) == pytest.approx(1.0)
@@ -72,3 +75,19 @@ def test_subjects_without_labels_or_texts(spark):
     labels = spark.createDataFrame([], "notebook_id long, subject string")
     names = spark.createDataFrame([("finance", "money")], "subject string, description string")
     assert subjects.subject_shares(nb, predictions, labels, names).count() == 0
+
+
+def test_fates_follow_from_own_tokens_where_sources_share_texts(spark):
+    rows = [(i, f"a shared text with the number {i}", s) for i in range(50) for s in ("a", "b")]
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.3, 1), ("c", 0.1, 1)], "source string, target_share double, max_repeats long")
+    mix, plan = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), targets)
+    report = {r["source"]: r for r in plan.collect()}
+    # each has enough for itself, but no text is used twice, so one of them gets less
+    assert {s: r["fate"] for s, r in report.items()} == {"a": "sample", "b": "sample", "c": "short"}
+    assert report["a"]["shortfall"] + report["b"]["shortfall"] == pytest.approx(0.2 * 0.5 * sum(r["own_tokens"] for r in report.values() if r["source"] != "c"), rel=0.01)
+    assert mix.groupBy("doc_id").agg(F.sum("n_uses").alias("n")).where("n > 1").count() == 0
+
+
+@pytest.mark.parametrize(("own", "quota", "cap", "want"), [(10, 10, 1, "sample"), (10, 11, 1, "short"), (10, 30, 3, "repeat"), (10, 31, 3, "short"), (0, 0, 9, "short")])
+def test_fate(own, quota, cap, want):
+    assert mixing.fate(own, quota, cap) == want
