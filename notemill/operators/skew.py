@@ -23,17 +23,19 @@ def join_key_stats(rows: DataFrame, stats: DataFrame, keys: list[str], size: str
     return by_broadcast.unionByName(rest.join(light, keys))
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, hot: int = 1024) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str, hot: int = 1024, heavy: list | None = None) -> DataFrame:
     """Left join of ``rows`` with ``table``, which has at most one row per ``key``.
 
-    Keys with more than 1/``hot`` of all rows are found first, by counts, of which there are fewer
-    than ``hot``; their entries are broadcast, so no task gets more than that share by one key.
-    Null keys and keys that ``table`` lacks get nulls.
+    Keys with more than 1/``hot`` of all rows are ``heavy``; if not told (``materialize`` finds them
+    while it writes) they are found first, by counts, of which there are fewer than ``hot``.  Their
+    entries are broadcast, so no task gets more than that share by one key.  Null keys and keys that
+    ``table`` lacks get nulls.
     """
-    total = rows.agg(F.count("*").alias("_total"))
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    found = counts.crossJoin(F.broadcast(total)).where(F.col("_n") * hot > F.col("_total")).select(key)
-    heavy = [r[0] for r in found.limit(hot).collect()]
+    if heavy is None:
+        total = rows.agg(F.count("*").alias("_total"))
+        counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+        found = counts.crossJoin(F.broadcast(total)).where(F.col("_n") * hot > F.col("_total")).select(key)
+        heavy = [r[0] for r in found.limit(hot).collect()]
     if not heavy:
         return rows.join(table, key, "left")
     is_hot = F.coalesce(F.col(key).isin(heavy), F.lit(False))

@@ -11,22 +11,11 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local_dir: str | None = None
-_written: list[tuple[SparkSession, str]] = []
-
-
-def _clean() -> None:
-    """At the end of the driver's Python: delete the intermediate tables that are left."""
-    for spark, path in _written:
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001, S112
-            continue
-
-
-atexit.register(_clean)
+_runs: dict[str, str] = {}
 
 
 def build_session(app: str = "notemill", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -60,28 +49,48 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local_dir
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables in the shared folder.
+
+    The file system itself deletes it when the driver's JVM ends, so it is gone also if the
+    session was stopped before.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _runs:
+        _runs[app] = f"{shared_dir(spark)}/notemill/{app}-{uuid.uuid4().hex}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_runs[app])
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return _runs[app]
+
+
+def materialize(df: DataFrame, heavy: tuple[str, ...] = (), hot: int = 1024, **counts: Column) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     The result survives the loss of executors, has a short lineage and fixed contents, so
     what depends on partition numbers or on sampling stays the same when it is read again.
+
+    While the table is written, the values with more than 1/``hot`` of its rows are found in the
+    columns ``heavy`` (a sketch that can miss a value only if it has hardly more than that), and
+    ``counts`` are taken.  They are the attributes ``heavy`` (column -> values), ``counts``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/notemill/{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    df.write.parquet(path)
+    path = f"{run_dir(spark)}/{uuid.uuid4().hex}"
+    seen = Observation()
+    asked = {**counts, **{f"_h_{c}": F.expr(f"approx_top_k(`{c}`, {hot}, {8 * hot})") for c in heavy}}
+    (df.observe(seen, F.count(F.lit(1)).alias("_n"), *[x.alias(k) for k, x in asked.items()]) if asked else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._notemill_path = path
+    got = seen.get if asked else {}
+    out.counts = {k: got[k] for k in counts}
+    out.heavy = {c: [r[0] for r in got[f"_h_{c}"] or [] if r[0] is not None and r[1] * hot > got["_n"]] for c in heavy}
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def release(df: DataFrame | None) -> None:
     """Delete the files of a table made by ``materialize``; anything else is left alone."""
     path = getattr(df, "_notemill_path", None)
     if path is not None:
-        _delete(df.sparkSession, path)
+        target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
