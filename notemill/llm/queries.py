@@ -51,7 +51,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
-    groups = splits.kernel_groups(table(spark, folder, "kernels"))
+    groups = splits.kernel_groups(table(spark, folder, "kernels"), by_slug=True)
     rows = splits.related_rows(table(spark, folder, "domain_classification_results"), table(spark, folder, "code_complexity"), groups)
     sizes = rows.groupBy("group_key").agg(F.sum("n_rows").alias("n_rows"))
     assigned = splits.split_groups(sizes, SHARES)

@@ -23,41 +23,53 @@ NO_AUTHOR = ["", "-", "--", "?", ".", "n/a", "na", "nan", "nil", "none", "null",
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (src string, dst string) as (node, root), root the smallest node.
 
-    Each round hooks the root of every edge's end to the smallest root next to it, then replaces
-    parents by grandparents until nothing changes.  Rows with a null end are ignored, loops give
-    a component of one, an empty table gives none.  A node of any degree is only ever a key of a
-    pre-aggregated minimum, and edges shrink to distinct pairs of different roots each round.
+    Each round hooks every root that has a smaller root next to it to the smallest, then replaces
+    hooks by those of their targets until nothing changes; links shrink to distinct pairs of
+    different roots.  At the end the hooks of all rounds are followed from the last to the first.
+    Rows with a null end are ignored, loops give a component of one, an empty table gives none.  A
+    node of any degree is only ever a key of a pre-aggregated minimum, or a heavy key of a join,
+    found while the table was written.
     """
     ends = edges.where("src is not null and dst is not null").select("src", "dst")
     nodes = ends.select(F.col("src").alias("node")).union(ends.select("dst")).distinct()
-    parent = materialize(nodes.select("node", F.col("node").alias("root")))
-    links = materialize(ends.where("src <> dst").distinct())
-    for _ in range(max_rounds):
+    links = materialize(ends.where("src <> dst").distinct(), ("src", "dst"))
+    rounds: list[DataFrame] = []
+    while True:
         both = links.union(links.select("dst", "src"))
-        hooks = both.groupBy(F.col("src").alias("root")).agg(F.min("dst").alias("_to")).where("_to < root")
-        hooks = materialize(hooks)
-        if hooks.isEmpty():
+        least = both.groupBy(F.col("src").alias("root")).agg(F.min("dst").alias("_to")).where("_to < root")
+        hooks = materialize(least, ("_to",), n=F.count(F.lit(1)))
+        if not hooks.counts["n"]:
             release(hooks)
             break
-        # shortcut the hooks among roots first: they are few compared with the nodes
-        while True:
+        if len(rounds) == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        moved = True
+        while moved:
             up = hooks.select(F.col("root").alias("_to"), F.col("_to").alias("_up"))
-            shorter = materialize(lookup(hooks, up, "_to").select("root", F.coalesce("_up", "_to").alias("_to"), F.col("_up").isNotNull().alias("_moved")))
+            next_up = lookup(hooks.select("root", "_to"), up, "_to", heavy=hooks.heavy["_to"])
+            shorter = materialize(next_up.select("root", F.coalesce("_up", "_to").alias("_to"), F.col("_up").isNotNull().alias("_moved")), ("_to",), n=F.count_if("_moved"))
             release(hooks)
-            hooks = shorter
-            if shorter.where("_moved").isEmpty():
-                break
+            hooks, moved = shorter, shorter.counts["n"] > 0
         jump = hooks.select("root", "_to")
-        new_parent = materialize(lookup(parent, jump, "root").select("node", F.coalesce("_to", "root").alias("root")))
-        moved = lookup(lookup(links, jump.toDF("src", "_s"), "src"), jump.toDF("dst", "_d"), "dst")
-        new_links = materialize(moved.select(F.coalesce("_s", "src").alias("src"), F.coalesce("_d", "dst").alias("dst")).where("src <> dst").distinct())
-        for old in (parent, links, hooks):
-            release(old)
-        parent, links = new_parent, new_links
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        new = lookup(lookup(links, jump.toDF("src", "_s"), "src", heavy=links.heavy["src"]), jump.toDF("dst", "_d"), "dst", heavy=links.heavy["dst"])
+        relabelled = materialize(new.select(F.coalesce("_s", "src").alias("src"), F.coalesce("_d", "dst").alias("dst")).where("src <> dst").distinct(), ("src", "dst"))
+        release(links)
+        links = relabelled
+        rounds.append(hooks)
     release(links)
-    return parent
+    final = None
+    for hooks in reversed(rounds):
+        own = hooks.select("root", "_to")
+        if final is not None:
+            after = final.select(F.col("root").alias("_to"), F.col("_to").alias("_end"))
+            own = lookup(own, after, "_to", heavy=hooks.heavy["_to"]).select("root", F.coalesce("_end", "_to").alias("_to")).unionByName(final)
+        final = own
+    if final is None:
+        return materialize(nodes.select("node", F.col("node").alias("root")))
+    out = materialize(nodes.join(final.withColumnRenamed("root", "node"), "node", "left").select("node", F.coalesce("_to", "node").alias("root")))
+    for hooks in rounds:
+        release(hooks)
+    return out
 
 
 def person_key(name: Column) -> Column:
@@ -82,11 +94,12 @@ def notebook_key(notebook: Column) -> Column:
     return F.regexp_replace(bare, r"_var\d+$", "")
 
 
-def kernel_groups(kernels: DataFrame) -> DataFrame:
+def kernel_groups(kernels: DataFrame, by_slug: bool = False) -> DataFrame:
     """Groups of related kernels as (kernel_ref, slug, group_key), one row per kernel_ref.
 
     Related by account, author or fork (both ways, and both forked from one kernel, present or
     not).  All rows count.  Rows without kernel_ref are left out; missing authors relate nothing.
+    With ``by_slug`` kernels of one slug are related too, as rows that name a slug alone may mean any.
     """
     rows = kernels.select(ref_key(F.col("kernel_ref")).alias("ref"), person_key(F.col("author")).alias("person"), ref_key(F.col("forked_from")).alias("origin")).where("ref is not null")
     account = F.substring_index("ref", "/", 1)
@@ -105,7 +118,9 @@ def kernel_groups(kernels: DataFrame) -> DataFrame:
         .union(origins)
         .distinct()
     )
-    # accounts sort before persons and absent kernels, so a group's root is its first account
+    if by_slug:
+        edges = edges.union(own.select(F.concat(F.lit("1:"), "account"), F.concat(F.lit("4:"), F.substring_index("ref", "/", -1))).distinct())
+    # accounts sort before persons, absent kernels and slugs, so a group's root is its first account
     roots = components(edges).where("node like '1:%'").select(F.substring("node", 3, 1 << 20).alias("account"), F.substring("root", 3, 1 << 20).alias("group_key"))
     refs = here.select("ref", account.alias("account"), F.substring_index("ref", "/", -1).alias("slug"))
     return refs.join(roots, "account").select(F.col("ref").alias("kernel_ref"), "slug", "group_key")
@@ -114,7 +129,8 @@ def kernel_groups(kernels: DataFrame) -> DataFrame:
 def group_of_notebooks(notebooks: DataFrame, groups: DataFrame) -> DataFrame:
     """(notebook, group_key) for each distinct stored ``notebook``; a name that means no kernel has none.
 
-    A slug that several accounts use gets the first group_key, so the choice is stable.
+    A slug that groups share gets the first group_key, so the choice is stable; ``kernel_groups`` can
+    make one group of them.
     """
     names = notebooks.select("notebook").where("notebook is not null").distinct()
     by_slug = groups.groupBy("slug").agg(F.min("group_key").alias("group_key"))
@@ -192,17 +208,25 @@ def deal_sizes(histogram: dict[int, int], shares: dict[str, float], max_bits: in
                 pieces.append((size, take, weight * take))
                 count, step = count - take, step * 2
         limit = (1 << (2 * (goal // unit) + 2)) - 1
-        layers = [1]
-        for _, _, weight in pieces:
-            layers.append((layers[-1] | layers[-1] << weight) & limit)
-        want, reach = goal // unit, layers[-1]
+        # only every stride-th bitset is kept; those between are made anew on the way back
+        stride = max(1, math.isqrt(len(pieces)))
+        kept, reach = [], 1
+        for k, (_, _, weight) in enumerate(pieces):
+            if k % stride == 0:
+                kept.append(reach)
+            reach = (reach | reach << weight) & limit
+        want = goal // unit
         at = next(v for d in range(want + 2) for v in (want - d, want + d) if v >= 0 and reach >> v & 1)
         taken: dict[int, int] = {}
-        for k in range(len(pieces) - 1, -1, -1):
-            size, take, weight = pieces[k]
-            if not layers[k] >> at & 1:
-                taken[size] = taken.get(size, 0) + take
-                at -= weight
+        for first in range((len(kept) - 1) * stride, -1, -stride):
+            layers = [kept.pop()]
+            for _, _, weight in pieces[first : first + stride]:
+                layers.append((layers[-1] | layers[-1] << weight) & limit)
+            for k in range(len(layers) - 2, -1, -1):
+                size, take, weight = pieces[first + k]
+                if not layers[k] >> at & 1:
+                    taken[size] = taken.get(size, 0) + take
+                    at -= weight
         if unit > 1:
             spare = {s: n - taken.get(s, 0) for s, n in left.items()}
             _exchange(taken, spare, goal - sum(s * n for s, n in taken.items()), max_bits)
@@ -234,7 +258,8 @@ def split_groups(sizes: DataFrame, shares: dict[str, float], seed: int = 7) -> D
         for size, count in plan[split].items():
             bounds.append((size, first[size], first[size] + count, split))
             first[size] += count
-    table = spark.createDataFrame(bounds, "n_rows long, _from long, _to long, split string")
+    # as many rows as there are sizes and splits: at most 3 sqrt(2 x rows); groups of one size can be most of all
+    table = F.broadcast(spark.createDataFrame(bounds, "n_rows long, _from long, _to long, split string"))
     return (
         ranked.join(table, "n_rows").where("_id >= _from and _id < _to").select("group_key", "n_rows", "split")
     )

@@ -93,3 +93,19 @@ def test_groups_stay_together(spark):
         sums[r["split"]] += r["n_rows"]
     assert sums["test"] == sums["validation"] == 45
     assert splits.split_groups(df.limit(0), {"train": 0.8, "test": 0.2}).count() == 0
+
+
+def test_kernels_of_one_slug_can_be_one_group(spark):
+    kernels = spark.createDataFrame([("b/one", None, None), ("a/one", None, None), ("c/two", None, None)], "kernel_ref string, author string, forked_from string")
+    apart, together = (splits.kernel_groups(kernels, by_slug=x) for x in (False, True))
+    assert {r["group_key"] for r in apart.collect()} == {"a", "b", "c"}
+    assert {r["kernel_ref"]: r["group_key"] for r in together.collect()} == {"a/one": "a", "b/one": "a", "c/two": "c"}
+    results = spark.createDataFrame([("one",), ("one",), ("two",)], "notebook string")
+    features = spark.createDataFrame([("ONE",), ("two",)], "base_notebook string")
+    assert {(r["notebook"], r["group_key"]) for r in splits.related_rows(results, features, together).collect()} == {("one", "a"), ("ONE", "a"), ("two", "c")}
+
+
+def test_a_star_and_a_path_with_heavy_keys(spark):
+    edges = [("hub", f"leaf{i:04}") for i in range(3000)] + [(f"p{i:03}", f"p{i + 1:03}") for i in range(90)]
+    got = {r["node"]: r["root"] for r in splits.components(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == brute(edges)
