@@ -2,8 +2,10 @@
 
 Comments and string literals come from the chunked lexer; machine text and disabled code are
 ruled out by their form; the language is found by multinomial logistic regression on hashed
-character n-grams, trained here on labelled documents and lists of function words, with code
-lines as a class of their own.
+character n-grams, trained here on labelled documents and windows of shuffled function words, with
+code lines as a class of their own.
+Every chunk is lexed and labelled where it lies; only spans that may go on over its ends are
+brought together.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notemill.llm.lexer import CODE, Span, cut, effects, lex, prefix_starts, stitch
+from notemill.llm.lexer import CODE, Span, cut, edges, effects, lex, prefix_starts, stitch
 from notemill.operators.current import current_rows
 from notemill.operators.spread import spread
 from notemill.session import materialize
@@ -29,17 +31,21 @@ from notemill.session import materialize
 LANGUAGES = ["de", "en", "es", "fr", "ja", "ko", "pt", "ru", "zh"]
 CHUNK = 1 << 16
 DIM = 1 << 15
-DOCS_A_LANGUAGE, CODE_RECORDS, SAMPLES_A_CLASS = 400, 400, 500
 MIN_WORDS, MIN_SIGNS = 4, 6
+#: Bounds of the training sample: documents of a language, notebooks, samples of a class, and the
+#: longest document and code that are taken into it.
+DOCS_A_LANGUAGE, CODE_RECORDS, SAMPLES_A_CLASS, LONGEST_SAMPLE = 400, 400, 600, 50_000
+WINDOW = 5  # words of a sample as short as phrases in code mostly are
 
-# Function words and common verbs of each language in Latin script.
+# Articles, pronouns, prepositions, conjunctions, auxiliaries and adverbs of the languages in Latin script.
 FUNCTION_WORDS = {
-    "de": "der die das den dem des ein eine einen einem einer und oder aber nicht kein keine ist sind war waren wird werden wurde wurden hat haben hatte kann können muss müssen soll darf dürfen auf in im an am aus bei mit nach von vom vor zu zum zur über unter für durch gegen ohne um wenn weil dass ob als wie wir ich sie er es man hier dort nur noch auch schon sehr alle jede jeder jedes neben zwischen letzten letzte neue diese dieser dieses dann erst mehr weniger gelöscht geladen berechnet gespeichert verändert trainiert Werte Zeile Zeilen Spalte Spalten Daten Datei Tage Teil langsam funktioniert prüfen behalten einlesen korrigieren löschen",
-    "en": "the a an and or but not no is are was were be been has have had can could must should would will do does did on in at by from with without to of for about into over under if because that whether as than we i you they he she it its this these those there here only also just very all each every between next last new then first more less when while where which who what how why keep drop read check train save load remove make use compute columns rows values file data row before after later works slow clear empty should moved saved order matters",
-    "es": "el la los las un una unos unas y o pero no ni es son era fue fueron está están ha han se puede deben hay que de del al a en con sin por para sobre entre hasta desde si porque como cuando donde quien cual nosotros yo ella ellos lo le les su sus este esta estos estas ese esa aquí allí solo sólo también muy más menos todo todos todas cada último últimos después antes luego junto modelo datos filas columna valor cambiar orden lenta funciona bien entrena guardan resultados eliminan leer tabla corregir comprobar tiene etiqueta nos quedamos días pero",
-    "fr": "le la les un une des du de d l et ou mais ne pas ni est sont était fut été a ont on se peut doit faut il elle nous vous ils je que qui dont où à au aux en dans avec sans par pour sur sous entre jusqu depuis si parce comme quand ce cet cette ces son sa ses leur ici là seulement aussi très plus moins tout tous toutes chaque dernier derniers après avant puis ensuite côté modèle données lignes colonne valeur changer ordre lente marche bien entraîné enregistrés résultats supprime lire tableau corriger vérifier étiquette gardons jours partie mais",
-    "pt": "o a os as um uma uns umas e ou mas não nem é são era foi foram está estão tem têm se pode deve devem há que de do da dos das ao à aos às em no na nos nas com sem por pelo pela para sobre entre até desde porque como quando onde quem qual nós eu ela eles lhe seu sua seus este esta estes estas isso aqui ali só também muito mais menos todo todos todas cada último últimos depois antes ficamos apenas dias modelo dados linhas coluna valor mudar ordem lenta funciona bem treinado salvos resultados removidas ler tabela corrigir verificar rótulo ao lado nao sao",
+    "de": "der die das den dem des ein eine einen einem einer eines und oder aber sondern denn nicht kein keine keinen ist sind war waren wird werden wurde wurden hat haben hatte hatten kann können muss müssen soll sollen darf dürfen will ich du er sie es wir ihr man mich mir uns sich sein seine ihre unser auf in im ins an am aus bei mit nach von vom vor zu zum zur über unter für durch gegen ohne um neben zwischen hinter bis seit wenn weil dass ob als wie wo was wer wann warum hier dort dann erst nur noch auch schon sehr mehr weniger immer alle alles jede jeder jedes diese dieser dieses einige viele",
+    "en": "the a an and or but nor so not no is are was were be been being has have had do does did can could may might must shall should will would i you he she it we they me him her us them my your his its our their this that these those who what which when where why how on in at by for from to with without of about into over under between through during before after until since if because while although than as there here only also just very all each every some any more less most few both",
+    "es": "el la los las un una unos unas y e o u pero sino ni no es son era eran fue fueron ser está están estar ha han hay había se me te nos le les lo su sus mi mis tu nuestro nuestra yo tú él ella ellos ellas nosotros usted ustedes este esta estos estas ese esa esos esas aquel de del a al en con sin por para sobre entre hasta desde hacia según durante contra que si porque cuando donde como quien cual cuyo aunque mientras aquí allí ya solo sólo también muy más menos todo toda todos todas cada algún alguna otro otra antes después junto luego siempre nunca",
+    "fr": "le la les l un une des du de d et ou mais donc ni car ne pas plus est sont était étaient été être a ont avait avoir fut sera on je tu il elle nous vous ils elles me te se lui leur leurs mon ma mes ton ta son sa ses notre nos votre ce cet cette ces qui que quoi dont où à au aux en y dans avec sans par pour sur sous entre chez vers depuis pendant jusque contre si quand comme parce puisque lorsque ici là seulement aussi très moins tout toute tous toutes chaque quelque quelques autre avant après ensuite puis toujours jamais",
+    "pt": "o a os as um uma uns umas e ou mas nem não é são era eram foi foram ser está estão estar há tem têm havia se me te nos lhe lhes seu sua seus suas meu minha nosso nossa eu tu ele ela eles elas você vocês este esta estes estas esse essa isso isto aquele de do da dos das em no na nos nas ao à aos às com sem por pelo pela pelos pelas para sobre entre até desde durante contra que se porque quando onde como quem qual cujo embora enquanto aqui ali já só apenas também muito mais menos todo toda todos todas cada algum alguma outro outra antes depois junto logo sempre nunca",
 }
+
 _FIELD = re.compile(r"(?<!\{)\{(?!\{)[^{}]*\}")
 _ESCAPE = re.compile(r"\\(\r?\n|[0-7]{1,3}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|N\{[^}]*\}|.)", re.S)
 _SIMPLE = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v", "\\": "\\", "'": "'", '"': '"'}
@@ -81,32 +87,36 @@ def literal_value(span: Span) -> str:
     return text
 
 
-def units(code: str, spans: list[Span]) -> Iterator[tuple[str, int, int, str]]:
-    """(found_in, start, end, text): comments, and literals with adjacent ones joined."""
+Piece = tuple[int, int, str]  # start, end, text
+
+
+def units(spans: list[Span]) -> Iterator[tuple[str, list[Piece]]]:
+    """(found_in, pieces): comments, those on consecutive lines of their own together, and literals, adjacent ones as one piece."""
     k = 0
     while k < len(spans):
         span = spans[k]
         if span.kind == "comment":
-            yield "comment", span.start, span.end, span.text
-            k += 1
+            j = k + 1
+            while j < len(spans) and span.own_line and spans[j].kind == "comment" and spans[j].own_line and spans[j].gap == 1:
+                j += 1
+            yield "comment", [(c.start, c.end, c.text) for c in spans[k:j]]
+            k = j
             continue
         text, end = literal_value(span), span.end
         j = k + 1
         while j < len(spans):
-            gap_from, between = end, j
-            while between < len(spans) and spans[between].kind == "comment" and spans[k].depth:
+            between = j
+            while between < len(spans) and spans[between].kind == "comment" and span.depth:
                 between += 1
             if between >= len(spans) or spans[between].kind != "string":
                 break
-            gap = code[gap_from : spans[between].start]
-            gap = re.sub(r"#[^\n]*", "", gap) if between > j else gap
-            if not re.fullmatch(r"\s*" if span.depth else r"[ \t]*(?:\\\r?\n[ \t]*)*", gap):
+            if any(s.gap < 0 or s.gap and not span.depth for s in spans[j : between + 1]):
                 break
             for c in spans[j:between]:
-                yield "comment", c.start, c.end, c.text
+                yield "comment", [(c.start, c.end, c.text)]
             text += literal_value(spans[between])
             end, j = spans[between].end, between + 1
-        yield "string", span.start, end, text
+        yield "string", [(span.start, end, text)]
         k = j
 
 
@@ -176,7 +186,7 @@ def plain_letters(text: str) -> str:
 class LanguageModel:
     """Multinomial logistic regression on hashed n-grams; the last class is code."""
 
-    def __init__(self, samples: list[tuple[str, str]], epochs: int = 6, rate: float = 0.5, seed: int = 5) -> None:
+    def __init__(self, samples: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5, seed: int = 5) -> None:
         self.classes = [*LANGUAGES, "code"]
         rows = [(features(t), self.classes.index(c)) for t, c in samples]
         rows = [(x, y) for x, y in rows if len(x)]
@@ -218,95 +228,116 @@ class LanguageModel:
         return self.classes[k], float(p[k])
 
 
+def _draw(texts: set[str], n: int) -> list[str]:
+    """``n`` of the texts by their hashes; all if there are no more."""
+    return sorted(texts, key=lambda t: (zlib.crc32(t.encode()), t))[:n]
+
+
 def training_samples(documents: DataFrame, nb_contents: DataFrame) -> list[tuple[str, str]]:
-    """Bounded sample for the model: about ``DOCS_A_LANGUAGE`` documents of each language and the code
-    of ``CODE_RECORDS`` notebooks, both chosen by hashes of their ids, and the word lists."""
+    """Bounded sample for the model: sentences, and windows of ``WINDOW`` words, of about
+    ``DOCS_A_LANGUAGE`` documents of each language, and lines of the code of ``CODE_RECORDS``
+    notebooks, all chosen by hashes; at most ``SAMPLES_A_CLASS`` of each class."""
     code = F.lower(F.substring_index(F.regexp_replace(F.trim("lang"), "_", "-"), "-", 1))
-    labelled = documents.where("text is not null").select("doc_id", "text", code.alias("lang")).where(F.col("lang").isin(LANGUAGES))
+    fit = F.length("text") <= LONGEST_SAMPLE
+    labelled = documents.where("text is not null").where(fit).select("doc_id", "text", code.alias("lang")).where(F.col("lang").isin(LANGUAGES))
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.col("n") * (F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20)))
-    rows = labelled.join(F.broadcast(counts), "lang").where(share < DOCS_A_LANGUAGE).select("lang", F.substring("text", 1, 4000).alias("text")).collect()
-    samples = []
+    rows = labelled.join(F.broadcast(counts), "lang").where(share < DOCS_A_LANGUAGE).select("lang", "text").collect()
+    by: dict[str, set[str]] = {lang: set() for lang in LANGUAGES}
     for r in rows:
         for piece in re.split(r"[\n.!?。！？]+", re.sub(r"```.*?```|~~~.*?~~~", "", r["text"], flags=re.S)):
+            words = piece.split()
             if len(piece.strip()) > 8:
-                samples.append((piece.strip(), r["lang"]))
-    samples = sorted(set(samples))
+                by[r["lang"]].add(" ".join(words))
+                at = zlib.crc32(piece.encode()) % max(1, len(words) - WINDOW + 1)
+                by[r["lang"]].add(" ".join(words[at : at + WINDOW]))
+    samples = [(t, lang) for lang in LANGUAGES for t in _draw(by[lang], SAMPLES_A_CLASS)]
     for lang, words in FUNCTION_WORDS.items():
-        words = words.split()
-        for k in range(0, 12 * len(words), 6):
-            piece = " ".join(words[(k * 7 + 13 * j) % len(words)] for j in range(6))
-            samples.append((piece, lang))
+        for k, own in enumerate([words.split()] * 10):
+            own = sorted(own, key=lambda w, k=k: zlib.crc32(f"{k} {w}".encode()))
+            samples += [(" ".join(own[at : at + WINDOW]), lang) for at in range(0, len(own) - WINDOW + 1, WINDOW)]
     samples += [(plain_letters(t), c) for t, c in samples if c in FUNCTION_WORDS and not t.isascii()]
-    total = nb_contents.where("code is not null").agg(F.count("*").alias("n"))
+    own = nb_contents.where("code is not null").where(F.length("code") <= LONGEST_SAMPLE)
+    total = own.agg(F.count("*").alias("n"))
     pick = F.col("n") * (F.pmod(F.xxhash64(F.lit(12), "notebook_id"), F.lit(1 << 20)) / F.lit(float(1 << 20)))
-    sample = nb_contents.where("code is not null").select("notebook_id", F.substring("code", 1, 20000).alias("code")).crossJoin(F.broadcast(total)).where(pick < CODE_RECORDS)
     lines = set()
-    for r in sample.select("code").collect():
+    for r in own.select("notebook_id", "code").crossJoin(F.broadcast(total)).where(pick < CODE_RECORDS).select("code").collect():
         text = r["code"]
         for span in sorted(lex(text), key=lambda s: -s.start):
             text = text[: span.start] + text[span.end :]
         lines.update(ln.strip() for ln in text.splitlines() if len(ln.strip()) > 8)
-    return samples + [(ln, "code") for ln in sorted(lines)[:4000]]
+    return samples + [(ln, "code") for ln in _draw(lines, SAMPLES_A_CLASS)]
 
 
 def train(documents: DataFrame, nb_contents: DataFrame) -> LanguageModel:
     """Train the language model on its bounded sample."""
-    samples = training_samples(documents, nb_contents)
-    by: dict[str, list[str]] = {}
-    for text, lang in samples:
-        by.setdefault(lang, []).append(text)
-    bounded = []
-    for lang in sorted(by):
-        step = max(1, len(by[lang]) // SAMPLES_A_CLASS)
-        bounded += [(t, lang) for t in by[lang][::step]][:SAMPLES_A_CLASS * 2]
-    return LanguageModel(bounded)
-
-
-def found_phrases(model: LanguageModel, code: str, spans: list[Span]) -> list[tuple[str, str, int, int, str]]:
-    """(lang, found_in, start, end, phrase) of all natural-language phrases among the spans."""
+    return LanguageModel(training_samples(documents, nb_contents))
+
+
+def paragraphs(pieces: list[Piece]) -> Iterator[list[Piece]]:
+    """Lines of pieces between blank ones, each with the place of its piece."""
+    run: list[Piece] = []
+    for start, end, text in pieces:
+        for line in text.splitlines() or [""]:
+            if line.strip(" \t#*=-"):
+                run.append((start, end, line))
+            elif run:
+                yield run
+                run = []
+    if run:
+        yield run
+
+
+def found_phrases(model: LanguageModel, spans: list[Span]) -> list[tuple[str, str, int, int, str]]:
+    """(lang, found_in, start, end, phrase) of all natural-language phrases among the spans.
+
+    Where no line of a paragraph has a phrase, its lines are tried as one sentence."""
     out = []
-    for found_in, start, end, text in units(code, spans):
-        candidates = [p for p in phrases(text) if is_natural(p)]
-        if not candidates and 1 < text.strip().count("\n") + 1 <= 6:  # a sentence over several short lines
-            candidates = [p for p in phrases(re.sub(r"\s+", " ", text)) if is_natural(p)]
-        for phrase in candidates:
-            lang, _ = model.predict(phrase)
-            if lang != "code":
-                out.append((lang, found_in, start, end, phrase))
+    for found_in, pieces in units(spans):
+        for run in paragraphs(pieces):
+            candidates = [(start, end, p) for start, end, line in run for p in phrases(line) if is_natural(p)]
+            if not candidates and len(run) > 1:
+                whole = " ".join(part for _, _, line in run for part in phrases(line))
+                candidates = [(run[0][0], run[-1][1], p) for p in phrases(re.sub(r"\s+", " ", whole)) if is_natural(p)]
+            for start, end, phrase in candidates:
+                lang, _ = model.predict(phrase)
+                if lang != "code":
+                    out.append((lang, found_in, start, end, phrase))
     return out
 
 
+COLUMNS = ["notebook_id", "lang", "found_in", "start_pos", "end_pos", "phrase", "code_chars"]
 SCHEMA = "notebook_id long, lang string, found_in string, start_pos long, end_pos long, phrase string, code_chars long"
-_PIECES = "notebook_id long, k int, n int, at long, text string"
+_CHUNK = "k int, n int, at long, text string"
+_SPAN = "array<struct<kind string, start long, `end` long, text string, prefix string, depth int, `left` boolean, `right` boolean, own_line boolean, gap int>>"
+_EDGE = f"spans {_SPAN}, tail int, some boolean"
 
 
 def language_in_code(nb_contents: DataFrame, documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Natural-language phrases in the current ``code`` of ``nb_contents`` (notebook_id, code, scraped_at).
 
     Returns (notebook_id, lang, found_in, start_pos, end_pos, phrase, code_chars), positions being
-    those of the comment or the joined literals in the stored code.  Files longer than ``chunk``
-    are cut and their chunks lexed in separate tasks, after a prefix over their transition
-    functions.  Null and empty code has no phrase; other columns are ignored; repeated rows give
-    one result; an empty table gives none.  ``documents`` (doc_id, text, lang) trains the model.
+    those of the comments or the joined literals in the stored code.  Every file is cut into chunks of
+    about ``chunk`` characters, most into one, whose start is known; the starts of the chunks of
+    others follow from a prefix over their transition functions.  Chunks are lexed and their phrases
+    labelled in separate tasks; per file only spans at chunk ends come together, and a literal over
+    several chunks is one value.  Null and empty code has no phrase; other columns are ignored;
+    repeated rows give one result; an empty table gives none.  ``documents`` (doc_id, text, lang)
+    trains the model.
     """
     current = current_rows(nb_contents, ["notebook_id"], "scraped_at", ["code"]).where("code is not null")
     model = current.sparkSession.sparkContext.broadcast(train(documents, current))
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for notebook_id, code in zip(batch["notebook_id"], batch["code"], strict=True):
-                for found in found_phrases(model.value, code, lex(code)):
-                    rows.append((notebook_id, *found, len(code)))
-            yield pd.DataFrame(rows, columns=["notebook_id", "lang", "found_in", "start_pos", "end_pos", "phrase", "code_chars"])
-
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
             for notebook_id, code in zip(batch["notebook_id"], batch["code"], strict=True):
                 parts = cut(code, chunk)
-                for k, (at, text) in enumerate(parts):
-                    yield pd.DataFrame([(notebook_id, k, len(parts), at, text)], columns=["notebook_id", "k", "n", "at", "text"])
+                if len(parts) == 1:
+                    rows += [(notebook_id, *found, len(code), None, None, None, None) for found in found_phrases(model.value, lex(code))]
+                else:
+                    rows += [(notebook_id, *[None] * 5, len(code), k, len(parts), at, text) for k, (at, text) in enumerate(parts)]
+            yield pd.DataFrame(rows, columns=[*COLUMNS, "k", "n", "at", "text"]).astype({c: "Int64" for c in ("start_pos", "end_pos", "k", "n", "at")})
 
     def functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -319,31 +350,29 @@ def language_in_code(nb_contents: DataFrame, documents: DataFrame, chunk: int =
 
     def lexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            spans = [
-                [(s.kind, s.start, s.end, s.text, s.prefix, s.depth, s.left, s.right, s.own_line) for s in lex(t, int(q), int(o), int(d))]
-                for t, q, o, d in zip(batch["text"], batch["start"], batch["at"], batch["depth"], strict=True)
-            ]
-            yield pd.DataFrame({"notebook_id": batch["notebook_id"], "k": batch["k"], "spans": spans})
-
-    span_type = "array<struct<kind string, start long, `end` long, text string, prefix string, depth int, `left` boolean, `right` boolean, own_line boolean>>"
+            rows = []
+            for r in batch.itertuples():
+                spans = lex(r.text, int(r.start), int(r.at), int(r.depth))
+                within, open_ends, tail = edges(r.text, spans, int(r.at), r.k == 0, r.k == r.n - 1)
+                rows += [(r.notebook_id, *found, r.code_chars, r.k, None, None, None) for found in found_phrases(model.value, within)]
+                rows.append((r.notebook_id, *[None] * 5, r.code_chars, r.k, [tuple(vars(s).values()) for s in open_ends], tail, bool(spans)))
+            yield pd.DataFrame(rows, columns=[*COLUMNS, "k", "spans", "tail", "some"]).astype({c: "Int64" for c in ("start_pos", "end_pos", "k", "tail")})
 
     def joined(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("k")
-        spans = stitch([[Span(s["kind"], s["start"], s["end"], s["text"], s["prefix"], s["depth"], s["left"], s["right"], s["own_line"]) for s in row] for row in group["spans"]])
-        code = "".join(group["text"])
-        rows = [(key[0], *found, len(code)) for found in found_phrases(model.value, code, spans)]
-        return pd.DataFrame(rows, columns=["notebook_id", "lang", "found_in", "start_pos", "end_pos", "phrase", "code_chars"])
-
-    short = spread(current.where(F.length("code") <= chunk)).mapInPandas(whole, SCHEMA)
-    long_files = current.where(F.length("code") > chunk)
-    cuts = materialize(long_files.mapInPandas(pieces, _PIECES))
-    if cuts.isEmpty():
-        return short
-    dealt = cuts.repartition("notebook_id", "k")
-    starts = dealt.mapInPandas(functions, "notebook_id long, k int, f array<long>").groupBy("notebook_id").applyInPandas(prefix, "notebook_id long, k int, start int, depth long")
-    found = cuts.join(starts, ["notebook_id", "k"]).mapInPandas(lexed, f"notebook_id long, k int, spans {span_type}")
-    both = found.join(cuts.select("notebook_id", "k", "text"), ["notebook_id", "k"])
-    return short.unionAll(both.groupBy("notebook_id").applyInPandas(joined, SCHEMA))
+        spans = stitch([([Span(**s) for s in own], int(tail), bool(some)) for own, tail, some in zip(group["spans"], group["tail"], group["some"], strict=True)])
+        rows = [(key[0], *found, group["code_chars"].iloc[0]) for found in found_phrases(model.value, spans)]
+        return pd.DataFrame(rows, columns=COLUMNS)
+
+    files = materialize(spread(current).mapInPandas(cut_files, f"{SCHEMA}, {_CHUNK}"), chunks=F.count("k"))
+    whole = files.where("k is null").select(*COLUMNS)
+    if not files.counts["chunks"]:
+        return whole
+    cuts = files.where("k is not null").select("notebook_id", "code_chars", "k", "n", "at", "text")
+    starts = cuts.repartition("notebook_id", "k").mapInPandas(functions, "notebook_id long, k int, f array<long>").groupBy("notebook_id").applyInPandas(prefix, "notebook_id long, k int, start int, depth long")
+    parts = materialize(cuts.join(starts, ["notebook_id", "k"]).mapInPandas(lexed, f"{SCHEMA}, k int, {_EDGE}"))
+    ends = parts.where("tail is not null").select("notebook_id", "code_chars", "k", "spans", "tail", "some")
+    return whole.unionByName(parts.where("tail is null").select(*COLUMNS)).unionByName(ends.groupBy("notebook_id").applyInPandas(joined, SCHEMA))
 
 
 def language_shares(found: DataFrame) -> DataFrame:

@@ -37,7 +37,8 @@ FOREIGN_COMMENT = re.compile(r"(?:^|(?<=\s))#")
 class Span:
     """A piece of text: ``kind`` comment or string; prefix of the literal; brackets open before it.
 
-    ``left``/``right`` say that it continues from or into the neighbouring chunk.
+    ``left``/``right`` say that it continues from or into the neighbouring chunk; ``gap`` is what
+    stands before it, as ``gap_of`` tells it.
     """
 
     kind: str
@@ -49,6 +50,22 @@ class Span:
     left: bool = False
     right: bool = False
     own_line: bool = False
+    gap: int = -1
+
+
+_CONTINUED = re.compile(r"(?:[ \t]|\\\r?\n)*")
+
+
+def gap_of(text: str) -> int:
+    """What stands between two spans: -1 code, else white space with so many line ends, continued lines not counted."""
+    if not text or text.isspace():
+        return text.count("\n")
+    return 0 if "\\" in text and _CONTINUED.fullmatch(text) else -1
+
+
+def gap_sum(first: int, then: int) -> int:
+    """The gap that two gaps make one after the other."""
+    return -1 if first < 0 or then < 0 else first + then
 
 
 def lex_line(line: str, state: int, at: int, depth: int, spans: list[Span] | None) -> tuple[int, int]:
@@ -189,17 +206,45 @@ def lex(chunk: str, state: int = CODE, offset: int = 0, depth: int = 0) -> list[
     for line in chunk.splitlines(keepends=True):
         state, depth = lex_line(line, state, at, depth, spans)
         at += len(line)
+    end = offset
+    for span in spans:
+        span.gap = 0 if span.left else gap_of(chunk[end - offset : span.start - offset])
+        end = span.end
     return spans
 
 
-def stitch(parts: list[list[Span]]) -> list[Span]:
-    """Join the spans of consecutive chunks; a literal cut by a boundary becomes one span again."""
+def edges(chunk: str, spans: list[Span], offset: int, first: bool, last: bool) -> tuple[list[Span], list[Span], int]:
+    """(spans within the chunk, spans that may go together with those of its neighbours, gap at its end).
+
+    Only code parts spans for good, so what follows the chunk's begin or comes before its end without
+    code between is kept for ``stitch``.  Without spans the gap is the whole chunk's.
+    """
+    tail = gap_of(chunk[(spans[-1].end if spans else offset) - offset :])
+    head, back = 0, len(spans)
+    if spans and not first and spans[0].gap >= 0:
+        head = 1
+        while head < len(spans) and spans[head].gap >= 0:
+            head += 1
+    if spans and not last and (tail >= 0 or spans[-1].right):
+        back -= 1
+        while back > head and spans[back].gap >= 0:
+            back -= 1
+    return spans[head:back], spans[:head] + spans[max(head, back) :], tail
+
+
+def stitch(parts: list[tuple[list[Span], int, bool]]) -> list[Span]:
+    """Join the spans of consecutive chunks, given as (spans, gap at the end, whether the chunk has any
+    span at all); a literal cut by a boundary becomes one span again."""
     out: list[Span] = []
-    for spans in parts:
-        for span in spans:
+    gap = -1
+    for spans, tail, some in parts:
+        for k, span in enumerate(spans):
             if span.left and out and out[-1].right and out[-1].kind == span.kind:
                 out[-1].text += span.text
                 out[-1].end, out[-1].right = span.end, span.right
             else:
+                if not k and not span.left:
+                    span.gap = gap_sum(gap, span.gap)
                 out.append(span)
+        gap = tail if some else gap_sum(gap, tail)
     return out
