@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notemill.session import materialize
+
 
 def join_key_stats(rows: DataFrame, stats: DataFrame, keys: list[str], size: str, hot: int = 1024) -> DataFrame:
     """Inner join of ``rows`` with one-row-per-key ``stats`` whose ``size`` counts the key's rows.
@@ -23,6 +25,27 @@ def join_key_stats(rows: DataFrame, stats: DataFrame, keys: list[str], size: str
     return by_broadcast.unionByName(rest.join(light, keys))
 
 
+def join_heavy(rows: DataFrame, table: DataFrame, keys: list[str], column: str, heavy: list) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, one row per ``keys``, of which ``column`` is one.
+
+    ``heavy`` are the values of ``column`` with a large share of ``rows``, as ``materialize`` finds
+    them: fewer than 1,024.  Their entries are broadcast, all others are joined by a shuffle.
+    """
+    if not heavy:
+        return rows.join(table, keys)
+    is_hot = F.coalesce(F.col(column).isin(heavy), F.lit(False))
+    by_broadcast = rows.where(is_hot).join(F.broadcast(table.where(is_hot)), keys)
+    return by_broadcast.unionByName(rows.where(~is_hot).join(table.where(~is_hot), keys))
+
+
+def bounded(table: DataFrame, limit: int, what: str) -> DataFrame:
+    """``table``, written and marked for broadcast; refused if it has more than ``limit`` rows."""
+    small = materialize(table, n=F.count(F.lit(1)))
+    if small.counts["n"] > limit:
+        raise ValueError(f"more than {limit} {what}")
+    return F.broadcast(small)
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str, hot: int = 1024, heavy: list | None = None) -> DataFrame:
     """Left join of ``rows`` with ``table``, which has at most one row per ``key``.
 
