@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from notemill.llm.terms import current_contents, keyword_array, term_array
 from notemill.operators.current import current_rows
 from notemill.operators.indexing import dense_index
+from notemill.operators.skew import bounded, join_heavy
 from notemill.session import materialize
 
-RANGE = 4096
+RANGE, MAX_FIELDS = 4096, 10_000
 BLOCK_SCHEMA = "field_name string, term string, n_occurrences long, n_records long"
 SUM_SCHEMA = "range_id long, occurrences array<long>, records array<long>"
 
@@ -82,12 +83,13 @@ def term_frequencies(records: DataFrame, min_records: int = 3, max_share: float
     ``min_records`` records hold the term, ``common`` if more than ``max_share`` of n_holders do,
     else null; a term that is both has both marks in two rows.  Null terms and null or empty
     arrays count nothing; other columns are ignored; an empty table gives an empty result.
-    A term in every record costs one count per block, so hot terms need no special case.
+    A term in every record costs one count per block; terms with a large share of these counts are
+    encoded by broadcast.  More than ``MAX_FIELDS`` fields are refused.
     """
     terms = records.select("field_name", F.filter("terms", lambda t: t.isNotNull()).alias("terms")).where("size(terms) > 0")
-    blocks = materialize(terms.mapInArrow(_count_block, BLOCK_SCHEMA))
+    blocks = materialize(terms.mapInArrow(_count_block, BLOCK_SCHEMA), ("term",))
     dictionary = dense_index(blocks.select("field_name", "term").distinct(), ["field_name", "term"], "term_id")
-    encoded = blocks.join(dictionary, ["field_name", "term"]).select("term_id", "n_occurrences", "n_records")
+    encoded = join_heavy(blocks, dictionary, ["field_name", "term"], "term", blocks.heavy["term"]).select("term_id", "n_occurrences", "n_records")
     # a range of hot terms gets a count from each block: 16 salts share it, then 16 arrays are added
     salted = encoded.repartition(F.expr(f"term_id div {RANGE}"), F.pmod(F.hash("n_occurrences", "n_records"), F.lit(16)))
     partial = salted.mapInArrow(_sum_ranges, SUM_SCHEMA)
@@ -97,7 +99,7 @@ def term_frequencies(records: DataFrame, min_records: int = 3, max_share: float
     totals = positions.groupBy((F.col("range_id") * RANGE + F.col("offset")).alias("term_id")).agg(
         F.sum("both.occurrences").alias("n_occurrences"), F.sum("both.records").alias("n_records")
     )
-    holders = terms.groupBy("field_name").agg(F.count("*").alias("n_holders"))
+    holders = bounded(terms.groupBy("field_name").agg(F.count("*").alias("n_holders")), MAX_FIELDS, "fields")
     marks = F.array_compact(
         F.array(
             F.when(F.col("n_records") < min_records, "rare"),
@@ -106,7 +108,7 @@ def term_frequencies(records: DataFrame, min_records: int = 3, max_share: float
     )
     return (
         totals.join(dictionary, "term_id")
-        .join(F.broadcast(holders), "field_name")
+        .join(holders, "field_name")
         .select("field_name", "term", "term_id", "n_occurrences", "n_records", "n_holders", F.explode_outer(marks).alias("mark"))
     )
 

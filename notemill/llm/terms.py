@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from notemill.operators.current import current_rows
 
-#: Runs of letters of any script, digits and underscores; a term is one that does not begin with a digit.
-RUN = r"[\p{L}\p{Nd}_]+"
-NOT_A_TERM = r"^\p{Nd}"
+#: Whole runs of letters of any script, digits and underscores that do not begin with a digit.
+TERM = r"(?<![\p{L}\p{Nd}_])[\p{L}_][\p{L}\p{Nd}_]*+"
 
 
 def term_array(text: Column) -> Column:
     """All terms of a text in order, repeats included; null and empty texts have none."""
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RUN), 0)
-    return F.filter(runs, lambda x: ~x.rlike(NOT_A_TERM))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TERM), 0)
 
 
 def keyword_array(keywords: Column) -> Column:
