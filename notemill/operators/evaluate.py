@@ -25,17 +25,26 @@ def current_predictions(results: DataFrame) -> DataFrame:
 
 
 def tags_of(kernel_metadata: DataFrame) -> DataFrame:
-    """(notebook, tags): distinct lower-case keywords of the current metadata, blank ones dropped."""
+    """(notebook, tags): distinct lower-case keywords of the current metadata, blank ones dropped.
+
+    Notebooks go by their slug; those of several accounts with one slug share their tags.
+    """
     current = current_rows(kernel_metadata, ["kernel_ref"], "scraped_at", ["keywords"])
     clean = F.transform(F.filter(F.coalesce("keywords", F.array().cast("array<string>")), lambda x: x.isNotNull()), lambda x: strip(F.regexp_replace(F.lower(x), r"(?U)[\s_-]+", " ")))
     tags = F.array_sort(F.array_distinct(F.filter(clean, lambda x: x != "")))
-    return current.select(F.element_at(F.split("kernel_ref", "/"), -1).alias("notebook"), tags.alias("tags"))
+    named = current.select(F.element_at(F.split("kernel_ref", "/"), -1).alias("notebook"), tags.alias("tags"))
+    return named.groupBy("notebook").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"))
+
+
+SPECIAL = "special_tags"
 
 
 def evaluated(predictions: DataFrame, tags: DataFrame, k: int = 3) -> DataFrame:
     """Predictions with ``p_at_k``; a notebook without tags has none, and p_at_k is null.  Labels
-    are compared with white space, hyphens and underscores as one space."""
-    joined = predictions.join(tags, "notebook", "left")
+    are compared with white space, hyphens and underscores as one space.  Tags of a notebook named
+    ``special_tags`` hold for all notebooks, with tags of their own or not."""
+    special = tags.where(F.col("notebook") == SPECIAL).agg(F.first("tags").alias("_special"))
+    joined = predictions.join(tags, "notebook", "left").crossJoin(F.broadcast(special)).withColumn("tags", F.coalesce("_special", "tags"))
     same = F.transform("top_domains", lambda x: F.regexp_replace(F.lower(x), r"(?U)[\s_-]+", " "))
     return joined.select(*KEYS, precision_at_k(same, F.coalesce("tags", F.array().cast("array<string>")), k).alias("p_at_k"))
 

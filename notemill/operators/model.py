@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notemill.operators.indexing import dense_index, rank_within
+from notemill.operators.skew import lookup
 from notemill.operators.stats import correlations
 from notemill.session import materialize, release
 
@@ -70,28 +71,39 @@ def inflation(table: DataFrame, columns: list[str]) -> dict[str, float]:
     return out
 
 
+def selection(table: DataFrame, columns: list[str], limit: float = 0.8, most: float = 10.0) -> list[tuple[str, str, float | None]]:
+    """(feature, state, inflation factor), the largest factor first.
+
+    ``correlated`` columns went by pairs; of those left, all at once, the ``inflated`` ones with a
+    factor above ``most``; the others are ``kept``.  Correlated and constant columns have no factor.
+    """
+    left = uncorrelated(table, columns, limit)
+    factors = inflation(table, left)
+    rows = [(c, "correlated" if c not in left else "inflated" if factors.get(c, 0.0) > most else "kept", factors.get(c)) for c in columns]
+    return sorted(rows, key=lambda r: (-(r[2] if r[2] is not None else -1.0), r[0]))
+
+
 def selected(table: DataFrame, columns: list[str], limit: float = 0.8, most: float = 10.0) -> list[str]:
-    """Columns left after correlated ones and then, all at once, those with an inflation factor above ``most`` were dropped."""
-    kept = uncorrelated(table, columns, limit)
-    factors = inflation(table, kept)
-    return [c for c in kept if not factors.get(c, 0.0) > most]
+    """The columns that ``selection`` keeps, in their order."""
+    kept = {c for c, state, _ in selection(table, columns, limit, most) if state == "kept"}
+    return [c for c in columns if c in kept]
 
 
 def stratified_split(table: DataFrame, label: str, key: str, test: float = 0.25, seed: int = 42) -> DataFrame:
     """``table`` with ``is_test``: in every class the share ``test`` with the least hashes of ``key``."""
     counts = table.groupBy(label).agg(F.count("*").alias("_n"))
     ranked = rank_within(table.withColumn("_o", F.xxhash64(F.lit(seed), key)), label, ["_o", key], "_r")
-    return ranked.join(F.broadcast(counts), label).withColumn("is_test", F.col("_r") < F.ceil(F.col("_n") * test)).drop("_r", "_n", "_o")
+    return lookup(ranked, counts, label).where("_n is not null").withColumn("is_test", F.col("_r") < F.ceil(F.col("_n") * test)).drop("_r", "_n", "_o")
 
 
 def balanced_weights(table: DataFrame, label: str) -> DataFrame:
     """``table`` with ``weight`` = rows / (classes x rows of the class)."""
     counts = table.groupBy(label).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_t"), F.count("*").alias("_k"))
-    return table.join(F.broadcast(counts), label).crossJoin(F.broadcast(total)).withColumn("weight", F.col("_t") / (F.col("_k") * F.col("_n"))).drop("_n", "_t", "_k")
+    return lookup(table, counts, label).where("_n is not null").crossJoin(F.broadcast(total)).withColumn("weight", F.col("_t") / (F.col("_k") * F.col("_n"))).drop("_n", "_t", "_k")
 
 
-def fit_multinomial(table: DataFrame, columns: list[str], label: str, c: float = 1.0, iterations: int = 100) -> tuple[LogisticRegressionModel, list[str]]:
+def fit_multinomial(table: DataFrame, columns: list[str], label: str, c: float = 1.0, iterations: int = 2000) -> tuple[LogisticRegressionModel, list[str]]:
     """Multinomial logistic regression with L2 penalty and balanced class weights; (model, classes)."""
     classes = sorted(r[0] for r in table.select(label).where(F.col(label).isNotNull()).distinct().limit(10_000).collect())
     index = F.element_at(F.create_map(*[x for k, v in enumerate(classes) for x in (F.lit(v), F.lit(float(k)))]), F.col(label))

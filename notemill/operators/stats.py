@@ -9,10 +9,12 @@ from itertools import combinations
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from notemill.session import materialize
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     tiny = 1e-300
@@ -60,16 +62,24 @@ def paired_tests(table: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("t", t).withColumn("df", F.col("n") - 1).withColumn("p", t_p_value("t", F.col("df").cast("double"))).drop("s")
 
 
-def welch_tests(table: DataFrame, group: str, value: str) -> DataFrame:
-    """Welch's t-test of every pair of groups: (first, second, mean_diff, t, df, p)."""
-    stats = table.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.count(value).alias("n"))
-    a, b = stats.select(*[F.col(c).alias(f"{c}1") for c in (group, "m", "v", "n")]), stats.select(*[F.col(c).alias(f"{c}2") for c in (group, "m", "v", "n")])
-    pairs = a.join(b, F.col(f"{group}1") < F.col(f"{group}2"))
+def welch_tests(table: DataFrame, group: str, value: str, by: list[str] | None = None, max_groups: int = 10_000) -> DataFrame:
+    """Welch's t-test of every pair of groups: (by, first, second, mean_diff, t, df, p).
+
+    With ``by`` only groups of the same keys are compared.  There are as many tests as pairs, so more
+    than ``max_groups`` groups are refused.
+    """
+    by = by or []
+    stats = table.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*by, group).agg(F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.count(value).alias("n"))
+    stats = materialize(stats, groups=F.count(F.lit(1)))
+    if stats.counts["groups"] > max_groups:
+        raise ValueError(f"more than {max_groups} groups")
+    a, b = stats.select(*by, *[F.col(c).alias(f"{c}1") for c in (group, "m", "v", "n")]), stats.select(*by, *[F.col(c).alias(f"{c}2") for c in (group, "m", "v", "n")])
+    pairs = (a.join(b, by) if by else a.join(b)).where(F.col(f"{group}1") < F.col(f"{group}2"))
     q1, q2 = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
     df = F.try_divide((q1 + q2) * (q1 + q2), q1 * q1 / (F.col("n1") - 1) + q2 * q2 / (F.col("n2") - 1))
     big = pairs.where("n1 > 1 and n2 > 1")
     return big.select(
-        F.col(f"{group}1").alias("first"), F.col(f"{group}2").alias("second"), (F.col("m1") - F.col("m2")).alias("mean_diff"), F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(q1 + q2)).alias("t"), df.alias("df")
+        *by, F.col(f"{group}1").alias("first"), F.col(f"{group}2").alias("second"), (F.col("m1") - F.col("m2")).alias("mean_diff"), F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(q1 + q2)).alias("t"), df.alias("df")
     ).withColumn("p", t_p_value("t", "df"))
 
 
@@ -129,6 +139,12 @@ def standardized(table: DataFrame, columns: list[str]) -> DataFrame:
     return table.crossJoin(F.broadcast(moments)).withColumns(scaled).drop(*[f"_{n}_{c}" for c in columns for n in "ms"])
 
 
+def sample_size_of(population: Column, z: float = 2.576, error: float = 0.02, share: float = 0.5) -> Column:
+    """``sample_size`` of a column of populations."""
+    endless = z * z * share * (1 - share) / (error * error)
+    return F.ceil(F.lit(endless) / (1 + F.lit(endless - 1) / population)).cast("long")
+
+
 def sample_size(population: int, z: float = 2.576, error: float = 0.02, share: float = 0.5) -> int:
     """Sample that a finite population needs for a margin of error."""
     endless = z * z * share * (1 - share) / (error * error)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from notemill.functions import code as C
 from notemill.functions import lists as L
 from notemill.functions import text as T
+from notemill.functions.labels import DOMAINS
 from notemill.functions.vectors import cosine
 from notemill.operators import evaluate as E
+from notemill.operators import importance as I
 from notemill.operators import model as M
 from notemill.operators import parts as P
 from notemill.operators import ranking as R
@@ -19,6 +22,10 @@ from notemill.operators import salient as S
 from notemill.operators import stats as X
 from notemill.operators.current import current_rows
 from notemill.operators.indexing import rank_within
+from notemill.session import materialize, run_dir
+from notemill.sources import notebooks as N
+from notemill.sources import tables as W
+from notemill.sources.files import write_files
 from notemill.streaming.budget import trailing_sum
 
 DOC = ["notebook_id", "part"]
@@ -30,10 +37,10 @@ REPORTED = [
     ("Word2Vec-BOW", 0.06, 0.06, 0.04, 0.06), ("Word2Vec-LDA", 0.06, 0.06, 0.06, 0.08), ("Word2Vec-TFIDF", 0.08, 0.08, 0.05, 0.06),
 ]
 REPORTED_PARTS = ["all_contents", "code", "in_line_comment", "markdown_narrative"]
-# Answers that try the categories of a judge.
-ANSWERS = ["Highly relevant and appropriately specific", "This is very relevant, but too broad", "relevant", "Not relevant at all", "Irrelevant; overly specific", "Partially relevant, too general", "somewhat relevant and too specific", "cannot say", None]
-# Printed lists as they occur in exports.
-PRINTED = ["['finance', 'retail']", "[\"women's health\", 'music']", "[]", "nonsense", None]
+PART_LABELS = ["code", "comment", "markdown narrative", "all combined"]
+#: Classes of the table of effects.
+SHOWN = ["banking", "football", "oceanography", "radiology", "railways"]
+TITLES = {"bow": "Words", "tfidf": "TF-IDF"}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -67,10 +74,80 @@ def q_part_lines(spark: SparkSession, folder: str) -> DataFrame:
     return own.select(*DOC, T.count_lines(F.col("text")).alias("n_lines"), T.count_lines(P.clean_part(F.col("part"), F.col("text"))).alias("n_clean"))
 
 
+def _new_folder(spark: SparkSession) -> str:
+    return f"{run_dir(spark)}/{uuid.uuid4().hex}"
+
+
 def q_file_type(spark: SparkSession, folder: str) -> DataFrame:
-    """Number of part files by the kind that their names tell."""
-    stem = F.concat_ws("_", "part", F.lit("md"))
-    return parts(spark, folder).select(T.part_kind(stem).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    """Part files written and found again: number and characters by the kind that their names tell."""
+    own = parts(spark, folder).where("text <> ''")
+    name = F.concat(F.lit("nb_"), F.when(F.col("part") == "narrative", "narrative_md").otherwise(F.col("part")))
+    root = _new_folder(spark)
+    write_files(own.select(F.concat_ws("/", F.col("notebook_id").cast("string"), F.concat(name, F.lit(".txt"))).alias("path"), F.col("text").alias("content")), root)
+    found = N.read_part_files(spark, root).select(T.part_kind(F.col("stem")).alias("kind"), F.length("text").cast("long").alias("n_chars"))
+    return found.groupBy("kind").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
+def q_notebook_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Notebooks written as files, read two folders deep, parsed and rendered again: cells and text of each.
+
+    Sources are texts and lists of lines in turn, as both occur on disk.
+    """
+    sources = F.transform(T.code_cells(F.col("text")), lambda c: c["source"])
+    bare = F.transform(sources, lambda s, i: F.when(i + 1 < F.size(sources), F.regexp_replace(s, r"\n$", "")).otherwise(s))
+    as_text = lambda s: F.regexp_replace(F.to_json(F.array(s)), r"^\[|\]$", "")
+    lines = lambda s: F.to_json(F.split(s, r"(?<=\n)"))
+    cells = F.transform("bare", lambda s, i: F.concat(F.lit('{"cell_type":"code","source":'), F.when(i % 2 == 0, as_text(s)).otherwise(lines(s)), F.lit("}")))
+    own = parts(spark, folder).where("part = 'code'").withColumn("bare", bare)
+    notes = own.select(F.concat(F.pmod("notebook_id", F.lit(7)).cast("string"), F.lit("/n"), F.col("notebook_id").cast("string"), F.lit("/"), F.col("notebook_id").cast("string"), F.lit(".ipynb")).alias("path"), F.concat(F.lit('{"cells":['), F.array_join(cells, ","), F.lit("]}")).alias("content"))
+    root = _new_folder(spark)
+    write_files(notes, root)
+    read = N.notebook_cells(N.read_notebooks(spark, root))
+    stem = F.regexp_extract("path", r"([^/]+)\.ipynb$", 1).cast("long")
+    n = read.groupBy(stem.alias("notebook_id")).agg(F.count("*").alias("n_cells"))
+    rendered = P.render_parts(read).select(stem.alias("notebook_id"), F.md5("text").alias("digest"))
+    return n.join(rendered, "notebook_id")
+
+
+def q_metadata_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata files written, unreadable ones too, and read again: keywords of each notebook."""
+    meta = current_rows(table(spark, folder, "kernel_metadata"), ["kernel_ref"], "scraped_at", ["keywords", "parse_error"])
+    content = F.when(F.col("parse_error").isNotNull(), '{"keywords": ["a').otherwise(F.to_json(F.struct("keywords")))
+    root = _new_folder(spark)
+    write_files(meta.select(F.concat("kernel_ref", F.lit("/kernel-metadata.json")).alias("path"), content.alias("content")), root)
+    read = N.read_metadata(spark, root)
+    return read.select("account", "notebook", F.size("keywords").cast("long").alias("n"), F.array_join("keywords", "|").alias("keywords"))
+
+
+def q_prediction_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions written as CSV with printed lists and read again."""
+    root = _new_folder(spark)
+    W.write_predictions(E.current_predictions(table(spark, folder, "domain_classification_results")).select("notebook", "part", "term_type", "embedding_type", "top_domains"), root)
+    return W.read_predictions(spark, root).select("notebook", "part", "term_type", "embedding_type", F.array_join("top_domains", "|").alias("labels"))
+
+
+def q_term_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Salient terms of whole notebooks written as reports and parsed back."""
+    both = q_bow_combined(spark, folder).select("notebook_id", F.lit("bow").alias("method"), "term", F.col("n").cast("double").alias("score"), "rank")
+    both = both.unionByName(q_tfidf_combined(spark, folder).select("notebook_id", F.lit("tfidf").alias("method"), "term", F.col("weight").alias("score"), "rank"))
+    return W.parse_report(W.salient_report(both, TITLES), TITLES)
+
+
+def q_error_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Errors of unreadable metadata appended to a log twice: entries of each notebook."""
+    errors = table(spark, folder, "kernel_metadata").where("parse_error is not null").select(F.col("kernel_ref").alias("ref"), F.col("parse_error").alias("error")).distinct()
+    root = _new_folder(spark)
+    for _ in range(2):
+        W.append_errors(errors, root)
+    return spark.read.csv(root, schema="ref string, error string", escape='"').groupBy("ref").agg(F.count("*").alias("n"), F.max("error").alias("last_error"))
+
+
+def q_vector_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of the domain labels written and read again; unknown ones have become zeros."""
+    labels = _labels(spark).select(F.col("domain").alias("term"))
+    root = _new_folder(spark)
+    W.write_vectors(R.embed_terms(labels, _words(spark, folder, labels)).select(F.lit("label").alias("term_type"), F.lit("word2vec").alias("embed_type"), "term", "vec"), root)
+    return W.read_vectors(spark, root).select("term", F.size("vec").cast("long").alias("width"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
 def q_bow_top30(spark: SparkSession, folder: str) -> DataFrame:
@@ -169,6 +246,27 @@ def q_cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
     return R.rank_domains(own, domains, ["group_id"]).withColumn("score", F.round("score", 6))
 
 
+def _labels(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in DOMAINS], "domain string")
+
+
+def _words(spark: SparkSession, folder: str, terms: DataFrame) -> DataFrame:
+    """Word vectors in place of a pretrained table: a word's row is told by a digest; some words have none."""
+    e = table(spark, folder, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    total = e.agg(F.floor(F.count("*") * 1.1).alias("_n"))
+    words = terms.select(F.explode(F.split(F.lower("term"), r"\s+")).alias("word")).distinct()
+    number = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long")
+    return words.crossJoin(F.broadcast(total)).select("word", (number % F.col("_n")).alias("vec_id")).join(e, "vec_id").select("word", "vec")
+
+
+def q_domain_rank(spark: SparkSession, folder: str) -> DataFrame:
+    """The flagship path: salient terms of each part, their vectors, the ten best of the domain labels."""
+    terms = materialize(q_bow_top30(spark, folder).select(*DOC, "term"))
+    labels = _labels(spark)
+    words = _words(spark, folder, terms.select("term").unionAll(labels.select("domain")))
+    return R.domains_of_terms(terms, labels, words, DOC).withColumn("score", F.round("score", 6))
+
+
 def q_cosine_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Cosine of every pair of label centroids."""
     means = R.vector_mean(_terms(spark, folder), ["label"], "vec").select(F.col("label").cast("long").alias("label"), "vec")
@@ -200,9 +298,9 @@ def q_pk_best5(spark: SparkSession, folder: str) -> DataFrame:
 
 def q_pk_pivot(spark: SparkSession, folder: str) -> DataFrame:
     """Mean precision by embedding and term type, with a column for each part."""
-    labels = ["code", "comment", "markdown narrative", "all combined"]
+    labels = PART_LABELS
     wide = _scores(spark, folder).dropna(subset=["p_at_k"]).groupBy("embedding_type", "term_type").pivot("part", labels).agg(F.avg("p_at_k"))
-    return wide.select("embedding_type", "term_type", *[F.round(F.col(f"`{x}`"), 9).alias(x.replace(" ", "_")) for x in labels])
+    return wide.select("embedding_type", "term_type", *[F.round(F.col(f"`{x}`"), 9).alias(x.replace(" ", "_")) for x in labels]).orderBy("embedding_type", "term_type")
 
 
 def q_missing_tags(spark: SparkSession, folder: str) -> DataFrame:
@@ -280,17 +378,55 @@ def q_corr_matrix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_uncorrelated(spark: SparkSession, folder: str) -> DataFrame:
-    """Features left after correlated ones were dropped, with their variance inflation factors."""
+    """Features left after correlated ones were dropped, with their variance inflation factors, largest first."""
+    chosen = q_feature_selection(spark, folder).where("state <> 'correlated'")
+    return chosen.select("feature", "vif").orderBy(F.desc_nulls_last("vif"), "feature")
+
+
+def q_feature_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """What became of every candidate feature: kept, dropped as correlated, or dropped as inflated."""
     own = features(spark, folder)
-    kept = M.uncorrelated(own, M.feature_columns(own))
-    rows = [(c, v) for c, v in M.inflation(own, kept).items()]
-    return spark.createDataFrame(rows, "feature string, vif double").withColumn("vif", F.round("vif", 6))
+    rows = M.selection(own, M.feature_columns(own))
+    return spark.createDataFrame(rows, "feature string, state string, vif double").withColumn("vif", F.round("vif", 6))
+
+
+def _effects(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics in the form of coefficients: mean standardised measures of each domain, its share as the intercept."""
+    own = X.standardized(features(spark, folder).where("domain is not null").select("domain", *METRICS), METRICS)
+    means = X.unpivot(own, ["domain"], METRICS).groupBy(F.col("domain").alias("class"), F.col("metric").alias("feature")).agg(F.round(F.avg("value"), 6).alias("coefficient"))
+    shares = own.groupBy(F.col("domain").alias("class")).agg(F.lit("intercept").alias("feature"), F.count("*").cast("double").alias("coefficient"))
+    return means.unionByName(shares).withColumn("is_significant", F.abs("coefficient") > 0.1)
+
+
+def q_top_effects(spark: SparkSession, folder: str) -> DataFrame:
+    return I.strongest(_effects(spark, folder), 3).select("class", "feature", "coefficient", "rank")
+
+
+def q_busiest_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return I.busiest(_effects(spark, folder))
+
+
+def q_effect_pivot(spark: SparkSession, folder: str) -> DataFrame:
+    """Features by classes, what is missing filled with 0."""
+    return I.pivot_first(_effects(spark, folder), SHOWN).na.fill(0.0)
+
+
+def q_mean_std_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean and deviation as text, of the domains whose names begin alike."""
+    own = features(spark, folder).where(F.col("domain").startswith("e-") | F.col("domain").startswith("music"))
+    return own.groupBy("domain").agg(I.mean_and_deviation(F.avg("num_lines"), F.stddev_samp("num_lines"), 3).alias("num_lines"))
+
+
+def _part_means(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean precision of each embedding and term type, a column for each part."""
+    wide = _scores(spark, folder).groupBy("embedding_type", "term_type").pivot("part", PART_LABELS).agg(F.avg("p_at_k"))
+    return wide.toDF("embedding_type", "term_type", *REPORTED_PARTS[1:], REPORTED_PARTS[0])
 
 
 def q_paired_t(spark: SparkSession, folder: str) -> DataFrame:
-    reported = spark.createDataFrame(REPORTED, "kind string, " + ", ".join(f"{c} double" for c in REPORTED_PARTS))
-    tests = X.paired_tests(reported, REPORTED_PARTS)
-    return tests.select("first", "second", "n", F.round("mean_diff", 4).alias("mean_diff"), F.round("t", 4).alias("t"), "df")
+    """Paired tests between parts over the kinds of embeddings and terms."""
+    tests = X.paired_tests(_part_means(spark, folder), REPORTED_PARTS)
+    return tests.select("first", "second", "n", F.round("mean_diff", 6).alias("mean_diff"), F.round("t", 4).alias("t"), "df")
 
 
 def _reported_long(spark: SparkSession) -> DataFrame:
@@ -305,6 +441,19 @@ def q_welch_t(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("first", "second", *[F.round(c, 6).alias(c) for c in ("mean_diff", "t", "df")])
 
 
+def q_welch_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tests between embedding types and between term types within each part."""
+    own = _scores(spark, folder)
+    both = [X.welch_tests(own, g, "p_at_k", ["part"]) for g in ("embedding_type", "term_type")]
+    return both[0].unionByName(both[1]).select("part", "first", "second", *[F.round(c, 6).alias(c) for c in ("mean_diff", "t", "df")])
+
+
+def q_welch_domains(spark: SparkSession, folder: str) -> DataFrame:
+    """Welch tests of code sizes between domains."""
+    own = features(spark, folder).withColumn("v", F.col("num_lines").cast("double"))
+    return X.welch_tests(own, "domain", "v").select("first", "second", *[F.round(c, 6).alias(c) for c in ("mean_diff", "t", "df")])
+
+
 def q_welch_p(spark: SparkSession, folder: str) -> DataFrame:
     """Welch tests of code sizes between domains, with p-values."""
     return X.welch_tests(features(spark, folder).withColumn("v", F.col("num_lines").cast("double")), "domain", "v").select("first", "second", F.round("t", 6).alias("t"), F.round("p", 9).alias("p"))
@@ -316,9 +465,10 @@ def q_mean_std(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_row_mean(spark: SparkSession, folder: str) -> DataFrame:
-    reported = spark.createDataFrame(REPORTED, "kind string, " + ", ".join(f"{c} double" for c in REPORTED_PARTS))
-    mean = sum((F.col(c) for c in REPORTED_PARTS[1:]), F.col(REPORTED_PARTS[0])) / 4
-    return reported.select(F.split("kind", "-")[0].alias("embedding"), F.split("kind", "-")[1].alias("term_type"), F.round(mean, 9).alias("mean"))
+    """Mean over the parts of each kind of embedding and term, parts without a score left out."""
+    known = sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in REPORTED_PARTS[1:]), F.when(F.col(REPORTED_PARTS[0]).isNotNull(), 1).otherwise(0))
+    total = sum((F.coalesce(c, F.lit(0.0)) for c in REPORTED_PARTS[1:]), F.coalesce(REPORTED_PARTS[0], F.lit(0.0)))
+    return _part_means(spark, folder).select("embedding_type", "term_type", F.round(F.try_divide(total, known), 9).alias("mean"))
 
 
 def q_boxplot(spark: SparkSession, folder: str) -> DataFrame:
@@ -350,7 +500,8 @@ def q_split(spark: SparkSession, folder: str) -> DataFrame:
 
 def q_logreg(spark: SparkSession, folder: str) -> DataFrame:
     """Report of the multinomial model on the held-out rows."""
-    split, columns = _labelled(spark, folder)
+    split, candidates = _labelled(spark, folder)
+    columns = M.selected(split, candidates)
     scaled = X.standardized(split.select("domain", "is_test", *columns), columns)
     model, classes = M.fit_multinomial(scaled.where("not is_test"), columns, "domain")
     report = M.classification_report(M.predict(model, classes, columns, scaled.where("is_test")), "domain", "predicted")
@@ -389,10 +540,13 @@ def q_token_estimate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_prompt(spark: SparkSession, folder: str) -> DataFrame:
-    """Prompts for the judge, in chunks of 20."""
+    """Prompts for the judge: each notebook's best combined domain with the texts of its parts."""
     nb = current_rows(table(spark, folder, "nb_contents"), ["notebook_id"], "scraped_at", ["notebook", "code", "markdown_narrative"])
-    text = T.prompt(F.lit("finance"), F.col("code"), F.col("markdown_narrative"))
-    return nb.select("notebook_id", F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("digest"))
+    best = E.current_predictions(table(spark, folder, "domain_classification_results")).where("part = 'all combined' and term_type = 'tfidf' and embedding_type = 'bert'")
+    best = best.select(F.col("notebook").alias("_name"), L.first_label(F.col("top_domains")).alias("domain"))
+    joined = nb.withColumn("_name", E.notebook_name(F.col("notebook"))).join(best, "_name", "left")
+    text = T.prompt(F.coalesce("domain", F.lit("Unknown")), F.col("code"), F.col("markdown_narrative"))
+    return joined.select("notebook_id", F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("digest"))
 
 
 def q_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -402,15 +556,16 @@ def q_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_categories(spark: SparkSession, folder: str) -> DataFrame:
-    """Relevance and specificity of a judge's answers."""
-    answers = spark.createDataFrame([(k, a) for k, a in enumerate(ANSWERS)], "id long, answer string")
-    return answers.select("id", T.relevance(F.col("answer")).alias("relevance"), T.specificity(F.col("answer")).alias("specificity"))
+    """Documents by the categories of relevance and specificity, their texts taken for answers of a judge."""
+    d = table(spark, folder, "documents")
+    return d.groupBy(T.relevance(F.col("text")).alias("relevance"), T.specificity(F.col("text")).alias("specificity")).agg(F.count("*").alias("n"))
 
 
 def q_printed_lists(spark: SparkSession, folder: str) -> DataFrame:
-    printed = spark.createDataFrame([(k, p) for k, p in enumerate(PRINTED)], "id long, printed string")
-    items = L.parse_list(F.col("printed"))
-    return printed.select("id", F.array_join(items, "|").alias("items"), L.first_label(items).alias("first"))
+    """Lists of predictions printed and read again, with their first label."""
+    own = table(spark, folder, "domain_classification_results").select("top_domains").distinct()
+    items = L.parse_list(L.print_list(F.col("top_domains")))
+    return own.select(F.array_join(items, "|").alias("items"), L.first_label(items).alias("first"))
 
 
 def q_split_ref(spark: SparkSession, folder: str) -> DataFrame:
@@ -420,14 +575,9 @@ def q_split_ref(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_sample_size(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.createDataFrame([(n, X.sample_size(n)) for n in (100, 1000, 37764, 10**6)], "population long, sample long")
-
-
-def q_feature_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Every pair of numeric features, by name."""
-    names = spark.createDataFrame([(k, m) for k, m in enumerate(METRICS)], "i long, name string")
-    a, b = names.toDF("i", "first"), names.toDF("j", "second")
-    return a.join(b, F.col("i") < F.col("j")).select("first", "second")
+    """Sample that each account's kernels need for a margin of error."""
+    k = table(spark, folder, "kernels").groupBy(F.substring_index("kernel_ref", "/", 1).alias("account")).agg(F.countDistinct("kernel_ref").alias("population"))
+    return k.select("account", "population", X.sample_size_of(F.col("population")).alias("sample"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

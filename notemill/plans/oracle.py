@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from notemill.functions.code import LIBRARIES, TENSOR_LIBRARIES, TENSOR_OPS
 from notemill.functions.stopwords import ENGLISH
-from notemill.plans.catalogue import ANSWERS, METRICS, PRINTED, REPORTED, REPORTED_PARTS
+from notemill.functions.labels import DOMAINS
+from notemill.plans.catalogue import METRICS, PART_LABELS, REPORTED, REPORTED_PARTS, SHOWN
 
 WS = r"[\s\x{00a0}\x{3000}]"
 
@@ -111,6 +112,16 @@ FEATURES = "SELECT lower(base_notebook) AS base_notebook, " + ", ".join(f"max({m
 LONG = f"long AS (SELECT domain, metric, value::DOUBLE AS value FROM (UNPIVOT (SELECT domain, {', '.join(f'{m}::DOUBLE AS {m}' for m in METRICS)} FROM features) ON {', '.join(METRICS)} INTO NAME metric VALUE value))"
 VECTORS = "vectors AS (SELECT vec_id, label, vec_id % 40 AS group_id, embedding::DOUBLE[64] AS vec FROM embeddings)"
 MEANS = """means AS (SELECT label, list(m ORDER BY i)::DOUBLE[64] AS vec FROM (SELECT label, i, avg(vec[i]) AS m FROM vectors, range(1, 65) t(i) GROUP BY ALL) GROUP BY 1)"""
+def words_of(terms: str) -> str:
+    """CTEs that give the rows of ``terms`` (term) vectors, ``{name}_v`` (term, vec), by digests of their words."""
+    return f"""wanted AS (SELECT DISTINCT term FROM {terms}), split AS (SELECT term, unnest(string_split_regex(lower(term), '\\s+')) AS word FROM wanted),
+total_v AS (SELECT floor(count(*) * 1.1)::BIGINT AS m FROM embeddings),
+word_v AS (SELECT word, vec FROM (SELECT word, ('0x' || substr(md5(word), 1, 8))::BIGINT % m AS vec_id FROM (SELECT DISTINCT word FROM split), total_v) JOIN vectors USING (vec_id)),
+term_v AS (SELECT term, list(x ORDER BY i)::DOUBLE[64] AS vec FROM (SELECT term, i, avg(vec[i]) AS x FROM split JOIN word_v USING (word), range(1, 65) t(i) GROUP BY ALL) GROUP BY 1)"""
+
+
+LABELS = "labels(term) AS (VALUES " + ", ".join(f"({lit(x)})" for x in DOMAINS) + ")"
+PART_MEANS = "means AS (SELECT embedding_type, term_type, " + ", ".join(f"avg(p_at_k) FILTER (part = '{p}') AS {c}" for p, c in zip(PART_LABELS, [*REPORTED_PARTS[1:], REPORTED_PARTS[0]], strict=True)) + " FROM scores GROUP BY 1, 2)"
 REPORT = "reported(kind, " + ", ".join(REPORTED_PARTS) + ") AS (VALUES " + ", ".join(f"({', '.join(lit(x) for x in row)})" for row in REPORTED) + ")"
 WELCH = f"""{REPORT}, long AS (SELECT split_part(kind, '-', 1) AS embedding, split_part(kind, '-', 2) AS term_type, value::DOUBLE AS value FROM (UNPIVOT reported ON {", ".join(REPORTED_PARTS)} INTO NAME metric VALUE value)),
 groups AS (SELECT 1 AS k, embedding AS g, value FROM long UNION ALL SELECT 2, term_type, value FROM long),
@@ -120,6 +131,36 @@ SELECT a.g AS first, b.g AS second, round(a.m - b.m, 6) AS mean_diff, round((a.m
 FROM s a JOIN s b ON a.k = b.k AND a.g < b.g"""
 
 
+def welch(groups: str, keys: str = "") -> str:
+    """Welch tests of the rows of ``groups`` (keys, g, value)."""
+    own = "".join(f"a.{k}, " for k in keys.split()) if keys else ""
+    same = "".join(f"a.{k} = b.{k} AND " for k in keys.split())
+    return f"""s AS (SELECT {", ".join([*keys.split(), "g"])}, avg(value) AS m, var_samp(value) AS v, count(*) AS n FROM {groups} WHERE value IS NOT NULL AND g IS NOT NULL GROUP BY ALL)
+SELECT {own}a.g AS first, b.g AS second, round(a.m - b.m, 6) AS mean_diff, round((a.m - b.m) / nullif(sqrt(a.v / a.n + b.v / b.n), 0), 6) AS t,
+  round(pow(a.v / a.n + b.v / b.n, 2) / nullif(pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1), 0), 6) AS df
+FROM s a JOIN s b ON {same}a.g < b.g WHERE a.n > 1 AND b.n > 1"""
+
+
+def _effects() -> str:
+    moments = ", ".join(f"avg({m}) AS m_{m}, stddev_pop({m}) AS s_{m}" for m in METRICS)
+    means = " UNION ALL ".join(f"SELECT domain AS class, '{m}' AS feature, round(avg(({m} - m_{m}) / CASE WHEN s_{m} > 0 THEN s_{m} ELSE 1 END), 6) AS coefficient FROM f, moments GROUP BY 1" for m in METRICS)
+    return f"WITH features AS ({FEATURES}), f AS (SELECT * FROM features WHERE domain IS NOT NULL), moments AS (SELECT {moments} FROM f), effects AS ({means}), strong AS (SELECT * FROM effects WHERE abs(coefficient) > 0.1)"
+
+
+#: Depth along every way through the bases of a notebook's classes; a class that is on the way already ends it.
+_DEPTH = r"""
+defs AS (SELECT notebook_id, generate_subscripts(n, 1) AS k, unnest(n) AS name, unnest(b) AS listed FROM (
+  SELECT notebook_id, regexp_extract_all(code, 'class\s+(\w+)\s*\((.*?)\):', 1) AS n, regexp_extract_all(code, 'class\s+(\w+)\s*\((.*?)\):', 2) AS b FROM codes)),
+latest AS (SELECT notebook_id, name, arg_max(listed, k) AS listed FROM defs GROUP BY 1, 2),
+bases AS (SELECT notebook_id, name, trim(unnest(string_split(listed, ','))) AS base FROM latest),
+ways(notebook_id, node, seen, depth) AS (
+  SELECT notebook_id, name, [name], 1 FROM latest
+  UNION ALL
+  SELECT w.notebook_id, CASE WHEN l.name IS NOT NULL AND NOT list_contains(w.seen, b.base) THEN b.base END, list_append(w.seen, b.base), w.depth + CASE WHEN list_contains(w.seen, b.base) THEN 0 ELSE 1 END
+  FROM ways w JOIN bases b ON b.notebook_id = w.notebook_id AND b.name = w.node LEFT JOIN latest l ON l.notebook_id = w.notebook_id AND l.name = b.base
+)"""
+
+
 def _iqr() -> str:
     steps = [f"features AS ({FEATURES})", "s0 AS (SELECT * FROM features)"]
     for k, m in enumerate(METRICS):
@@ -152,16 +193,31 @@ def oracle_sql() -> dict[str, str]:
     cells = r"(SELECT notebook_id, unnest(string_split(regexp_replace(text, 'Content of code cell #(\d+):', chr(1) || '\1' || chr(2), 'g'), chr(1))[2:]) AS c FROM parts WHERE part = 'code')"
     comments = rf"list_filter(list_transform(regexp_extract_all(c[position(chr(2) IN c) + 1:], '(?m)#\s*(.*?)$', 1), lambda x: {strip('x')}), lambda x: x <> '')"
     title = lambda name, x: f"CASE WHEN coalesce({x}, '') <> '' THEN '{name}:' || chr(10) || CASE WHEN length({x}) > 1500 THEN left({x}, 1500) || '...' ELSE {x} END END"
-    prompt = f"concat_ws(chr(10) || chr(10), 'Proposed domain: finance', {title('Code', 'code')}, {title('Narrative', 'markdown_narrative')}, 'How relevant and how specific is the proposed domain for this notebook?')"
-    answers = "answers(id, answer) AS (VALUES " + ", ".join(f"({k}, {lit(a)})" for k, a in enumerate(ANSWERS)) + ")"
-    printed = "printed(id, printed) AS (VALUES " + ", ".join(f"({k}, {lit(p)})" for k, p in enumerate(PRINTED)) + ")"
-    has = lambda *words: "(" + " OR ".join(f"contains(lower(answer), '{w}')" for w in words) + ")"
+    prompt = f"concat_ws(chr(10) || chr(10), 'Proposed domain: ' || coalesce(domain, 'Unknown'), {title('Code', 'code')}, {title('Narrative', 'markdown_narrative')}, 'How relevant and how specific is the proposed domain for this notebook?')"
+    has = lambda *words: "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
     moments = ", ".join(f"avg({m}) AS m_{m}, stddev_pop({m}) AS s_{m}" for m in METRICS)
     pairs = [(a, b) for k, a in enumerate(METRICS) for b in METRICS[k + 1 :]]
     tests = [(a, b) for k, a in enumerate(REPORTED_PARTS) for b in REPORTED_PARTS[k + 1 :]]
     return {
         "q_part_lines": f"WITH {PARTS} SELECT notebook_id, part, {size('text')} AS n_lines, {size('clean')} AS n_clean FROM cleaned",
-        "q_file_type": f"WITH {PARTS} SELECT part AS kind, count(*) AS n FROM parts GROUP BY 1",
+        "q_file_type": f"WITH {PARTS} SELECT part AS kind, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM parts WHERE text <> '' GROUP BY 1",
+        "q_notebook_files": f"WITH {PARTS}, c AS (SELECT notebook_id, {count('text', r'Content of code cell #\d+:')} AS n_cells, md5(chr(10) || text[position('Content of code cell #' IN text):]) AS digest FROM parts WHERE part = 'code') SELECT * FROM c WHERE n_cells > 0",
+        "q_metadata_files": f"WITH {TAGS} SELECT split_part(kernel_ref, '/', 1) AS account, split_part(kernel_ref, '/', 2) AS notebook, CASE WHEN parse_error IS NOT NULL THEN 0 ELSE len(coalesce(keywords, [])) END AS n, CASE WHEN parse_error IS NOT NULL THEN '' ELSE array_to_string(list_filter(coalesce(keywords, []), lambda k: k IS NOT NULL), '|') END AS keywords FROM meta",
+        "q_prediction_csv": f"WITH {PREDICTIONS} SELECT {KEYS}, coalesce(array_to_string(top_domains, '|'), '') AS labels FROM predictions",
+        "q_term_report": f"WITH {TOKENS} SELECT notebook_id, 'bow' AS method, term, rank FROM ({ranked('whole', 'notebook_id', 'n')}) UNION ALL SELECT notebook_id, 'tfidf', term, rank FROM ({ranked(_tfidf('whole', 'notebook_id'), 'notebook_id', 'weight')})",
+        "q_error_log": "SELECT kernel_ref AS ref, 2 * count(DISTINCT parse_error) AS n, max(parse_error) AS last_error FROM kernel_metadata WHERE parse_error IS NOT NULL GROUP BY 1",
+        "q_vector_files": f"WITH {VECTORS}, {LABELS}, {words_of('labels')} SELECT term, CASE WHEN vec IS NULL THEN 300 ELSE 64 END::BIGINT AS width, round(coalesce(list_sum(vec::DOUBLE[]), 0), 6) AS total FROM labels LEFT JOIN term_v USING (term)",
+        "q_domain_rank": f"""WITH {TOKENS}, {VECTORS}, {LABELS}, bow AS ({ranked('counts', 'notebook_id, part', 'n')}), terms AS (SELECT term FROM bow UNION ALL SELECT term FROM labels), {words_of('terms')},
+cosines AS (SELECT t.term, d.term AS domain, greatest(0, array_cosine_similarity(t.vec, d.vec)) AS c FROM term_v t, term_v d WHERE d.term IN (SELECT term FROM labels)),
+sums AS (SELECT notebook_id, part, domain, sum(c) AS score FROM bow JOIN cosines USING (term) GROUP BY ALL)
+SELECT notebook_id, part, domain, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY notebook_id, part ORDER BY round(score, 9) DESC, domain) AS rank FROM sums) WHERE rank <= 10""",
+        "q_inheritance": f"WITH RECURSIVE {PARTS}, {_DEPTH} SELECT notebook_id, coalesce(max(depth), 0)::BIGINT AS inheritance_depth FROM codes LEFT JOIN ways USING (notebook_id) GROUP BY 1",
+        "q_top_effects": f"{_effects()} SELECT class, feature, coefficient, rank FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY abs(coefficient) DESC, feature) AS rank FROM strong) WHERE rank <= 3",
+        "q_busiest_classes": f"{_effects()} SELECT class, count(*) AS n FROM strong GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12",
+        "q_effect_pivot": f"{_effects()} SELECT feature, " + ", ".join(f"coalesce(max(coefficient) FILTER (class = '{c}'), 0.0) AS {c}" for c in SHOWN) + f" FROM strong WHERE class IN ({', '.join(map(lit, SHOWN))}) GROUP BY 1",
+        "q_mean_std_text": f"WITH features AS ({FEATURES}) SELECT domain, printf('%.3f', round(avg(num_lines), 3)) || CASE WHEN stddev_samp(num_lines) IS NULL THEN '' ELSE ' ± ' || printf('%.3f', round(stddev_samp(num_lines), 3)) END AS num_lines FROM features WHERE starts_with(domain, 'e-') OR starts_with(domain, 'music') GROUP BY 1",
+        "q_welch_parts": f"{SCORES}, groups AS (SELECT part, 1 AS k, embedding_type AS g, p_at_k AS value FROM scores UNION ALL SELECT part, 2, term_type, p_at_k FROM scores), {welch('groups', 'part k').replace('SELECT a.part, a.k, ', 'SELECT a.part, ')}",
+        "q_welch_domains": f"WITH features AS ({FEATURES}), groups AS (SELECT domain AS g, num_lines::DOUBLE AS value FROM features), {welch('groups')}",
         "q_bow_top30": f"WITH {TOKENS} {ranked('counts', 'notebook_id, part', 'n')}",
         "q_bow_combined": f"WITH {TOKENS} {ranked('whole', 'notebook_id', 'n')}",
         "q_doc_freq": f"WITH {TOKENS} SELECT * FROM df",
@@ -198,7 +254,7 @@ FROM scores GROUP BY GROUPING SETS ((embedding_type), (term_type), (part), (embe
         "q_corr_matrix": f"WITH features AS ({FEATURES}), c AS (SELECT {', '.join(f'corr({a}, {b}) AS c{k}' for k, (a, b) in enumerate(pairs))} FROM features) " + " UNION ALL ".join(f"SELECT '{a}' AS first, '{b}' AS second, round(CASE WHEN isnan(c{k}) THEN NULL ELSE c{k} END, 6) AS corr FROM c" for k, (a, b) in enumerate(pairs)),
         "q_welch_t": f"WITH {WELCH}",
         "q_mean_std": f"WITH features AS ({FEATURES}), {LONG} SELECT domain, metric, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM long GROUP BY 1, 2",
-        "q_row_mean": f"WITH {REPORT} SELECT split_part(kind, '-', 1) AS embedding, split_part(kind, '-', 2) AS term_type, round((" + " + ".join(REPORTED_PARTS) + ")::DOUBLE / 4, 9) AS mean FROM reported",
+        "q_row_mean": f"{SCORES}, {PART_MEANS} SELECT embedding_type, term_type, round(list_avg(list_filter([" + ", ".join(REPORTED_PARTS) + "], lambda x: x IS NOT NULL)), 9) AS mean FROM means",
         "q_boxplot": f"""WITH features AS ({FEATURES}), {LONG}, q AS (SELECT domain, metric, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM long WHERE domain IS NOT NULL GROUP BY 1, 2)
 SELECT q.*, min(value) AS low, max(value) AS high FROM q JOIN long USING (domain, metric) WHERE value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY ALL""",
         "q_iqr_filter": _iqr(),
@@ -207,15 +263,13 @@ SELECT q.*, min(value) AS low, max(value) AS high FROM q JOIN long USING (domain
         "q_confusion_report": _report(),
         "q_token_window": "SELECT event_id, round(sum(value) OVER (ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW), 6) AS trailing FROM events",
         "q_token_estimate": "SELECT doc_id, round(length(coalesce(text, '')) / 4.7, 6) AS tokens FROM documents",
-        "q_prompt": f"WITH {PARTS}, p AS (SELECT notebook_id, {prompt} AS x FROM nb) SELECT notebook_id, length(x) AS n_chars, md5(x) AS digest FROM p",
+        "q_prompt": f"""WITH {PARTS}, {PREDICTIONS}, best AS (SELECT notebook AS name, coalesce(top_domains[1], 'Unknown') AS domain FROM predictions WHERE part = 'all combined' AND term_type = 'tfidf' AND embedding_type = 'bert'),
+p AS (SELECT notebook_id, {prompt} AS x FROM nb LEFT JOIN best ON name = {notebook("notebook")}) SELECT notebook_id, length(x) AS n_chars, md5(x) AS digest FROM p""",
         "q_chunks": "SELECT kernel_ref, (row_number() OVER (PARTITION BY split_part(kernel_ref, '/', 1) ORDER BY kernel_ref) - 1) // 20 AS page FROM (SELECT DISTINCT kernel_ref FROM kernels)",
-        "q_categories": f"""WITH {answers} SELECT id::BIGINT AS id,
-CASE WHEN answer IS NULL THEN 'Unknown' WHEN {has("highly relevant", "very relevant")} THEN 'Highly Relevant' WHEN {has("relevant")} AND NOT {has("partially", "somewhat")} THEN 'Relevant' WHEN {has("partially", "somewhat")} THEN 'Partially Relevant' ELSE 'Unclear/Not Relevant' END AS relevance,
-CASE WHEN answer IS NULL THEN 'Unknown' WHEN {has("very specific", "appropriately specific")} THEN 'Appropriately Specific' WHEN {has("general", "broad")} THEN 'Too General' WHEN {has("too specific", "overly specific")} THEN 'Too Specific' ELSE 'Unclear' END AS specificity FROM answers""",
-        "q_printed_lists": f"""WITH {printed}, m AS (SELECT id, regexp_extract_all(coalesce(printed, ''), '"([^"]*)"|''([^'']*)''') AS ms FROM printed)
-SELECT id::BIGINT AS id, array_to_string(list_transform(ms, lambda x: x[2:-2]), '|') AS items, coalesce(ms[1][2:-2], 'Unknown') AS first FROM m""",
+        "q_categories": f"""SELECT CASE WHEN text IS NULL THEN 'Unknown' WHEN {has("highly relevant", "very relevant")} THEN 'Highly Relevant' WHEN {has("relevant")} AND NOT {has("partially", "somewhat")} THEN 'Relevant' WHEN {has("partially", "somewhat")} THEN 'Partially Relevant' ELSE 'Unclear/Not Relevant' END AS relevance,
+CASE WHEN text IS NULL THEN 'Unknown' WHEN {has("very specific", "appropriately specific")} THEN 'Appropriately Specific' WHEN {has("general", "broad")} THEN 'Too General' WHEN {has("too specific", "overly specific")} THEN 'Too Specific' ELSE 'Unclear' END AS specificity, count(*) AS n FROM documents GROUP BY 1, 2""",
+        "q_printed_lists": "SELECT coalesce(array_to_string(top_domains, '|'), '') AS items, coalesce(top_domains[1], 'Unknown') AS first FROM (SELECT DISTINCT top_domains FROM domain_classification_results)",
         "q_split_ref": "SELECT DISTINCT kernel_ref, CASE WHEN len(string_split(kernel_ref, '/')) = 2 THEN split_part(kernel_ref, '/', 1) END AS account, CASE WHEN len(string_split(kernel_ref, '/')) = 2 THEN split_part(kernel_ref, '/', 2) END AS slug FROM kernels",
-        "q_sample_size": "SELECT p::BIGINT AS population, ceil(e / (1 + (e - 1) / p))::BIGINT AS sample FROM (SELECT unnest([100, 1000, 37764, 1000000]) AS p, 2.576::DOUBLE * 2.576 * 0.25 / (0.02::DOUBLE * 0.02) AS e)",
-        "q_feature_pairs": " UNION ALL ".join(f"SELECT '{a}' AS first, '{b}' AS second" for a, b in pairs),
-        "q_paired_t": f"WITH {REPORT}, s AS (SELECT " + ", ".join(f"avg({a}::DOUBLE - {b}::DOUBLE) AS m{k}, stddev_samp({a}::DOUBLE - {b}::DOUBLE) AS s{k}" for k, (a, b) in enumerate(tests)) + ", count(*) AS n FROM reported) " + " UNION ALL ".join(f"SELECT '{a}' AS first, '{b}' AS second, n, round(m{k}, 4) AS mean_diff, round(m{k} / (s{k} / sqrt(n)), 4) AS t, n - 1 AS df FROM s" for k, (a, b) in enumerate(tests)),
+        "q_sample_size": "SELECT account, population, ceil(e / (1 + (e - 1) / population))::BIGINT AS sample FROM (SELECT split_part(kernel_ref, '/', 1) AS account, count(DISTINCT kernel_ref) AS population, 2.576::DOUBLE * 2.576 * 0.25 / (0.02::DOUBLE * 0.02) AS e FROM kernels GROUP BY 1)",
+        "q_paired_t": f"{SCORES}, {PART_MEANS}, s AS (SELECT " + ", ".join(f"avg({a} - {b}) AS m{k}, stddev_samp({a} - {b}) AS s{k}, count({a} - {b}) AS n{k}" for k, (a, b) in enumerate(tests)) + " FROM means) " + " UNION ALL ".join(f"SELECT '{a}' AS first, '{b}' AS second, n{k} AS n, round(m{k}, 6) AS mean_diff, round(m{k} / nullif(s{k} / sqrt(n{k}), 0), 4) AS t, n{k} - 1 AS df FROM s" for k, (a, b) in enumerate(tests)),
     }

@@ -29,6 +29,11 @@ def write_predictions(df: DataFrame, path: str) -> None:
     write_csv(df.withColumn("top_domains", print_list(F.col("top_domains"))), path)
 
 
+def write_unique(values: DataFrame, column: str, path: str) -> None:
+    """The distinct values of a column as lines of text, in order."""
+    values.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct().orderBy("value").write.mode("overwrite").text(path)
+
+
 def append_errors(errors: DataFrame, path: str) -> None:
     """Append (ref, error) to a log without header."""
     errors.select("ref", "error").write.mode("append").csv(path, header=False, escape='"')

@@ -7,10 +7,11 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from notemill.session import build_session
 
-    session = build_session("tests", 4, spark__sql__shuffle__partitions="4", spark__driver__memory="4g")
+    shared = f"file://{tmp_path_factory.mktemp('shared')}"
+    session = build_session("tests", 4, spark__sql__shuffle__partitions="4", spark__driver__memory="4g", spark__checkpoint__dir=shared)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -13,7 +13,7 @@ def test_every_query_has_sql_or_a_reason():
     assert set(entry.oracle_sql()) <= names
     core = {n for n in names if n.startswith("q_")}
     without = core - set(entry.oracle_sql())
-    assert without == {"q_lda_terms", "q_lda_combined", "q_tensor_ops_ast", "q_inheritance", "q_pca", "q_uncorrelated", "q_welch_p", "q_logreg", "q_permutation"}
+    assert without == {"q_lda_terms", "q_lda_combined", "q_tensor_ops_ast", "q_pca", "q_uncorrelated", "q_feature_selection", "q_welch_p", "q_logreg", "q_permutation"}
 
 
 def test_modules_import():

@@ -86,7 +86,7 @@ def test_tensor_ops_by_tree_and_by_pattern():
     assert C.ops_of(None) == ([0] * 17, 0)
 
 
-@pytest.mark.parametrize(("code", "depth"), [("class A:\n pass", 0), ("class A():", 2), ("class A(B):\nclass B(C):", 3), ("class A(B):\nclass B(A):", 2), ("class A(metaclass=M):", 2), (None, 0)])
+@pytest.mark.parametrize(("code", "depth"), [("class A:\n pass", 0), ("class A():", 2), ("class A(B):\nclass B(C):", 3), ("class A(B):\nclass B(A):", 2), ("class A(metaclass=M):", 2), (None, 0), ("class A(B, C):\nclass B(D):\nclass C(D):\nclass D(E):", 4), ("class A(B):\nclass B(C):\nclass C(B, X):", 4), ("class A(B):\nclass A(X):", 2), ("\n".join(f"class K{i}(K{i + 1}, L{i + 1}):\nclass L{i}(K{i + 1}, L{i + 1}):" for i in range(40)), 41)])
 def test_inheritance(code, depth):
     assert C.depth_of(code) == depth
 

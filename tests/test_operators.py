@@ -219,3 +219,84 @@ def test_judge_uses_the_scorer_and_survives_failures(spark):
     rows = spark.createDataFrame([("music", "x = 1", None), ("bad", None, "text")], "domain string, code string, narrative string")
     got = {r["domain"]: r["answer"] for r in judge(rows, scorer, tasks=2).collect()}
     assert got == {"music": "highly relevant", "bad": None}
+
+
+def test_heavy_keys_are_found_while_a_table_is_written(spark):
+    from notemill.operators.skew import bounded, join_heavy
+    from notemill.session import materialize
+
+    df = spark.createDataFrame([("hub", i) for i in range(900)] + [(f"k{i}", i) for i in range(3000)] + [(None, 1)], "k string, v long")
+    table = materialize(df, ("k",), hot=16, n=F.count("k"))
+    assert table.heavy == {"k": ["hub"]} and table.counts == {"n": 3900}
+    stats = table.where("k is not null").groupBy("k").agg(F.count("*").alias("n"))
+    joined = join_heavy(table, stats, ["k"], "k", table.heavy["k"])
+    assert joined.count() == 3900 and joined.where("k = 'hub'").first()["n"] == 900
+    assert join_heavy(table.limit(0), stats, ["k"], "k", []).count() == 0
+    with pytest.raises(ValueError, match="keys"):
+        bounded(stats, 10, "keys")
+
+
+def test_encoded_terms(spark):
+    def encoder(texts):
+        if "bad" in texts:
+            raise ValueError("no")
+        return np.array([[len(t), 1.0, float("nan")] for t in texts])
+
+    df = spark.createDataFrame([("one",), ("one",), ("bad",), ("three",), (None,)], "term string").repartition(1)
+    got = {r["term"]: r["vec"] for r in R.encode_terms(df, encoder, 3).collect()}
+    assert got == {"one": [3.0, 1.0, 0.0], "bad": [0.0, 0.0, 0.0], "three": [5.0, 1.0, 0.0]}
+    assert R.encode_terms(df.limit(0), encoder, 3).count() == 0
+
+
+def test_domains_of_terms(spark):
+    words = spark.createDataFrame([("deep", [1.0, 0.0]), ("learning", [0.0, 1.0]), ("law", [-1.0, 0.0]), ("nil", [0.0, 0.0])], "word string, vec array<double>")
+    terms = spark.createDataFrame([(1, "deep"), (1, "deep"), (1, "unknown"), (2, "law"), (2, "nil"), (3, "unknown"), (None, "deep")], "id long, term string")
+    labels = spark.createDataFrame([("Deep learning",), ("law",), ("nowhere",), ("nil",)], "domain string")
+    got = {(r["id"], r["domain"]): (round(r["score"], 6), r["rank"]) for r in R.domains_of_terms(terms, labels, words, ["id"]).collect()}
+    assert got[1, "Deep learning"] == (1.414214, 1) and got[1, "law"] == (0.0, 2) and got[2, "law"] == (1.0, 1) and got[None, "Deep learning"] == (0.707107, 1)
+    assert {d for _, d in got} == {"Deep learning", "law"} and 3 not in {i for i, _ in got}
+    assert R.domains_of_terms(terms, labels.limit(0), words, ["id"]).count() == 0
+    with pytest.raises(ValueError, match="domains"):
+        R.rank_domains(terms.select("id", F.array(F.lit(1.0), F.lit(0.0)).alias("vec")), words.toDF("domain", "vec"), ["id"], max_domains=2)
+
+
+def test_tables_of_coefficients(spark):
+    from notemill.operators import importance as I
+
+    rows = [("a", "x", 0.5, True), ("a", "y", -0.9, True), ("a", "z", 0.5, True), ("a", "w", 9.0, False), ("a", "intercept", 99.0, True), ("b", "x", 0.1, True)]
+    stats = spark.createDataFrame(rows, "class string, feature string, coefficient double, is_significant boolean")
+    assert [(r["class"], r["feature"], r["rank"]) for r in I.strongest(stats, 2).orderBy("class", "rank").collect()] == [("a", "y", 1), ("a", "x", 2), ("b", "x", 1)]
+    assert [tuple(r) for r in I.busiest(stats, 1).collect()] == [("a", 3)]
+    assert [tuple(r) for r in I.pivot_first(stats, ["a", "b"]).collect()] == [("x", 0.5, 0.1), ("y", -0.9, None), ("z", 0.5, None)]
+    assert [tuple(r) for r in I.pivot_first(stats, ["b"], ["x", "q"]).collect()] == [("x", 0.1)] and I.pivot_first(stats.limit(0), ["a"]).count() == 0
+    shown = spark.range(1).select(I.mean_and_deviation(F.lit(1.23456), F.lit(0.5), 3).alias("m"), I.mean_and_deviation(F.lit(2.0), F.lit(None).cast("double"), 1).alias("s")).first()
+    assert tuple(shown) == ("1.235 ± 0.500", "2.0")
+
+
+def test_selection_drops_pairs_then_inflated_columns(spark):
+    rng = np.random.default_rng(1)
+    a, b, c = rng.normal(size=(3, 400))
+    rows = np.column_stack([a, a + 0.01 * rng.normal(size=400), b, c, b + c + 0.1 * rng.normal(size=400), np.ones(400)])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in rows], "num_lines double, op_add double, op_dot double, op_conv double, op_pool double, op_split double")
+    states = {f: s for f, s, _ in M.selection(df, df.columns)}
+    assert states == {"num_lines": "correlated", "op_add": "kept", "op_dot": "inflated", "op_conv": "inflated", "op_pool": "inflated", "op_split": "kept"}
+    factors = [v for _, _, v in M.selection(df, df.columns) if v is not None]
+    assert factors == sorted(factors, reverse=True) and M.selected(df, df.columns) == ["op_add", "op_split"]
+
+
+def test_special_tags_hold_for_all(spark):
+    predictions = spark.createDataFrame([("n1", "code", "bow", "bert", ["a", "b", "c"]), ("n2", "code", "bow", "bert", ["x"])], "notebook string, part string, term_type string, embedding_type string, top_domains array<string>")
+    tags = spark.createDataFrame([("n1", ["q", "r", "s"]), ("special_tags", ["a", "b", "z"])], "notebook string, tags array<string>")
+    got = {r["notebook"]: r["p_at_k"] for r in E.evaluated(predictions, tags).collect()}
+    assert got == {"n1": pytest.approx(2 / 3), "n2": 0.0}
+    assert {r["notebook"]: r["p_at_k"] for r in E.evaluated(predictions, tags.where("notebook = 'n1'")).collect()} == {"n1": 0.0, "n2": None}
+    meta = spark.createDataFrame([("a/n", ["X", "y"], 1), ("b/n", ["y", "z"], 1)], "kernel_ref string, keywords array<string>, scraped_at long")
+    assert [tuple(r) for r in E.tags_of(meta).collect()] == [("n", ["x", "y", "z"])]
+
+
+def test_welch_within_keys(spark):
+    df = spark.createDataFrame([(p, g, float(v)) for p in "pq" for g in "ab" for v in (1, 2, 4 + (g == "b"))] + [("p", None, 1.0), ("p", "a", None)], "part string, g string, v double")
+    got = X.welch_tests(df, "g", "v", ["part"]).collect()
+    assert sorted((r["part"], r["first"], r["second"]) for r in got) == [("p", "a", "b"), ("q", "a", "b")]
+    with pytest.raises(ValueError, match="groups"):
+        X.welch_tests(df, "g", "v", ["part"], max_groups=3)

@@ -131,3 +131,64 @@ def test_windowed_tokens_stream(spark, tmp_path):
 def test_tags(spark):
     df = spark.createDataFrame([("u/n", ["A b", "a_B", None, " "], 1)], "kernel_ref string, keywords array<string>, scraped_at long")
     assert tuple(tags_of(df).first()) == ("n", ["a b"])
+
+
+def test_downloads_begin_again_at_the_failed_id(spark, tmp_path):
+    asked, broken = tmp_path / "asked", tmp_path / "broken"
+    asked.mkdir()
+    broken.write_text("")
+    folder, switch = str(asked), str(broken)
+    kernels = spark.createDataFrame([(i, f"u/k{i}") for i in range(1, 30)] + [(None, "u/none"), (40, None)], "id long, ref string")
+
+    def fetch(ref):
+        import os
+        import uuid
+
+        with open(f"{folder}/{ref.split('/')[1]}-{uuid.uuid4().hex}", "w"):
+            pass
+        if ref == "u/k17" and os.path.exists(switch):
+            raise ValueError("gone")
+
+    def seen():
+        return sorted(int(p.name.split("-")[0][1:]) for p in asked.iterdir())
+
+    progress = str(tmp_path / "progress")
+    assert download.read_progress(spark, progress) is None
+    assert download.resume(kernels, progress, fetch, at_once=8) is False
+    assert download.read_progress(spark, progress) == 17 and max(seen()) <= 24
+    for p in asked.iterdir():
+        p.unlink()
+    broken.unlink()
+    assert download.resume(kernels, progress, fetch, at_once=8) is True
+    assert seen() == list(range(17, 30)) and download.read_progress(spark, progress) == 30
+    assert download.resume(kernels.limit(0), progress, fetch) is True
+
+
+def test_single_files_and_unique_values(spark, tmp_path):
+    from notemill.sources.files import write_files
+    from notemill.sources.tables import write_unique
+
+    df = spark.createDataFrame([("a/b.txt", "é\n"), ("c.txt", ""), (None, "x"), ("d", None)], "path string, content string")
+    assert write_files(df, f"file://{tmp_path}/out") == 2 and write_files(df.limit(0), f"file://{tmp_path}/out") == 0
+    assert (tmp_path / "out/a/b.txt").read_text() == "é\n" and (tmp_path / "out/c.txt").read_text() == ""
+    write_unique(spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "tag string"), "tag", str(tmp_path / "tags"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "tags")).collect()] == ["a", "b"]
+
+
+def test_intermediate_tables_are_gone_after_the_session(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    code = f"""
+import sys; sys.path.insert(0, {str(root)!r})
+from notemill.session import build_session, materialize
+spark = build_session("t", 2, spark__checkpoint__dir="file://{tmp_path}")
+assert materialize(spark.range(5)).count() == 5
+import os
+assert len(list(os.walk("{tmp_path}"))) > 2
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, stderr=subprocess.DEVNULL)
+    assert not [p for p in tmp_path.rglob("*.parquet")]
