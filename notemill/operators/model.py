@@ -107,9 +107,10 @@ def fit_multinomial(table: DataFrame, columns: list[str], label: str, c: float =
     """Multinomial logistic regression with L2 penalty and balanced class weights; (model, classes)."""
     classes = sorted(r[0] for r in table.select(label).where(F.col(label).isNotNull()).distinct().limit(10_000).collect())
     index = F.element_at(F.create_map(*[x for k, v in enumerate(classes) for x in (F.lit(v), F.lit(float(k)))]), F.col(label))
-    rows = balanced_weights(table, label).withColumn("_y", index)
+    # written once, as every iteration is a pass over it
+    rows = materialize(balanced_weights(table.select(label, *columns), label).select(index.alias("_y"), "weight", *columns), n=F.count(F.lit(1)))
     data = VectorAssembler(inputCols=columns, outputCol="_x").transform(rows)
-    model = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="weight", family="multinomial", regParam=1.0 / (c * max(1, table.count())), elasticNetParam=0.0, standardization=False, maxIter=iterations).fit(data)
+    model = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="weight", family="multinomial", regParam=1.0 / (c * max(1, rows.counts["n"])), elasticNetParam=0.0, standardization=False, maxIter=iterations).fit(data)
     return model, classes
 
 

@@ -103,7 +103,10 @@ def rank_domains(terms: DataFrame, domains: DataFrame, keys: list[str], limit: i
 
     known = terms.where("vec is not null").select(*keys, F.col("vec").cast("array<double>").alias("vec"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.schema if f.name != "vec")
-    partial = known.mapInArrow(run, schema + ", _s array<double>").select(*keys, F.posexplode("_s").alias("_k", "_x"))
+    # rows of a group stand together, so that a batch adds up whole groups; a group that is larger than
+    # a partition should be is shared out by adaptive execution
+    together = known.hint("rebalance", *keys).sortWithinPartitions(*keys)
+    partial = together.mapInArrow(run, schema + ", _s array<double>").select(*keys, F.posexplode("_s").alias("_k", "_x"))
     scores = partial.groupBy(*keys, "_k").agg(F.sum("_x").alias("score"))
     order = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 9)), "_k")
     best = scores.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from notemill.operators.spread import spread
+
 
 def write_files(files: DataFrame, root: str) -> int:
     """Write each (path, content) as the file ``root/path``; returns how many there were.
@@ -29,5 +31,5 @@ def write_files(files: DataFrame, root: str) -> int:
                     out.write(content.encode())
             yield pd.DataFrame({"n": [len(batch)]})
 
-    own = files.select("path", "content").where("path is not null and content is not null")
+    own = spread(files.select("path", "content").where("path is not null and content is not null"))
     return sum(r["n"] for r in own.mapInPandas(run, "n long").groupBy().sum("n").toDF("n").collect() if r["n"])
