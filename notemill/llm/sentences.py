@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -207,6 +208,7 @@ LAST = [
 ]
 THAI = re.compile(r"(?:นะครับ|นะคะ|ครับผม|ครับ|ค่ะ|คะ|จ้ะ|จ๊ะ)(?=\s)")
 CANDIDATE = re.compile(rf"[{STOP}]+")
+MAY_EMOTE = re.compile(r"\s[:;=<^\U0001F000-\U0001FAFF☀-➿]")
 EMOTE_ONLY = re.compile(rf"(?<=\s){EMOTE}(?=\s)")
 AFTER_STOP = re.compile(rf"{CLOSERS}(?:\s*{EMOTE})*")
 FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
@@ -430,8 +432,12 @@ def is_lower(part: str) -> bool:
     """Hardly any capital: at most one in 250 small letters, and at least one of these."""
     if len(part) < 250 or part == part.lower():
         return part == part.lower() and part != part.upper()
-    low = sum(map(str.islower, part))
-    return low > 0 and sum(map(str.isupper, part)) <= 0.004 * low
+    if part.isascii():
+        signs = np.frombuffer(part.encode(), np.uint8)
+        low, cased = int(((signs >= 97) & (signs <= 122)).sum()), int(((signs >= 65) & (signs <= 90)).sum())
+    else:
+        low, cased = sum(map(str.islower, part)), sum(map(str.isupper, part))
+    return low > 0 and cased <= 0.004 * low
 
 
 def _cuts(text: str, start: int, end: int, lang: str) -> Iterator[int]:
@@ -439,7 +445,7 @@ def _cuts(text: str, start: int, end: int, lang: str) -> Iterator[int]:
     lower = is_lower(body)
     cascades = _CASCADES[lang, lower]
     spots = [(m.start(), m.end(), 0) for m in CANDIDATE.finditer(body)]
-    extra = [(m.start(), m.end(), 1) for m in EMOTE_ONLY.finditer(body)]
+    extra = [(m.start(), m.end(), 1) for m in EMOTE_ONLY.finditer(body)] if MAY_EMOTE.search(body) else []
     if lang == "th":
         extra += [(m.start(), m.end(), 2) for m in THAI.finditer(body)]
     if extra:
