@@ -11,6 +11,7 @@ applies to, so that only few of them need be tried at any one stop.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -58,9 +59,10 @@ SPEECH = "wrote|said|asked|says|writes|asks|replied|answered|added|noted|shouted
 EXTENSION = "csv|txt|json|gz|tar|zip|png|jpe?g|gif|svg|pdf|py|ipynb|parquet|md|html?|xml|ya?ml|toml|ini|log|js|ts|java|cpp|h|r|sql|sh|exe|docx?|xlsx?|pptx?|h5|pkl|npy|npz|feather|com|org|net|edu|io|example|nan|inf|shape|columns|index|values|dtype|mean|sum|std|min|max|head|tail|fit|predict|loc|iloc"
 
 
-#: What stands before a stop: a single letter, a word that ends an abbreviation, another word, a digit, anything else;
+#: What stands before a stop: a single letter, a word that ends an abbreviation, another word, a digit,
+#: a sign other than a letter that may end an abbreviation, anything else;
 #: and after it: white space, a comma or colon, a closing mark, a letter or digit, anything else.
-PREVIOUS, NEXT = "iwldc", "spqao"
+PREVIOUS, NEXT = "iwldcx", "spqao"
 #: Stops: one dot, none with a dot in it, others.
 STOPS = ".!m"
 _NEXT_CLASS = {**dict.fromkeys(",;:", "p"), **dict.fromkeys("\"'”’»›)]}」』）】》〉］｣", "q")}
@@ -173,8 +175,8 @@ LOWER_STYLE = [
 CASED_STYLE = [
     rule(False, r"\.\.+|…+", rf"{CLOSERS}\s+{START}[a-zà-ÿа-яё]", following="sqo"),
     rule(False, rf"[{STOP}]+", rf"[  ]?[{CLOSE}]+[,;:]?\s*(?:[–—-]\s*)?[a-zà-ÿа-яё]", following=QUOTED),
-    rule(True, r"(?:[^\W\d_]{3,}|\d|[)\]%])[.]", rf"{GAP}(?:{OPENERS})\b", 0, "wldc", SPACED),
-    rule(True, r"(?:[^\W\d_]{5,}|(?<![.,\d])\d+)[.]", rf"{GAP}[a-zà-ÿа-яё]", 0, "wldc", SPACED),
+    rule(True, r"(?:[^\W\d_]{3,}|\d|[)\]%])[.]", rf"{GAP}(?:{OPENERS})\b", 0, "wldcx", SPACED),
+    rule(True, r"(?:[^\W\d_]{5,}|(?<![.,\d])\d+)[.]", rf"{GAP}[a-zà-ÿа-яё]", 0, "wldcx", SPACED),
     rule(False, r"\.", rf"{CLOSERS}\s+[a-zà-ÿа-яё]", following="sqo"),
     rule(True, r"[!?]+", rf"\s+{START}[a-zà-ÿа-яё]", following="s"),
 ]
@@ -182,10 +184,10 @@ CASED_STYLE = [
 COMMON = [
     # parts of numbers, names, paths, addresses and marks such as ``(really!)``
     rule(False, r".", r"[,;:]", re.S, PREVIOUS, "p"),
-    rule(True, r"(?:[a-zà-ÿа-яё]{2,}|\d|[)\"”»])[.!?…]+", rf"[(\"“„«¿¡]*[A-ZÀ-ÖØ-ÞА-ЯЁ](?:[a-zà-ÿа-яё]+|)(?:[\s',]|\.\.\.)", 0, "wldc", GLUED),
-    rule(True, r"(?:[a-zà-ÿа-яё]{2,}|\d{2,}|[)\"”»])[.!?]+", rf"(?!(?:{EXTENSION})\b)(?:{OPENERS})(?:[\s',]|\.\.\.)", 0, "wldc", "a"),
+    rule(True, r"(?:[a-zà-ÿа-яё]{2,}|\d|[)\"”»])[.!?…]+", rf"[(\"“„«¿¡]*[A-ZÀ-ÖØ-ÞА-ЯЁ](?:[a-zà-ÿа-яё]+|)(?:[\s',]|\.\.\.)", 0, "wldcx", GLUED),
+    rule(True, r"(?:[a-zà-ÿа-яё]{2,}|\d{2,}|[)\"”»])[.!?]+", rf"(?!(?:{EXTENSION})\b)(?:{OPENERS})(?:[\s',]|\.\.\.)", 0, "wldcx", "a"),
     rule(True, r"[a-z]{2,}[.!?]+", rf"(?!(?:{EXTENSION})\b){NUMBERED_NOUN}", 0, "wl", "a"),
-    rule(True, r"[a-zà-ÿа-яё]{2,}[!?]+", r"[^\W\d_]", 0, "wlc", "a"),
+    rule(True, r"[a-zà-ÿа-яё]{2,}[!?]+", r"[^\W\d_]", 0, "wlcx", "a"),
     rule(False, r"\.+", r"[\w/\\-]", 0, PREVIOUS, "ao"),
     rule(False, r"[!?]+", r"[\w=]", 0, PREVIOUS, "ao"),
     # initials and titles
@@ -299,7 +301,8 @@ def neighbours(body: str, k: int, s: int, e: int) -> str:
     if k < s:
         before = "i" if s - k == 1 else "w" if body[k:s].lower() in _ABBREVIATIONS else "l"
     else:
-        before = "d" if s and body[s - 1].isdigit() else "c"
+        sign = body[s - 1 : s]
+        before = "d" if sign.isdigit() else "x" if sign.isascii() or sign != "°" and unicodedata.category(sign)[0] != "M" else "c"
     following = body[e : e + 1]
     stop = "." if e - s == 1 and body[s] == "." else "m" if "." in body[s:e] or "…" in body[s:e] else "!"
     return before + ("s" if following.isspace() or not following else _NEXT_CLASS.get(following) or ("a" if following.isalnum() or following == "_" else "o")) + stop
