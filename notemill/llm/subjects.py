@@ -36,6 +36,7 @@ from notemill.session import materialize, release
 BUCKETS, WIDTH, SCALE = 1 << 15, 16, 10.0
 MAX_NOTEBOOKS = 4000  # bound of each sample: labelled notebooks, and hinted ones
 CANDIDATES = 12_000  # unlabelled notebooks among which hinted ones are looked for
+MAX_SPELLINGS = 500_000  # names of sampled notebooks up to which they are broadcast, else shuffled
 MAX_DOMAINS, MAX_SUBJECTS = 10_000, 10_000  # more are refused
 RANGES = 8  # parts of the table in which gradients are added up
 ROUNDS = 30
@@ -259,11 +260,12 @@ def subject_hints(nb_contents: DataFrame, predictions: DataFrame, labels: DataFr
     single = labels.where(F.col("subject").isin(subjects)).groupBy("notebook_id").agg(F.collect_set("subject").alias("s"))
     fitted = _sample(single.where("size(s) = 1"), 23).join(ids, "notebook_id").select("slug", F.col("s")[0].alias("subject"))
     asked = _sample(ids.join(single, "notebook_id", "left_anti"), 24, CANDIDATES).select("slug").distinct()
-    # spellings are few compared with predictions, and only those of chosen notebooks are read on;
-    # the table of these is written, so its size is known and decides how it is joined
+    # spellings are few compared with predictions, and only those of chosen notebooks are read on
     chosen = fitted.unionByName(asked.withColumn("subject", F.lit(None).cast("string")))
     spellings = predictions.select("notebook").where("notebook is not null").distinct().withColumn("slug", notebook_key(F.col("notebook")))
-    wanted = materialize(spellings.join(F.broadcast(chosen), "slug"))
+    wanted = materialize(spellings.join(F.broadcast(chosen), "slug"), n=F.count(F.lit(1)))
+    if wanted.counts["n"] <= MAX_SPELLINGS:
+        wanted = F.broadcast(wanted)
     listed = predictions.select("notebook", "top_domains").join(wanted, "notebook").select("slug", "subject", F.explode("top_domains").alias("domain"))
     named = materialize(listed.select("slug", "subject", F.lower(F.trim("domain")).alias("domain")).where("domain is not null").groupBy("slug", "subject", "domain").agg(F.count("*").alias("n")))
     known = named.where("subject is not null").groupBy("subject", "domain").agg(F.sum("n").alias("n"))
