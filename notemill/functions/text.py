@@ -64,6 +64,11 @@ def part_kind(stem: Column) -> Column:
     return F.when(low.contains("code"), "code").when(low.contains("comment"), "comment").when(low.contains("narrative"), "narrative").otherwise("unknown")
 
 
+def part_label(part: Column) -> Column:
+    """The name that predictions have for a part."""
+    return F.when(part == "narrative", "markdown narrative").when(part == "combined", "all combined").otherwise(part)
+
+
 def tokens(text: Column, stopwords: Iterable[str] = ENGLISH, least: int = 4, most: int = 15) -> Column:
     """Lower-case words of letters and underscores, ``least`` to ``most`` long, none led by ``_``, no stop words."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}_]+"), 0)

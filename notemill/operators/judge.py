@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notemill.functions.text import prompt, squeeze, token_estimate
+from notemill.operators.indexing import dense_index
 from notemill.streaming.budget import TokenBudget
 
 
@@ -39,3 +40,19 @@ def judge(rows: DataFrame, scorer: Callable[[str], str | None], tasks: int = 5,
             yield batch[names].assign(answer=answers)
 
     return asked.repartition(tasks).mapInPandas(run, schema).withColumn("answer", squeeze(F.col("answer")))
+
+
+def judge_in_chunks(rows: DataFrame, order: list[str], scorer: Callable[[str], str | None], path: str, size: int = 20, **limits: int) -> DataFrame:
+    """``judge`` whose answers are kept in ``path`` by chunks of ``size`` rows along ``order``; the answers so far.
+
+    Chunks that are there already are not asked for again, so a run that broke off goes on where it
+    was.  A chunk is written as a whole.  ``rows`` and ``order`` must be the same in every run.
+    """
+    spark = rows.sparkSession
+    numbered = dense_index(rows, order, "_at").withColumn("chunk", F.floor(F.col("_at") / size)).drop("_at")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        numbered = numbered.join(spark.read.parquet(path).select("chunk").distinct(), "chunk", "left_anti")
+    if not numbered.isEmpty():
+        judge(numbered, scorer, **limits).repartition("chunk").write.mode("append").partitionBy("chunk").parquet(path)
+    return spark.read.parquet(path) if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder) else judge(numbered, scorer, **limits)

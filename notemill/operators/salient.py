@@ -25,6 +25,30 @@ def part_tokens(parts: DataFrame, stopwords: Iterable[str] = ENGLISH, lemmas: Da
     return out
 
 
+# Endings of verb forms and what they become, in the order in which they are tried.
+VERB_ENDINGS = [("s", ""), ("ies", "y"), ("es", "e"), ("es", ""), ("ed", "e"), ("ed", ""), ("ing", "e"), ("ing", "")]
+
+
+def lemma_table(terms: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(term, lemma) of the distinct ``terms`` (term) that are forms of other words of ``dictionary`` (word).
+
+    Endings are replaced by rule; of the results that the dictionary has, and the term itself if it
+    is there, the shortest is the lemma, at equal length that of the earlier rule.  Terms that stay as
+    they are, and null, have no row.
+    """
+    distinct = terms.select("term").where("term is not null").distinct()
+    bare = lambda end, new: F.when(F.col("term").endswith(end) & (F.length("term") > len(end)), F.concat(F.expr(f"substring(term, 1, length(term) - {len(end)})"), F.lit(new)))
+    forms = [F.struct(F.lit(k).alias("k"), x.alias("word")) for k, x in enumerate([F.col("term"), *[bare(a, b) for a, b in VERB_ENDINGS]])]
+    known = distinct.select("term", F.explode(F.array(*forms)).alias("f")).select("term", "f.k", "f.word").join(dictionary.select("word").distinct(), "word")
+    best = known.groupBy("term").agg(F.min_by("word", F.struct(F.length("word"), F.col("k"))).alias("lemma"))
+    return best.where("lemma <> term")
+
+
+def retokenised(counts: DataFrame, stopwords: Iterable[str] = ENGLISH, least: int = 2) -> DataFrame:
+    """Counts whose terms pass the second look that TF-IDF takes at them: by then lemmas may be stop words or too short."""
+    return counts.where((F.length("term") >= least) & ~F.col("term").isin(list(stopwords)))
+
+
 def term_counts(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """Occurrences of each term by ``keys``."""
     return tokens.groupBy(*keys, "term").agg(F.count("*").alias("n"))
@@ -70,11 +94,11 @@ def topic_limit(vocabulary_size: Column, documents: Column, combined: bool = Fal
 
 
 def fit_lda(counts: np.ndarray, topics: int, passes: int = 15, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """(document-topic, topic-term) distributions by variational Bayes with learned priors' means."""
+    """(document-topic, topic-term) distributions by variational Bayes; both priors are learned."""
     rng = np.random.default_rng(seed)
     docs, words = counts.shape
     lam = rng.gamma(100.0, 0.01, (topics, words))
-    alpha, eta = np.full(topics, 1.0 / topics), 1.0 / topics
+    alpha, eta = np.full(topics, 1.0 / topics), np.full(words, 1.0 / topics)
     gamma = np.ones((docs, topics))
 
     def expect(x: np.ndarray) -> np.ndarray:
@@ -93,10 +117,39 @@ def fit_lda(counts: np.ndarray, topics: int, passes: int = 15, seed: int = 42) -
                 break
         theta = expect(gamma)
         lam = eta + beta * (theta.T @ (counts / (theta @ beta + 1e-100)))
-        alpha = np.maximum(1e-3, (gamma / gamma.sum(axis=1, keepdims=True)).mean(axis=0))
+        alpha, eta = _newton_prior(alpha, gamma), _newton_prior(eta, lam)
     return gamma / gamma.sum(axis=1, keepdims=True), lam / lam.sum(axis=1, keepdims=True)
 
 
+def _newton_prior(prior: np.ndarray, observed: np.ndarray) -> np.ndarray:
+    """One Newton step of a Dirichlet's parameters towards the rows of Dirichlet parameters ``observed``.
+
+    The Hessian is a diagonal plus a constant, so the step needs no inverse; it is halved until it
+    stays among the positive numbers.
+    """
+    n = len(observed)
+    mean_log = (_digamma(observed) - _digamma(observed.sum(axis=1, keepdims=True))).mean(axis=0)
+    slope = n * (_digamma(prior.sum()) - _digamma(prior) + mean_log)
+    diagonal, constant = -n * _trigamma(prior), n * _trigamma(prior.sum())
+    shift = (slope / diagonal).sum() / (1 / constant + (1 / diagonal).sum())
+    step = (slope - shift) / diagonal
+    for _ in range(20):
+        if np.isfinite(step).all() and (prior - step > 1e-6).all():
+            return prior - step
+        step = step / 2
+    return prior
+
+
+def _trigamma(x: np.ndarray) -> np.ndarray:
+    small, out = np.array(x, dtype=float), np.zeros_like(np.asarray(x, dtype=float))
+    for _ in range(6):
+        low = small < 6
+        out += np.where(low, 1.0 / (small * small), 0.0)
+        small = np.where(low, small + 1, small)
+    inverse = 1.0 / (small * small)
+    return out + 1 / small + inverse / 2 + inverse / small * (1 / 6 - inverse * (1 / 30 - inverse / 42))
+
+
 def _digamma(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x, dtype=float)
     out = np.zeros_like(x)

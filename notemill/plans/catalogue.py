@@ -154,6 +154,25 @@ def q_bow_top30(spark: SparkSession, folder: str) -> DataFrame:
     return S.top_terms(counts(spark, folder), DOC, "n")
 
 
+def q_part_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Part texts, and those of whole notebooks, by the names that predictions have for them."""
+    own = parts(spark, folder)
+    whole = own.select("notebook_id", F.lit("combined").alias("part")).distinct()
+    return own.select("notebook_id", "part").unionByName(whole).groupBy(T.part_label(F.col("part")).alias("label")).agg(F.count("*").alias("n"))
+
+
+def q_lemmas(spark: SparkSession, folder: str) -> DataFrame:
+    """Verb forms among the terms and their lemmas, the terms themselves being the dictionary."""
+    terms = counts(spark, folder).select("term")
+    return S.lemma_table(terms, terms.withColumnRenamed("term", "word"))
+
+
+def q_bow_lemmas(spark: SparkSession, folder: str) -> DataFrame:
+    """Most frequent lemmas of each part."""
+    own = S.part_tokens(parts(spark, folder), lemmas=materialize(q_lemmas(spark, folder)))
+    return S.top_terms(S.retokenised(S.term_counts(own, DOC)), DOC, "n")
+
+
 def q_bow_combined(spark: SparkSession, folder: str) -> DataFrame:
     return S.top_terms(S.term_counts(S.part_tokens(parts(spark, folder)), ["notebook_id"]), ["notebook_id"], "n")
 
@@ -169,7 +188,7 @@ def q_num_topics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    return S.tfidf_vocabulary(counts(spark, folder), parts(spark, folder).agg(F.count("*").alias("n_docs")))
+    return S.tfidf_vocabulary(S.retokenised(counts(spark, folder)), parts(spark, folder).agg(F.count("*").alias("n_docs")))
 
 
 def q_tfidf_top30(spark: SparkSession, folder: str) -> DataFrame:

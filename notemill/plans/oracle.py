@@ -73,6 +73,13 @@ vocabulary AS (
 )"""
 
 
+def _lemmas() -> str:
+    from notemill.operators.salient import VERB_ENDINGS
+
+    forms = " UNION ALL ".join(["SELECT term, 0 AS k, term AS word FROM vocab", *[f"SELECT term, {k + 1}, left(term, length(term) - {len(a)}) || '{b}' FROM vocab WHERE ends_with(term, '{a}') AND length(term) > {len(a)}" for k, (a, b) in enumerate(VERB_ENDINGS)]])
+    return f"vocab AS (SELECT DISTINCT term FROM counts), forms AS ({forms}), lemmas AS (SELECT term, lemma FROM (SELECT term, word AS lemma, row_number() OVER (PARTITION BY term ORDER BY length(word), k) AS r FROM forms WHERE word IN (SELECT term FROM vocab)) WHERE r = 1 AND lemma <> term)"
+
+
 def ranked(table: str, keys: str, score: str, limit: int = 30) -> str:
     return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {score} DESC, term) AS rank FROM {table}) WHERE rank <= {limit}"
 
@@ -219,6 +226,9 @@ SELECT notebook_id, part, domain, round(score, 6) AS score, rank FROM (SELECT *,
         "q_welch_parts": f"{SCORES}, groups AS (SELECT part, 1 AS k, embedding_type AS g, p_at_k AS value FROM scores UNION ALL SELECT part, 2, term_type, p_at_k FROM scores), {welch('groups', 'part k').replace('SELECT a.part, a.k, ', 'SELECT a.part, ')}",
         "q_welch_domains": f"WITH features AS ({FEATURES}), groups AS (SELECT domain AS g, num_lines::DOUBLE AS value FROM features), {welch('groups')}",
         "q_bow_top30": f"WITH {TOKENS} {ranked('counts', 'notebook_id, part', 'n')}",
+        "q_part_labels": f"WITH {PARTS} SELECT CASE part WHEN 'narrative' THEN 'markdown narrative' ELSE part END AS label, count(*) AS n FROM parts GROUP BY 1 UNION ALL SELECT 'all combined', count(DISTINCT notebook_id) FROM parts",
+        "q_lemmas": f"WITH {TOKENS}, {_lemmas()} SELECT term, lemma FROM lemmas",
+        "q_bow_lemmas": f"WITH {TOKENS}, {_lemmas()}, lemmatised AS (SELECT notebook_id, part, coalesce(lemma, term) AS term, sum(n)::BIGINT AS n FROM counts LEFT JOIN lemmas USING (term) WHERE NOT list_contains({STOP}, coalesce(lemma, term)) GROUP BY 1, 2, 3) {ranked('lemmatised', 'notebook_id, part', 'n')}",
         "q_bow_combined": f"WITH {TOKENS} {ranked('whole', 'notebook_id', 'n')}",
         "q_doc_freq": f"WITH {TOKENS} SELECT * FROM df",
         "q_num_topics": f"WITH {TOKENS}, s AS (SELECT notebook_id, count(DISTINCT term) AS vocabulary, count(DISTINCT part) AS n_parts FROM counts GROUP BY 1) SELECT *, least(10, greatest(1, vocabulary // 5, n_parts // 2)) AS topics, least(5, greatest(1, vocabulary // 10)) AS topics_combined FROM s",

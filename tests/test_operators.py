@@ -300,3 +300,44 @@ def test_welch_within_keys(spark):
     assert sorted((r["part"], r["first"], r["second"]) for r in got) == [("p", "a", "b"), ("q", "a", "b")]
     with pytest.raises(ValueError, match="groups"):
         X.welch_tests(df, "g", "v", ["part"], max_groups=3)
+
+
+def test_lemmas(spark):
+    terms = spark.createDataFrame([(t,) for t in ("training", "train", "trained", "makes", "make", "tries", "try", "class", "clas", "bus", None)], "term string")
+    got = {r["term"]: r["lemma"] for r in S.lemma_table(terms, terms.withColumnRenamed("term", "word")).collect()}
+    assert got == {"training": "train", "trained": "train", "makes": "make", "tries": "try", "class": "clas"}
+    assert S.lemma_table(terms.limit(0), terms.withColumnRenamed("term", "word")).count() == 0
+    counts = spark.createDataFrame([("have", 1), ("a", 1), ("model", 2)], "term string, n long")
+    assert [r["term"] for r in S.retokenised(counts, ["have"]).collect()] == ["model"]
+
+
+def test_priors_move_towards_what_is_observed():
+    rng = np.random.default_rng(3)
+    true = np.array([1.5, 2.0, 6.0])
+    prior = np.ones(3)
+    observed = rng.dirichlet(true, 4000) * 1e9
+    for _ in range(40):
+        prior = S._newton_prior(prior, observed)
+    assert np.allclose(prior, true, rtol=0.1)
+    assert np.allclose(S._trigamma(np.array([0.3, 1.0, 8.0])), [12.2454, 1.644934, 0.133137], rtol=1e-4)
+
+
+def test_judging_in_chunks_goes_on(spark, tmp_path):
+    from notemill.operators.judge import judge_in_chunks
+
+    asked, path = tmp_path / "asked", str(tmp_path / "answers")
+    asked.mkdir()
+    folder = str(asked)
+
+    def scorer(text):
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4().hex}", "w"):
+            pass
+        return "relevant"
+
+    rows = spark.createDataFrame([(i, "law", "x = 1", f"note {i}") for i in range(25)], "id long, domain string, code string, narrative string")
+    assert judge_in_chunks(rows.where("id < 20"), ["id"], scorer, path, size=10).count() == 20
+    got = judge_in_chunks(rows, ["id"], scorer, path, size=10).collect()
+    assert len(got) == 25 and {r["answer"] for r in got} == {"relevant"} and sorted({r["chunk"] for r in got}) == [0, 1, 2] and len(list(asked.iterdir())) == 25
+    assert judge_in_chunks(rows.limit(0), ["id"], scorer, str(tmp_path / "none")).count() == 0
