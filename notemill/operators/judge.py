@@ -49,7 +49,7 @@ def judge_in_chunks(rows: DataFrame, order: list[str], scorer: Callable[[str], s
     was.  A chunk is written as a whole.  ``rows`` and ``order`` must be the same in every run.
     """
     spark = rows.sparkSession
-    numbered = dense_index(rows, order, "_at").withColumn("chunk", F.floor(F.col("_at") / size)).drop("_at")
+    numbered = dense_index(rows, order, "_number").withColumn("chunk", F.floor(F.col("_number") / size)).drop("_number")
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
         numbered = numbered.join(spark.read.parquet(path).select("chunk").distinct(), "chunk", "left_anti")
