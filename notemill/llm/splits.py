@@ -62,7 +62,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         own = hooks.select("root", "_to")
         if final is not None:
             after = final.select(F.col("root").alias("_to"), F.col("_to").alias("_end"))
-            own = lookup(own, after, "_to", heavy=hooks.heavy["_to"]).select("root", F.coalesce("_end", "_to").alias("_to")).unionByName(final)
+            # written, as a plan that holds the later rounds several times would grow with every round
+            own = materialize(lookup(own, after, "_to", heavy=hooks.heavy["_to"]).select("root", F.coalesce("_end", "_to").alias("_to")).unionByName(final))
+            release(final)
         final = own
     if final is None:
         return materialize(nodes.select("node", F.col("node").alias("root")))
