@@ -39,8 +39,9 @@ def read_metadata(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.element_at(pieces, -3).alias("account"), F.element_at(pieces, -2).alias("notebook"), F.coalesce(keywords, F.array().cast("array<string>")).alias("keywords"))
 
 
-def read_part_files(spark: SparkSession, root: str) -> DataFrame:
-    """(notebook, stem, text) of all ``.txt`` files below ``root``, hidden ones left out."""
+def read_part_files(spark: SparkSession, root: str, ordered: bool = False) -> DataFrame:
+    """(notebook, stem, text) of all ``.txt`` files below ``root``, hidden ones left out; ``ordered`` by path."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "[!.]*.txt").text(root, wholetext=True).withColumn("path", F.input_file_name())
+    files = files.orderBy("path") if ordered else files
     pieces = F.split("path", "/")
     return files.select(F.element_at(pieces, -2).alias("notebook"), F.regexp_replace(F.element_at(pieces, -1), r"\.txt$", "").alias("stem"), F.col("value").alias("text"))

@@ -192,3 +192,13 @@ spark.stop()
 """
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120, stderr=subprocess.DEVNULL)
     assert not [p for p in tmp_path.rglob("*.parquet")]
+
+
+def test_part_files_in_the_order_of_their_paths(spark, tmp_path):
+    from notemill.sources.notebooks import read_part_files
+
+    for name in ("b/x_code.txt", "a/y_comment.txt", "a/.hidden.txt", "a/b/z_code.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    rows = read_part_files(spark, str(tmp_path), ordered=True).collect()
+    assert [r["text"] for r in rows] == ["a/b/z_code.txt", "a/y_comment.txt", "b/x_code.txt"]
