@@ -66,7 +66,7 @@ def p5_distinctive(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     scores = distinctive.distinctive_terms(distinctive.notebook_fields(table(spark, folder, "nb_contents")))
-    return scores.where("n_here >= 4 and n_records between 2 and 5").select("notebook_id", "field_name", "term")
+    return distinctive.among_scored(scores, "n_here >= 4 and n_records between 2 and 5").select("notebook_id", "field_name", "term")
 
 
 def p6_shares(spark: SparkSession, folder: str) -> DataFrame:

@@ -87,3 +87,32 @@ def test_found_queries_equal_brute_force(spark, data):
     want = {(i, t) for i, own in terms.items() for t, n in own.items() if n >= 4 and 2 <= df[t] <= 5}
     got = {(r["notebook_id"], r["term"]) for r in queries.p5_found(spark, data).where("field_name = 'code'").collect()}
     assert got == want
+
+
+def test_found_query_scores_every_term(spark, data, monkeypatch):
+    from notemill.llm import queries
+
+    scored = spark.sparkContext.accumulator(0)
+    whole = distinctive.distinctive_terms
+
+    def counted(records):
+        @F.udf("double")
+        def note(score):
+            scored.add(1)
+            return score
+
+        return whole(records).withColumn("adjusted", note("adjusted"))
+
+    n_cells = queries.p5_distinctive(spark, data).count()
+    monkeypatch.setattr(distinctive, "distinctive_terms", counted)
+    assert 0 < queries.p5_found(spark, data).count() < n_cells
+    assert scored.value == n_cells
+
+
+def test_terms_without_a_finite_score_are_refused(spark):
+    scores = spark.createDataFrame([("a", 4, 1.0), ("b", 1, -2.0)], "term string, n_here long, adjusted double")
+    assert [r["term"] for r in distinctive.among_scored(scores, "n_here >= 4").collect()] == ["a"]
+    for bad in (None, math.nan, math.inf, -math.inf):
+        # the term that is not kept counts too
+        with pytest.raises(ValueError, match="1 terms"):
+            distinctive.among_scored(scores.withColumn("adjusted", F.when(F.col("term") == "b", F.lit(bad).cast("double")).otherwise(F.col("adjusted"))), "n_here >= 4")
