@@ -207,7 +207,7 @@ def q_lda_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_lda_combined(spark: SparkSession, folder: str) -> DataFrame:
-    return S.top_terms(S.lda_combined(counts(spark, folder)).withColumn("score", F.round("score", 6)), ["notebook_id"], "score")
+    return S.top_of_lists(S.lda_combined_lists(counts(spark, folder)), ["notebook_id"], 6)
 
 
 def q_comments(spark: SparkSession, folder: str) -> DataFrame:

@@ -80,6 +80,38 @@ def test_lda_is_a_distribution():
     assert np.array_equal(doc_topic, again[0])
 
 
+def test_topic_models_of_many_notebooks_are_those_of_each_alone(spark):
+    rng = np.random.default_rng(1)
+    tables = [rng.poisson(1.0, (3, n)).astype(float) + (np.arange(3)[:, None] == np.arange(n) % 3) for n in (17, 20, 31, 32, 32)]
+    padded = np.zeros((5, 3, 32))
+    for k, t in enumerate(tables):
+        padded[k, :, : t.shape[1]] = t
+    doc_topic, topic_term = S.fit_ldas(padded, np.array([t.shape[1] for t in tables]), 4)
+    for k, t in enumerate(tables):
+        alone = S.fit_lda(t, 4)
+        assert np.array_equal(doc_topic[k], alone[0]) and np.array_equal(topic_term[k, :, : t.shape[1]], alone[1])
+    # digamma is -0.5772.. at 1, trigamma pi^2 / 6
+    assert S._digamma(np.array([1.0]))[0] == pytest.approx(-0.5772156649015329, abs=1e-9) and S._trigamma(np.array([1.0]))[0] == pytest.approx(np.pi**2 / 6, abs=1e-9)
+
+
+def test_terms_of_whole_notebooks_by_topic_models(spark):
+    rows = [(k, part, f"w{j:02d}", 1 + (j * k + len(part)) % 5) for k in range(1, 6) for part in ("code", "comment") for j in range(8 + 6 * k)]
+    counts = spark.createDataFrame(rows, "notebook_id long, part string, term string, n long")
+    lists = S.lda_combined_lists(counts)
+    # no call for each notebook, and the best terms are found without a further shuffle
+    best = S.top_of_lists(lists, ["notebook_id"], 6, 5)
+    assert "FlatMapGroupsInPandas" not in best._jdf.queryExecution().toString() and "Window" not in best._jdf.queryExecution().toString()
+    got = {(r["notebook_id"], r["rank"]): (r["term"], r["score"]) for r in best.collect()}
+    assert len(got) == 25 and got == {(r["notebook_id"], r["rank"]): (r["term"], r["score"]) for r in S.top_terms(S.lda_combined(counts).withColumn("score", F.round("score", 6)), ["notebook_id"], "score", 5).collect()}
+    for k in (1, 5):
+        total = {}
+        for i, _, term, n in rows:
+            total[term] = total.get(term, 0) + n if i == k else total.get(term, 0)
+        own = np.array([total[w] for w in sorted(total) if total[w]], float)
+        share = S.fit_lda(own[None, :], min(5, max(1, len(own) // 10)))[1].max(axis=0)
+        assert got[k, 1][1] == pytest.approx(share.max(), abs=1e-6)
+
+
 def test_domains_are_ranked(spark):
     terms = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [0.0, 0.0])], "g long, vec array<double>")
     domains = spark.createDataFrame([("x", [2.0, 0.0]), ("y", [-1.0, 0.0]), ("zero", [0.0, 0.0])], "domain string, vec array<double>")
