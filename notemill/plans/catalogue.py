@@ -203,7 +203,7 @@ def q_tfidf_combined(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_lda_terms(spark: SparkSession, folder: str) -> DataFrame:
-    return S.top_terms(S.lda_terms(counts(spark, folder)).withColumn("score", F.round("score", 6)), DOC, "score")
+    return S.top_of_lists(S.lda_term_lists(counts(spark, folder)), DOC, 6)
 
 
 def q_lda_combined(spark: SparkSession, folder: str) -> DataFrame:

@@ -112,6 +112,23 @@ def test_terms_of_whole_notebooks_by_topic_models(spark):
         assert got[k, 1][1] == pytest.approx(share.max(), abs=1e-6)
 
 
+def test_terms_of_parts_by_topic_models(spark):
+    rows = [(k, part, f"w{j:02d}", 1 + (j * k + len(part)) % 5) for k in (1, 2) for part in ("narrative", "code") for j in range(12 * k)]
+    counts = spark.createDataFrame(rows, "notebook_id long, part string, term string, n long")
+    best = S.top_of_lists(S.lda_term_lists(counts), ["notebook_id", "part"], 6)
+    assert "FlatMapGroupsInPandas" not in best._jdf.queryExecution().toString()
+    got = {(r["notebook_id"], r["part"], r["term"]): r["score"] for r in best.collect()}
+    expected = {}
+    for k in (1, 2):
+        table = np.array([[n for i, p, _, n in rows if (i, p) == (k, part)] for part in ("code", "narrative")], float)
+        doc_topic, topic_term = S.fit_lda(table, min(10, 12 * k // 5))
+        for part, own in zip(("code", "narrative"), doc_topic, strict=True):
+            for t in np.flatnonzero(own > 0.05):
+                for w in np.argsort(-topic_term[t], kind="stable")[:20]:
+                    expected[k, part, f"w{w:02d}"] = expected.get((k, part, f"w{w:02d}"), 0.0) + own[t] * topic_term[t, w]
+    assert got.keys() == expected.keys() and all(got[x] == pytest.approx(expected[x], abs=1e-6) for x in got)
+
+
 def test_domains_are_ranked(spark):
     terms = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [0.0, 0.0])], "g long, vec array<double>")
     domains = spark.createDataFrame([("x", [2.0, 0.0]), ("y", [-1.0, 0.0]), ("zero", [0.0, 0.0])], "domain string, vec array<double>")
