@@ -146,8 +146,8 @@ def classification_report(pairs: DataFrame, truth: str, predicted: str) -> DataF
     return scored.unionByName(macro)
 
 
-#: Rows that are worked on at once, and models whose sums travel together.
-ROWS_AT_ONCE, MODELS_AT_ONCE, MODELS_A_BLOCK = 2048, 1024, 32
+#: Rows that are worked on at once, rows and models of one look at gradients alone, and models whose sums travel together.
+ROWS_AT_ONCE, GRADIENT_ROWS, GRADIENT_MODELS, MODELS_A_BLOCK = 2048, 256, 512, 1024
 
 
 def shuffled(ids: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -173,24 +173,52 @@ def shuffled(ids: np.ndarray, n: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _labels(ids: np.ndarray, n: int, models: list[tuple[int, int, int]]) -> np.ndarray:
-    """Labels of the rows ``ids``, a column for each model (permutation, first, end): rows are
-    numbered by class, so those that a permutation puts between first and end are the class."""
-    places = {i: shuffled(ids, n, i) if i >= 0 else ids for i in {m[0] for m in models}}
-    return np.column_stack([(places[i] >= first) & (places[i] < end) for i, first, end in models])
+def _targets(ids: np.ndarray, x: np.ndarray, n: int, places: list[int], bounds: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``x`` that permutation i puts into each class: (permutation, class, feature); -1 leaves rows where they are.
 
+    Rows are numbered by class, so class k has the places from ``bounds[k]`` to before ``bounds[k + 1]``.  This is all
+    that a logistic model needs to know of its labels.
+    """
+    d, k = x.shape[1], len(bounds) - 1
+    out, column = np.zeros((len(places), k, d)), np.arange(d)
+    for at, i in enumerate(places):
+        own = np.searchsorted(bounds, shuffled(ids, n, i) if i >= 0 else ids, "right") - 1
+        out[at] = np.bincount((own[:, None] * d + column).ravel(), x.ravel(), k * d).reshape(k, d)
+    return out
+
+
+def _cubes(x: np.ndarray) -> np.ndarray:
+    """Sums over the rows of the products of each upper pair of features (row) with each feature (column)."""
+    i, j = np.triu_indices(x.shape[1])
+    return sum(((own[:, i] * own[:, j]).T @ own for own in (x[at : at + ROWS_AT_ONCE] for at in range(0, len(x), ROWS_AT_ONCE))), np.zeros((len(i), x.shape[1])))
+
+
+def _gradients(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums of the rows times their probabilities, for each column's model."""
+    out = np.zeros(w.shape)
+    for k in range(0, w.shape[1], GRADIENT_MODELS):
+        own = np.ascontiguousarray(-w[:, k : k + GRADIENT_MODELS])
+        for at in range(0, len(x), GRADIENT_ROWS):
+            rows = x[at : at + GRADIENT_ROWS]
+            m = rows @ own
+            np.minimum(m, 700, out=m)
+            np.exp(m, out=m)
+            m += 1
+            out[:, k : k + GRADIENT_MODELS] += rows.T @ np.reciprocal(m, out=m)
+    return out
 
-def _sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Loss, gradient and upper half of the Hessian of each column's model, one below the other."""
+
+def _sums(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Loss, gradient and upper half of the Hessian of each column's model if no row is of its class, one below the other."""
     i, j = np.triu_indices(len(w))
     out = np.zeros((1 + len(w) + len(i), w.shape[1]))
     for at in range(0, len(x), ROWS_AT_ONCE):
-        rows, own = x[at : at + ROWS_AT_ONCE], y[at : at + ROWS_AT_ONCE]
+        rows = x[at : at + ROWS_AT_ONCE]
         m = rows @ w
         e = np.exp(-np.abs(m))
         p = np.where(m >= 0, 1.0, e) / (1 + e)
-        out[0] += (np.maximum(m, 0) + np.log1p(e) - own * m).sum(axis=0)
-        out[1 : 1 + len(w)] += rows.T @ (p - own)
+        out[0] += (np.maximum(m, 0) + np.log1p(e)).sum(axis=0)
+        out[1 : 1 + len(w)] += rows.T @ p
         out[1 + len(w) :] += (rows[:, i] * rows[:, j]).T @ (p * (1 - p))
     return out
 
@@ -213,12 +241,12 @@ def _lasso_step(w: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> np.ndarray
     return v - w
 
 
-def _fit_binary(sums: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.ndarray, c: float, l1: bool, passes: int = 200) -> np.ndarray:
+def _fit_binary(sums: Callable[[np.ndarray], np.ndarray], targets: np.ndarray, start: np.ndarray, c: float, l1: bool, passes: int = 200) -> np.ndarray:
     """Coefficients (intercept first, penalised too) of binary logistic models, one a column of ``start``.
 
     Newton steps, for L1 proximal ones, halved where the loss would rise.  ``sums`` gives what
-    ``_sums`` does for coefficients and the numbers of their columns: from an array or from a
-    distributed table.
+    ``_sums`` does for coefficients: from an array or from a distributed table; ``targets`` has the sum of each
+    model's rows of its class.
     """
     d, k = start.shape
     w, move, low = start.copy(), np.zeros((d, k)), np.full(k, np.inf)
@@ -226,7 +254,10 @@ def _fit_binary(sums: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.
     left = np.arange(k)
     for _ in range(passes):
         at = w[:, left] + move[:, left]
-        got = c * sums(at, left)
+        got = sums(at)
+        got[0] -= (targets[:, left] * at).sum(axis=0)
+        got[1 : 1 + d] -= targets[:, left]
+        got *= c
         loss = got[0] + (np.abs(at).sum(axis=0) if l1 else (at * at).sum(axis=0) / 2)
         fine = loss <= low[left] + 1e-12 * np.abs(loss)
         move[:, left[~fine]] /= 2
@@ -242,10 +273,51 @@ def _fit_binary(sums: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.
     raise RuntimeError(f"logistic models did not settle in {passes} passes")
 
 
-def _start(models: list[tuple[int, int, int]], n: int, d: int) -> np.ndarray:
+def _fit_null(gradients: Callable[[np.ndarray], np.ndarray], sums: Callable[[np.ndarray], np.ndarray], cubes: np.ndarray, targets: np.ndarray, counts: np.ndarray, c: float, passes: int = 30) -> np.ndarray:
+    """Coefficients of L2 models of permuted labels, a column for each of ``targets``, whose classes have ``counts`` rows.
+
+    Such models lie near the one that has an intercept alone, where all rows are equally likely; there the Hessian
+    and its change follow from sums over all rows, ``cubes``, which are the same for all models.  With this Hessian steps
+    need only gradients.  They go on until what is left is of the order of 1e-9; models for which a step is
+    no gain are fitted by ``_fit_binary``.
+    """
+    d, k = targets.shape
+    i, j = np.triu_indices(d)
+    cube = np.zeros((d, d, d))
+    cube[i, j] = cube[j, i] = cubes
+    n = cube[0, 0, 0]
+    w, left, hard, last = _start(counts, n, d), np.arange(k), [], np.full(k, np.inf)
+    start = w.copy()
+    p = 1 / (1 + np.exp(-start[0]))
+    for _ in range(passes):
+        at = w[:, left]
+        pull = c * (gradients(at) - targets[:, left]) + at
+        move = np.empty_like(at)
+        for b in range(0, len(left), GRADIENT_MODELS):
+            own = slice(b, b + GRADIENT_MODELS)
+            share = p[left[own]]
+            change = (cube.reshape(d * d, d) @ (at[:, own] - start[:, left[own]])).T.reshape(-1, d, d)
+            hess = c * (share * (1 - share))[:, None, None] * (cube[:, :, 0] + (1 - 2 * share)[:, None, None] * change) + np.eye(d)
+            move[:, own] = -np.linalg.solve(hess, pull[:, own].T[:, :, None])[:, :, 0].T
+        size = np.abs(move).max(axis=0)
+        gain = size < last[left] / 2  # also false for what is no number
+        hard += left[~gain].tolist()
+        left, move, size = left[gain], move[:, gain], size[gain]
+        w[:, left] += move
+        last[left] = size
+        left = left[size >= 1e-9]
+        if not len(left):
+            break
+    hard = np.array(sorted({*hard, *left.tolist()}), dtype=int)
+    if len(hard):
+        w[:, hard] = _fit_binary(sums, targets[:, hard], start[:, hard], c, False)
+    return w
+
+
+def _start(counts: np.ndarray, n: float, d: int) -> np.ndarray:
     """Zeros, but for the intercept the log odds of the class."""
-    w = np.zeros((d, len(models)))
-    share = np.array([(end - first + 0.5) / (n + 1) for _, first, end in models])
+    w = np.zeros((d, len(counts)))
+    share = (np.asarray(counts) + 0.5) / (n + 1)
     w[0] = np.log(share / (1 - share))
     return w
 
@@ -253,67 +325,71 @@ def _start(models: list[tuple[int, int, int]], n: int, d: int) -> np.ndarray:
 SIGNIFICANCE = "class string, feature string, coefficient double, std_error double, lower_ci double, upper_ci double, p_value double, is_significant boolean"
 
 
-def _distributed_sums(table: DataFrame, columns: list[str], n: int, models: list[tuple[int, int, int]]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """``_sums`` over ``table`` (columns, _id) in one pass: each task adds up its rows, then blocks of models are added."""
+def _added(table: DataFrame, columns: list[str], of: Callable[[np.ndarray, np.ndarray, object], np.ndarray], sent: object) -> np.ndarray:
+    """The sum over ``table`` (columns, _id) of what ``of(ids, rows, sent)`` gives for its rows, a matrix, in one pass.
+
+    Each task adds up its rows, then blocks of columns are added.
+    """
     spark = table.sparkSession
     few = table.coalesce(spark.sparkContext.defaultParallelism)
-    schema = "b long, part binary"
+    schema, shared = "b long, height long, part binary", spark.sparkContext.broadcast(sent)
 
-    def sums(w: np.ndarray, own: np.ndarray) -> np.ndarray:
-        sent = spark.sparkContext.broadcast((w, [models[k] for k in own]))
-        height = 1 + len(w) + len(w) * (len(w) + 1) // 2
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            ids, x = batch["_id"].to_numpy(), np.column_stack([np.ones(len(batch)), batch[columns].to_numpy(dtype=float)])
+            own = of(ids, x, shared.value)
+            total = own if total is None else total + own
+        for b in range(0, total.shape[1] if total is not None else 0, MODELS_A_BLOCK):
+            yield pd.DataFrame({"b": [b], "height": [len(total)], "part": [total[:, b : b + MODELS_A_BLOCK].tobytes()]})
 
-        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            w, models = sent.value
-            total = np.zeros((height, w.shape[1]))
-            for batch in batches:
-                ids, x = batch["_id"].to_numpy(), np.column_stack([np.ones(len(batch)), batch[columns].to_numpy(dtype=float)])
-                for at in range(0, len(ids), ROWS_AT_ONCE):
-                    part = slice(at, at + ROWS_AT_ONCE)
-                    total += _sums(x[part], _labels(ids[part], n, models), w)
-            for b in range(0, w.shape[1], MODELS_A_BLOCK):
-                yield pd.DataFrame({"b": [b], "part": [total[:, b : b + MODELS_A_BLOCK].tobytes()]})
+    def added(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(p) for p in sorted(group["part"]))
+        return pd.DataFrame({"b": [key[0]], "height": group["height"][:1], "part": [total.tobytes()]})
 
-        def added(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(p) for p in sorted(group["part"]))
-            return pd.DataFrame({"b": [key[0]], "part": [total.tobytes()]})
+    blocks = few.mapInPandas(partial, schema).groupBy("b").applyInPandas(added, schema).orderBy("b").collect()
+    shared.destroy()
+    return np.hstack([np.frombuffer(r["part"]).reshape(r["height"], -1) for r in blocks])
 
-        blocks = few.mapInPandas(partial, schema).groupBy("b").applyInPandas(added, schema).orderBy("b").collect()
-        sent.destroy()
-        return np.hstack([np.frombuffer(r["part"]).reshape(height, -1) for r in blocks])
 
-    return sums
+def _bounds(ends: dict[str, tuple[int, int]], n: int) -> tuple[np.ndarray, dict[str, int]]:
+    """Where the classes begin, with the end of all, and the number of each class."""
+    names = sorted(ends, key=lambda k: ends[k])
+    return np.array([ends[k][0] for k in names] + [n]), {k: at for at, k in enumerate(names)}
 
 
 def _distributed_statistics(rows: DataFrame, columns: list[str], label: str, classes: list[str], permutations: int, c: float) -> DataFrame:
     """(class, k, seen, std_error, p_value) for a table of any size: the rows stay where they are and
-    every step of all models of a class is one pass over them."""
+    every step of all models is one pass over them."""
     numbered = dense_index(rows, [label, *columns], "_id")
     ends = {r[label]: (r["first"], r["last"] + 1) for r in numbered.groupBy(label).agg(F.min("_id").alias("first"), F.max("_id").alias("last")).collect()}
-    n = max((end for _, end in ends.values()), default=0)
+    n, d = max((end for _, end in ends.values()), default=0), len(columns) + 1
+    bounds, number = _bounds(ends, n)
     table = materialize(numbered.select("_id", *columns))
     release(numbered)
-
-    def fitted(models: list[tuple[int, int, int]], l1: bool) -> np.ndarray:
-        parts = [models[k : k + MODELS_AT_ONCE] for k in range(0, len(models), MODELS_AT_ONCE)]
-        return np.hstack([_fit_binary(_distributed_sums(table, columns, n, part), _start(part, n, len(columns) + 1), c, l1) for part in parts])
-
-    seen = fitted([(-1, *ends.get(k, (0, 0))) for k in classes], True)
+    cubes = _added(table, columns, lambda ids, x, _: _cubes(x), None)
+    got = _added(table, columns, lambda ids, x, _: _targets(ids, x, n, range(-1, permutations), bounds).reshape(-1, x.shape[1]).T, None).reshape(d, permutations + 1, len(bounds) - 1)
+    none = np.zeros((d, permutations + 1))
+    targets = np.stack([got[:, :, number[k]] if k in number else none for k in classes], axis=2)
+    counts = np.array([end - first for first, end in (ends.get(k, (0, 0)) for k in classes)])
+    sums, gradients = (lambda w, f=f: _added(table, columns, lambda ids, x, w: f(x, w), w) for f in (_sums, _gradients))
+    seen = _fit_binary(sums, targets[:, 0], _start(counts, n, d), c, True)
+    null = _fit_null(gradients, sums, cubes, targets[:, 1:].reshape(d, -1), np.tile(counts, permutations), c).reshape(d, permutations, -1)
     out = []
     for at, k in enumerate(classes):
-        null, own = fitted([(i, *ends.get(k, (0, 0))) for i in range(permutations)], False), seen[:, at : at + 1]
-        beyond = np.where(own >= 0, null >= own, null <= own)
-        out += [(k, f, float(own[f, 0]), float(null[f].std()), float(beyond[f].mean())) for f in range(len(null))]
+        own, those = seen[:, at : at + 1], null[:, :, at]
+        beyond = np.where(own >= 0, those >= own, those <= own)
+        out += [(k, f, float(own[f, 0]), float(those[f].std()), float(beyond[f].mean())) for f in range(d)]
     release(table)
     return rows.sparkSession.createDataFrame(out, "class string, k int, seen double, std_error double, p_value double")
 
 
-def permutation_test(table: DataFrame, columns: list[str], label: str, classes: list[str], permutations: int = 1000, c: float = 1.0, block: int = 125, max_rows: int = 50_000) -> DataFrame:
+def permutation_test(table: DataFrame, columns: list[str], label: str, classes: list[str], permutations: int = 1000, c: float = 1.0, block: int = 25, max_rows: int = 50_000) -> DataFrame:
     """Significance of each feature for each class against permuted labels.
 
     The observed coefficients are those of an L1 model, the permuted ones of L2 models; the
     standard error is the population deviation of the latter, the p-value the share of them that
-    lie beyond the observed one on its side.  Up to ``max_rows`` rows every task fits one class and
+    lie beyond the observed one on its side.  Up to ``max_rows`` rows every task fits all classes for
     one block of permutations on the broadcast feature matrix; a larger table is not collected, and
     the same models with the same permutations are fitted by passes over it.  Rows with a null are
     left out.
@@ -328,20 +404,27 @@ def permutation_test(table: DataFrame, columns: list[str], label: str, classes:
         names = [r[-1] for r in own]
         ends = {k: (bisect_left(names, k), bisect_right(names, k)) for k in classes}
         data = spark.sparkContext.broadcast(np.array([(1.0, *r[:-1]) for r in own], dtype=float).reshape(len(own), len(columns) + 1))
-        jobs = spark.createDataFrame([(k, b) for k in classes for b in range(-(-permutations // block))], "class string, block long").repartition(len(classes) * -(-permutations // block))
+        bounds, number = _bounds({k: (bisect_left(names, k), bisect_right(names, k)) for k in set(names)}, len(own))
+        some = [k for k in classes if k in number]
+        missing = [k for k in classes if k not in number]
+        # the observed models are a block of their own, begun first
+        jobs = spark.createDataFrame([(b,) for b in range(-1, -(-permutations // block))], "block long").repartition(1 - (-permutations // block))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x = data.value
-            ids = np.arange(len(x))
+            ids, cubes = np.arange(len(x)), None
             for batch in batches:
-                for k, b in zip(batch["class"], batch["block"], strict=True):
-                    out = []
-                    for models, l1 in (([(-1, *ends[k])] if not b else [], True), ([(i, *ends[k]) for i in range(b * block, min(permutations, (b + 1) * block))], False)):
-                        if models:
-                            y = _labels(ids, len(x), models)
-                            w = _fit_binary(lambda at, own, y=y: _sums(x, y[:, own], at), _start(models, len(x), x.shape[1]), c, l1)
-                            out += [(k, m[0], w[:, j].tolist()) for j, m in enumerate(models)]
-                    yield pd.DataFrame(out, columns=["class", "i", "w"])
+                for b in batch["block"]:
+                    places = list(range(b * block, min(permutations, (b + 1) * block))) if b >= 0 else [-1]
+                    got = _targets(ids, x, len(x), places, bounds)[:, [number[k] for k in some]]
+                    targets = np.concatenate([got, np.zeros((len(places), len(missing), x.shape[1]))], axis=1).reshape(-1, x.shape[1]).T
+                    counts = np.tile([ends[k][1] - ends[k][0] for k in some + missing], len(places))
+                    if b < 0:
+                        w = _fit_binary(lambda at: _sums(x, at), targets, _start(counts, len(x), x.shape[1]), c, True)
+                    else:
+                        cubes = _cubes(x) if cubes is None else cubes
+                        w = _fit_null(lambda at: _gradients(x, at), lambda at: _sums(x, at), cubes, targets, counts, c)
+                    yield pd.DataFrame([(k, i, w[:, j].tolist()) for j, (i, k) in enumerate((i, k) for i in places for k in some + missing)], columns=["class", "i", "w"])
 
         fits = materialize(jobs.mapInPandas(run, "class string, i long, w array<double>")).select("class", "i", F.posexplode("w").alias("k", "w"))
         null = fits.where("i >= 0").join(fits.where("i < 0").select("class", "k", F.col("w").alias("seen")), ["class", "k"])

@@ -250,6 +250,21 @@ def test_permutation_test_of_larger_tables_gives_the_same(spark):
     assert sorted(M.shuffled(np.arange(91), 91, 4)) == list(range(91)) and list(M.shuffled(np.arange(91), 91, 4)) != list(M.shuffled(np.arange(91), 91, 5))
 
 
+def test_models_of_permuted_labels_need_sums_of_their_rows_alone():
+    rng = np.random.default_rng(5)
+    x = np.column_stack([np.ones(400), rng.normal(size=(400, 2)), rng.random((400, 1)) < 0.1])
+    bounds, ids = np.array([0, 5, 150, 400]), np.arange(400)
+    targets, places = M._targets(ids, x, 400, [-1, 0, 1], bounds), M.shuffled(ids, 400, 1)
+    for k in range(3):
+        assert targets[0, k] == pytest.approx(x[bounds[k] : bounds[k + 1]].sum(axis=0))
+        assert targets[2, k] == pytest.approx(x[(places >= bounds[k]) & (places < bounds[k + 1])].sum(axis=0))
+    flat, counts = targets[1:].reshape(-1, 4).T, np.tile(np.diff(bounds), 2)
+    w = M._fit_null(lambda at: M._gradients(x, at), lambda at: M._sums(x, at), M._cubes(x), flat, counts, 1.0)
+    # at the minimum the pull of the penalty makes up for what rows and labels differ by
+    assert np.abs(x.T @ (1 / (1 + np.exp(-x @ w))) - flat + w).max() < 1e-6
+    assert w == pytest.approx(M._fit_binary(lambda at: M._sums(x, at), flat, M._start(counts, 400, 4), 1.0, False), abs=1e-7)
+
+
 def test_permutation_query_does_every_class(spark, monkeypatch):
     folder, seen = "/root/testdata/sf0.01", {}
     monkeypatch.setattr(M, "permutation_test", lambda table, columns, label, classes, permutations=1000: seen.update(n=table.count(), columns=columns, classes=classes, permutations=permutations))
