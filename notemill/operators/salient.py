@@ -148,8 +148,8 @@ def fit_ldas(counts: np.ndarray, words: np.ndarray, topics: int, passes: int = 1
         theta = np.exp(log_theta)
         lam = eta[:, None] + beta * (theta.transpose(0, 2, 1) @ (counts / (theta @ beta + 1e-100)))
         log_beta = _mean_log(lam, real[:, None])
-        alpha = _newton_prior(alpha, log_theta.mean(axis=1), docs, np.ones((own, topics)))
-        eta = _newton_prior(eta, log_beta.mean(axis=1), topics, real)
+        alpha = _newton_priors(alpha, log_theta.mean(axis=1), docs, np.ones((own, topics)))
+        eta = _newton_priors(eta, log_beta.mean(axis=1), topics, real)
     lam *= real[:, None]
     return gamma / gamma.sum(axis=2, keepdims=True), lam / lam.sum(axis=2, keepdims=True)
 
@@ -159,7 +159,12 @@ def _mean_log(x: np.ndarray, real: np.ndarray | float = 1.0) -> np.ndarray:
     return _digamma(x) - _digamma((x * real).sum(axis=-1, keepdims=True))
 
 
-def _newton_prior(prior: np.ndarray, mean_log: np.ndarray, n: int, real: np.ndarray) -> np.ndarray:
+def _newton_prior(prior: np.ndarray, observed: np.ndarray) -> np.ndarray:
+    """The step of ``_newton_priors`` of one Dirichlet towards the rows of Dirichlet parameters ``observed``."""
+    return _newton_priors(prior[None], _mean_log(observed).mean(axis=0)[None], len(observed), np.ones((1, len(prior))))[0]
+
+
+def _newton_priors(prior: np.ndarray, mean_log: np.ndarray, n: int, real: np.ndarray) -> np.ndarray:
     """One Newton step of the parameters of Dirichlets, a row each, towards the mean logarithms of ``n`` observed ones.
 
     The Hessian is a diagonal plus a constant, so the step needs no inverse; it is halved until it
